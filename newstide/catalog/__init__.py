@@ -1,0 +1,17 @@
+"""Every operator as a named query over the sample tables."""
+
+from newstide.catalog.registry import QUERIES, SQL
+
+
+def _load() -> None:
+    from newstide.catalog import text_queries  # noqa: F401
+
+
+def all_queries() -> dict:
+    _load()
+    return dict(QUERIES)
+
+
+def all_sql() -> dict:
+    _load()
+    return dict(SQL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fill_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL text becomes the empty string."""
     return df.fillna("", subset=list(cols))
@@ -57,15 +62,23 @@ def entity_first_match(c: Column | str, rules: Sequence[tuple[str, Sequence[str]
 
 def entity_vote(c: Column | str, keyword_sets: Mapping[str, Sequence[str]]) -> Column:
     """Entity with the most distinct keywords present; ``both`` on a positive tie, ``none`` without a hit."""
-    low = F.lower(F.coalesce(_col(c), F.lit("")))
-    votes = {
-        entity: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
-        for entity, words in keyword_sets.items()
-    }
-    best = F.greatest(*votes.values(), F.lit(0))
-    leaders = reduce(lambda a, b: a + b, [(v == best).cast("int") for v in votes.values()])
-    winner = F.coalesce(*[F.when(v == best, F.lit(e)) for e, v in votes.items()])
-    return F.when(best == 0, F.lit("none")).when(leaders > 1, F.lit("both")).otherwise(winner)
+    names = F.array(*[F.lit(e) for e in keyword_sets])
+
+    def votes(low: Column) -> Column:
+        return F.array(
+            *[
+                reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in listed])
+                for listed in keyword_sets.values()
+            ]
+        )
+
+    def decide(n: Column) -> Column:
+        best = F.array_max(n)
+        leaders = F.size(F.filter(n, lambda v: v == best))
+        winner = F.get(names, (F.array_position(n, best) - 1).cast("int"))
+        return F.when(best == 0, F.lit("none")).when(leaders > 1, F.lit("both")).otherwise(winner)
+
+    return let(F.lower(F.coalesce(_col(c), F.lit(""))), lambda low: let(votes(low), decide))
 
 
 def clean_html(c: Column | str) -> Column:
@@ -82,13 +95,10 @@ def clean_strict(c: Column | str) -> Column:
 
 def combine_text(title: Column | str, keywords: Column | str, body: Column | str, n: int = 500) -> Column:
     """Title, labelled keywords and the lead of the body, blank-joined; empty parts are left out."""
-    t, k, b = strip(title), strip(keywords), strip(body)
-    return F.concat_ws(
-        " ",
-        F.when(t != "", t),
-        F.when(k != "", F.concat(F.lit(f"{KEYWORD_LABEL} "), k)),
-        F.when(b != "", F.substring(b, 1, n)),
+    parts = F.array(
+        strip(title), F.concat(F.lit(f"{KEYWORD_LABEL} "), F.nullif(strip(keywords), F.lit(""))), F.substring(strip(body), 1, n)
     )
+    return F.concat_ws(" ", F.filter(parts, lambda p: p != ""))
 
 
 def title_keywords(title: Column | str, keywords: Column | str) -> Column:

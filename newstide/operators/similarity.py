@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newstide.functions.text import tokens
+from newstide.functions.text import let, tokens
 from newstide.operators.skew import GRID_KEYS, grid, sliced_join, stored
 
 MARGIN = 1e-9  # keeps rounding from shortening a prefix
@@ -39,13 +39,12 @@ class Similarity:
 def _runs(words: str) -> Column:
     """Sorted words to (token, tf) by run lengths."""
     w = F.col(words)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, F.greatest(i - 1, F.lit(0))))
-    )
-    return F.transform(
+    starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    return let(
         starts,
-        lambda p, j: F.struct(
-            F.get(w, p).alias("token"), (F.coalesce(F.get(starts, j + 1), F.size(w)) - p).alias("tf")
+        lambda s: F.transform(
+            s,
+            lambda p, j: F.struct(F.get(w, p).alias("token"), (F.coalesce(F.get(s, j + 1), F.size(w)) - p).alias("tf")),
         ),
     )
 
