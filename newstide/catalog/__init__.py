@@ -4,7 +4,7 @@ from newstide.catalog.registry import QUERIES, SQL
 
 
 def _load() -> None:
-    from newstide.catalog import text_queries  # noqa: F401
+    from newstide.catalog import join_queries, series_queries, text_queries  # noqa: F401
 
 
 def all_queries() -> dict:

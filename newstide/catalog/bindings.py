@@ -46,7 +46,7 @@ def price(spark: SparkSession, sf: str) -> DataFrame:
     return (
         lines.join(orders, "l_orderkey")
         .groupBy("entity", "d")
-        .agg((F.sum("s") / F.sum("n")).alias("close"), F.sum("n").alias("vol"))
+        .agg((100.0 * (F.sum("s") / F.sum("n")) / 9973.0).alias("close"), F.sum("n").alias("vol"))
     )
 
 
@@ -85,8 +85,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("entity").orderBy("d")
     named = F.array(
         F.struct(F.lit("last").alias("model"), F.lag("score_mean").over(w).alias("predicted")),
-        F.struct(F.lit("ma7"), F.avg("score_mean").over(w.rowsBetween(-7, -1))),
-        F.struct(F.lit("ma30"), F.avg("score_mean").over(w.rowsBetween(-30, -1))),
+        F.struct(F.lit("ma7").alias("model"), F.avg("score_mean").over(w.rowsBetween(-7, -1)).alias("predicted")),
+        F.struct(F.lit("ma30").alias("model"), F.avg("score_mean").over(w.rowsBetween(-30, -1)).alias("predicted")),
     )
     return (
         daily(spark, sf)
@@ -111,7 +111,7 @@ CTE = {
   count(*) as n_items, avg(case when label = 'positive' then 1e0 else 0e0 end) as positive_ratio
   from obs group by entity, d)""",
     "price": """price as (select o_orderpriority as entity, cast(l_shipdate as date) as d,
-  avg(l_extendedprice / l_quantity) as close, count(*) as vol
+  1e2 * avg(l_extendedprice / l_quantity) / 9973e0 as close, count(*) as vol
   from lineitem join orders on l_orderkey = o_orderkey where isodow(l_shipdate) <= 5 group by 1, 2)""",
     "launches": """launches as (select event_id, entity, d, category from (select o_custkey as event_id,
   o_orderpriority as entity, cast(o_orderdate as date) as d, o_orderstatus as category,

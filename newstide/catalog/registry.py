@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)  # no negative zero
 
 
 def rounded(df: DataFrame) -> DataFrame:

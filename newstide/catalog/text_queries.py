@@ -230,7 +230,7 @@ def _(spark, sf):
 @query(
     "calendar_features",
     sql(
-        """select d, year(d) as year, month(d) as month, quarter(d) as quarter, dayofyear(d) as day_of_year, week(d) as week_of_year,
+        """select d, cast(year(d) as int) as year, cast(month(d) as int) as month, cast(quarter(d) as int) as quarter, cast(dayofyear(d) as int) as day_of_year, cast(week(d) as int) as week_of_year,
           cast(month(d) in (3, 6, 9, 12) as int) as is_quarter_end, cast(month(d) = 12 as int) as is_year_end,
           cast(month(d) in (9, 10, 11) as int) as is_season,
           round(sin(2 * pi() * month(d) / 12), 6) + 0e0 as month_sin, round(cos(2 * pi() * month(d) / 12), 6) + 0e0 as month_cos,

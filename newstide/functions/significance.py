@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY, STEPS, TOLERANCE = 1e-300, 500, 1e-15
 
@@ -50,7 +51,7 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     p = t_two_sided(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
     return pd.Series(p).where(np.isfinite(p), None)

@@ -204,8 +204,8 @@ def launch_summary(events: DataFrame, entity: str = "entity", d: str = "d", cate
             F.explode(
                 F.array(
                     F.struct(F.lit("total").alias("dimension"), F.lit(ALL).alias("value")),
-                    F.struct(F.lit("year"), F.year(d).cast("string")),
-                    F.struct(F.lit("category"), F.col(category).cast("string")),
+                    F.struct(F.lit("year").alias("dimension"), F.year(d).cast("string").alias("value")),
+                    F.struct(F.lit("category").alias("dimension"), F.col(category).cast("string").alias("value")),
                 )
             ).alias("cell"),
         )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newstide.operators.windows import END, START, fill_both, series
+from newstide.operators.windows import START, fill_both, series
 
 
 def join_daily(spine: DataFrame, price: DataFrame, how: str = "left", keys: Sequence[str] = ("entity", "d")) -> DataFrame:
@@ -53,20 +53,26 @@ def _event_days(events: DataFrame, entity: str, d: str) -> DataFrame:
 def event_distance(
     df: DataFrame, events: DataFrame, cap: int = 365, entity: str = "entity", d: str = "d"
 ) -> DataFrame:
-    """``days_to_next`` (strictly later event) and ``days_since_last`` (on or before); ``cap`` where there is none."""
+    """``days_to_next`` (strictly later event) and ``days_since_last`` (on or before); ``cap`` where there is none.
+
+    ``df`` has one row per entity and day. The later event is looked up on the series in reverse, again with a frame
+    that only grows.
+    """
     days = _event_days(events, entity, d).select(entity, d, F.col(d).alias("_event"))
-    spine = df.select(entity, d).distinct()
-    marks = spine.join(days, [entity, d], "full")
-    w = series([entity], d)
-    last = F.last("_event", ignorenulls=True).over(w.rowsBetween(START, 0))
-    following = F.first("_event", ignorenulls=True).over(w.rowsBetween(1, END))
-    reach = marks.select(
-        entity,
-        d,
-        F.coalesce(F.datediff(following, d), F.lit(cap)).alias("days_to_next"),
-        F.coalesce(F.datediff(d, last), F.lit(cap)).alias("days_since_last"),
+    marks = df.withColumn("_row", F.lit(True)).join(days, [entity, d], "full")
+    last = F.last("_event", ignorenulls=True).over(series([entity], d).rowsBetween(START, 0))
+    back = Window.partitionBy(entity).orderBy(F.col(d).desc()).rowsBetween(START, -1)
+    following = F.last("_event", ignorenulls=True).over(back)
+    return (
+        marks.withColumns(
+            {
+                "days_to_next": F.coalesce(F.datediff(following, d), F.lit(cap)),
+                "days_since_last": F.coalesce(F.datediff(d, last), F.lit(cap)),
+            }
+        )
+        .where("_row")
+        .drop("_row", "_event")
     )
-    return df.join(reach, [entity, d], "left")
 
 
 def event_reach(events: DataFrame, days: int = 60, tau: float = 30.0, entity: str = "entity", d: str = "d") -> DataFrame:

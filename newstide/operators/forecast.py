@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newstide.operators.windows import series
 
@@ -73,7 +74,7 @@ def fit_linear(
         F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda c: c["v"]).alias("m")
     )
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(k: pd.Series, m: pd.Series) -> pd.Series:
         out = []
         for n, flat in zip(k, m, strict=True):

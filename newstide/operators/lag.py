@@ -15,25 +15,18 @@ def lag_correlation(
 ) -> DataFrame:
     """corr(x[t-lag], y[t]) and the same against the one-row return of ``y``; a positive lag means ``x`` leads.
 
-    One window pass shifts ``x`` to every lag, one partial aggregation correlates them all.
+    One window pass shifts ``x`` to every lag; the shifts are fanned out and folded map-side per group and lag.
     """
     w = series(by, d)
     lags = range(-max_lag, max_lag + 1)
     base = df.withColumn("_return", returns(y, w))
-    shifted = base.select(*by, F.col(y).alias("_y"), "_return", *[F.lag(x, k).over(w).alias(f"_x{k}") for k in lags])
-    wide = shifted.groupBy(*by).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("lag_days"),
-                    F.corr(f"_x{k}", "_y").alias("correlation_price"),
-                    F.corr(f"_x{k}", "_return").alias("correlation_return"),
-                )
-                for k in lags
-            ]
-        ).alias("rows")
+    cells = F.array(*[F.struct(F.lit(k).alias("lag_days"), F.lag(x, k).over(w).alias("x")) for k in lags])
+    return (
+        base.select(*by, F.col(y).alias("_y"), "_return", cells.alias("_cells"))
+        .select(*by, "_y", "_return", F.explode("_cells").alias("_c"))
+        .groupBy(*by, F.col("_c.lag_days").alias("lag_days"))
+        .agg(F.corr("_c.x", "_y").alias("correlation_price"), F.corr("_c.x", "_return").alias("correlation_return"))
     )
-    return wide.select(*by, F.explode("rows").alias("r")).select(*by, "r.*")
 
 
 def best_lag(table: DataFrame, by: Sequence[str] = ("entity",), col: str = "correlation_price") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 SLACK = 3.0 / ACCURACY  # the sketch is off by at most 1/ACCURACY of the rows on either side
+WIDE, WIDE_BELOW, WHOLE_BELOW = 0.01, 200_000, 1_000  # small groups: brackets of enough rows, or the whole group
 
 
 def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -33,18 +34,29 @@ def exact_percentiles(
     keys = [*by, "column"]
     names, ps = list(probs), list(probs.values())
     rows = melt(df, by, cols)
-    grid = [max(p - SLACK, 0.0) for p in ps] + [min(p + SLACK, 1.0) for p in ps]
+    grid = [min(max(p + s, 0.0), 1.0) for s in (-SLACK, SLACK, -WIDE, WIDE) for p in ps]
     brackets = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", grid, ACCURACY).alias("edge")
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("value", grid, ACCURACY).alias("edge"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
     )
+
+    def edge(block: int, i: int, end: str):
+        return (
+            F.when(F.col("n") < WHOLE_BELOW, F.col(end))
+            .when(F.col("n") < WIDE_BELOW, F.get("edge", F.lit((block + 2) * len(ps) + i)))
+            .otherwise(F.get("edge", F.lit(block * len(ps) + i)))
+        )
+
     wanted = brackets.select(
         *keys,
         F.array(
             *[
                 F.struct(
                     F.lit(name).alias("name"),
-                    F.get("edge", F.lit(i)).alias("lo"),
-                    F.get("edge", F.lit(i + len(ps))).alias("hi"),
+                    edge(0, i, "low").alias("lo"),
+                    edge(1, i, "high").alias("hi"),
                     (F.lit(p) * (F.col("n") - 1)).alias("rank"),
                 )
                 for i, (name, p) in enumerate(zip(names, ps, strict=True))

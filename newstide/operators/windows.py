@@ -49,8 +49,11 @@ def fill_forward(c: str, w: WindowSpec) -> Column:
 
 
 def fill_both(c: str, w: WindowSpec) -> Column:
-    """Last known value, else the first one to come."""
-    return F.coalesce(fill_forward(c, w), F.first(c, ignorenulls=True).over(w.rowsBetween(0, END)))
+    """Last known value, else (at the head only) the first one of the series.
+
+    The whole-series frame is evaluated once per series; a frame from each row to the end would be once per row.
+    """
+    return F.coalesce(fill_forward(c, w), F.first(c, ignorenulls=True).over(w.rowsBetween(START, END)))
 
 
 def lag_filled(c: str, k: int, w: WindowSpec) -> Column:
