@@ -4,7 +4,13 @@ from newstide.catalog.registry import QUERIES, SQL
 
 
 def _load() -> None:
-    from newstide.catalog import join_queries, series_queries, text_queries  # noqa: F401
+    from newstide.catalog import (  # noqa: F401
+        io_queries,
+        join_queries,
+        model_queries,
+        series_queries,
+        text_queries,
+    )
 
 
 def all_queries() -> dict:

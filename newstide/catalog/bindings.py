@@ -90,7 +90,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     )
     return (
         daily(spark, sf)
-        .select("entity", "d", F.col("score_mean").alias("actual"), F.explode(named).alias("m"))
+        .select("entity", "d", F.col("score_mean").alias("actual"), named.alias("models"))
+        .select("entity", "d", "actual", F.explode("models").alias("m"))
         .select("entity", "d", "m.model", "actual", "m.predicted")
         .where(F.col("predicted").isNotNull())
     )

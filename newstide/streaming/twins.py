@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newstide.operators.aggregates import share
 from newstide.session import scratch_path
@@ -73,32 +71,23 @@ def threshold_alerts(stats: DataFrame, low: float) -> DataFrame:
     return stats.where(F.col("score_mean") < low)
 
 
-def change_alerts(stats: DataFrame, key: str, drop: float) -> DataFrame:
-    """Windows whose mean fell by more than ``drop`` against the window before; the state is one mean per key.
+def change_alerts(
+    items: DataFrame, by: Sequence[str], drop: float, ts: str = "ts", score: str = "score", delay: str = "1 day"
+) -> DataFrame:
+    """Days whose mean fell by more than ``drop`` against the day before.
 
-    ``stats`` are windowed statistics, one row per key and window, so a hot key has no more rows than any other.
+    A two-day window sliding by one day holds both days, so one partially aggregated state per key and window is enough
+    and the test itself is stateless.
     """
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("w_start")
-        last = state.get[0] if state.exists else None
-        changes = rows["score_mean"].diff()
-        if last is not None and len(rows):
-            changes.iloc[0] = rows["score_mean"].iloc[0] - last
-        if len(rows):
-            state.update((float(rows["score_mean"].iloc[-1]),))
-        hit = rows.assign(change=changes)
-        hit = hit[hit["change"] < -drop]
-        yield hit.assign(**{key: keys[0]})[[key, "w_start", "score_mean", "change"]]
-
-    flat = stats.select(key, F.col("w.start").alias("w_start"), "score_mean")
-    return flat.groupBy(key).applyInPandasWithState(
-        step,
-        f"{key} string, w_start timestamp, score_mean double, change double",
-        "last double",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    pairs = items.withWatermark(ts, delay).select(*by, ts, score, F.window(ts, "2 days", "1 day").alias("w"))
+    today = F.col(ts) >= F.col("w.start") + F.expr("interval 1 day")
+    means = pairs.groupBy("w", *by).agg(
+        F.avg(F.when(today, F.col(score))).alias("score_mean"), F.avg(F.when(~today, F.col(score))).alias("before")
     )
+    change = F.col("score_mean") - F.col("before")
+    return means.select(
+        *by, (F.col("w.start") + F.expr("interval 1 day")).alias("w_start"), "score_mean", change.alias("change")
+    ).where(F.col("change") < -drop)
 
 
 def with_static(items: DataFrame, static: DataFrame, keys: Sequence[str]) -> DataFrame:
