@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newstide.functions.text import let
+
 LABELS = ("positive", "neutral", "negative")
 LOW, MIDDLE, HIGH = 1.0, 3.0, 5.0
 
@@ -80,14 +82,17 @@ def lexicon_probs(words: Column, positive: Sequence[str], negative: Sequence[str
     neutral takes the rest.
     """
 
-    def count(listed: Sequence[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*listed))).cast("double")
+    def count(ws: Column, listed: Sequence[str]) -> Column:
+        return F.size(F.filter(ws, lambda w: w.isin(*listed))).cast("double")
 
-    p, n = count(positive), count(negative)
-    total = p + n + 1.0
-    return F.create_map(
-        F.lit("positive"), p / total, F.lit("neutral"), F.lit(1.0) / total, F.lit("negative"), n / total
-    )
+    def shares(c: Column) -> Column:
+        p, n = c["p"], c["n"]
+        return F.create_map(
+            F.lit("positive"), p / (p + n + 1.0), F.lit("neutral"), 1.0 / (p + n + 1.0), F.lit("negative"), n / (p + n + 1.0)
+        )
+
+    counts = let(words, lambda ws: F.struct(count(ws, positive).alias("p"), count(ws, negative).alias("n")))
+    return let(counts, shares)
 
 
 def total(columns: Sequence[Column]) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # The Unicode white-space class (Java's \s is ASCII only) and the punctuation the strict cleaner keeps.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-STRICT_DROP = r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}.,!?:%-]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+STRICT_DROP = r"[^\p{L}\p{N}_.,!?:%-]+"
 KEYWORD_LABEL = "키워드:"
 
 
@@ -34,7 +35,8 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; looks at the ends only, not at the whole text."""
+    return F.btrim(_col(c), F.lit(BLANKS))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -88,9 +90,9 @@ def clean_html(c: Column | str) -> Column:
 
 
 def clean_strict(c: Column | str) -> Column:
-    """Drop tags (also across lines) and every character outside words, white space and ``.,!?:%-``."""
+    """Drop tags (also across lines); every run of characters outside words and ``.,!?:%-`` becomes one blank; trim."""
     text = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"<[^>]+>", "")
-    return squeeze(F.regexp_replace(text, STRICT_DROP, " "))
+    return F.trim(F.regexp_replace(text, STRICT_DROP, " "))
 
 
 def combine_text(title: Column | str, keywords: Column | str, body: Column | str, n: int = 500) -> Column:

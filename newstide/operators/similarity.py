@@ -55,17 +55,19 @@ def bags(df: DataFrame, row_id: str, text: str, date: str, scope: str | None) ->
         (F.col(scope) if scope else F.lit(0)).alias("scope"),
         F.col(row_id).alias("id"),
         F.struct(F.col(date).alias("date"), (-F.col(row_id)).alias("place")).alias("rank"),
-        F.array_sort(tokens(text)).alias("words"),
+        F.sort_array(tokens(text)).alias("words"),
     )
 
 
 def fold_bags(rows: DataFrame) -> DataFrame:
-    """One row per scope and bag of words: its first row in the keep order and its number of rows."""
+    """One row per scope and bag of words: its first row in the keep order, its number of rows and its word counts."""
     return (
         rows.where(F.size("words") > 0)
         .groupBy("scope", "words")
         .agg(F.max(F.struct("rank", "id")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .select("scope", F.col("first.id").alias("id"), F.col("first.rank").alias("rank"), "copies", "words")
+        .select(
+            "scope", F.col("first.id").alias("id"), F.col("first.rank").alias("rank"), "copies", "words", _runs("words").alias("runs")
+        )
     )
 
 
@@ -74,9 +76,9 @@ def unit_vectors(folded: DataFrame, rows_in_scope: DataFrame) -> DataFrame:
 
     idf = ln((1 + rows) / (1 + rows with the word)) + 1, counted over all rows, not over folded ones.
     """
-    terms = folded.withColumn("runs", _runs("words")).select(
-        "scope", "id", "copies", F.explode("runs").alias("t")
-    ).select("scope", "id", "copies", "t.token", "t.tf")
+    terms = folded.select("scope", "id", "copies", F.explode("runs").alias("t")).select(
+        "scope", "id", "copies", "t.token", "t.tf"
+    )
     words = terms.groupBy("scope", "token").agg(
         F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n")
     )
@@ -85,7 +87,7 @@ def unit_vectors(folded: DataFrame, rows_in_scope: DataFrame) -> DataFrame:
     )
     weighted = sliced_join(terms, idf, ["scope", "token"], words, "id")
     raw = weighted.groupBy("scope", "id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("df", "token", "bags", (F.col("tf") * F.col("idf")).alias("w")))
         ).alias("terms")
     )

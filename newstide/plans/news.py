@@ -17,6 +17,7 @@ from newstide.functions.text import (
     contains_any,
     entity_first_match,
     entity_vote,
+    let,
     min_length,
     title_keywords,
 )
@@ -122,12 +123,18 @@ def tag_short(df: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = words.
 
 
 def tag_long(df: DataFrame, votes: Mapping[str, Sequence[str]] = words.VOTES, min_chars: int = 11) -> DataFrame:
-    """Rows with date and title, combined and cleaned text of more than ten characters, one voted entity."""
+    """Rows with date and title, combined and cleaned text of more than ten characters, one voted entity.
+
+    Text and entity come out of a generator: a filter on plain columns would be pushed below the projection and
+    evaluate both expressions twice.
+    """
+    combined = combine_text("title", F.coalesce("keywords", F.lit("")), F.coalesce("body", F.lit("")))
+    both = let(combined, lambda t: F.struct(clean_strict(t).alias("text"), entity_vote(t, votes).alias("entity")))
+    kept = [c for c in df.columns if c not in ("text", "entity")]
     return (
         df.withColumn("date", parse_date(F.col("date")))
         .dropna(subset=["date", "title"])
-        .withColumn("text", combine_text("title", F.coalesce("keywords", F.lit("")), F.coalesce("body", F.lit(""))))
-        .withColumns({"entity": entity_vote("text", votes), "text": clean_strict("text")})
+        .select(*kept, F.inline(F.array(both)))
         .where(min_length("text", min_chars) & F.col("entity").isin(*votes))
     )
 
