@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Scored items: every order, with its priority as entity."""
+    return as_items(table(spark, sf, "orders"))
+
+
+def as_items(orders: DataFrame) -> DataFrame:
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    return table(spark, sf, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("obs_id"),
         F.to_date("o_orderdate").alias("d"),
         F.col("o_orderpriority").alias("entity"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newstide.catalog.bindings import NEGATIVE, POSITIVE, RELEVANT, RULES, VOTES, articles, obs, sql, table
+from newstide.catalog.bindings import NEGATIVE, POSITIVE, RELEVANT, RULES, VOTES, articles, as_items, obs, sql, table
 from newstide.catalog.registry import query, r6, rounded
 from newstide.functions import dates, scores, text
 from newstide.functions.scoring import score_lexicon, score_texts, with_sentiment
@@ -222,7 +222,7 @@ def _(spark, sf):
     sql("select entity, count(*) as n, min(d) as first_day, max(d) as last_day from obs where year(d) = 1998 group by entity", "obs"),
 )
 def _(spark, sf):
-    return dates.year_slice(obs(spark, sf), "d", 1998).groupBy("entity").agg(
+    return as_items(dates.year_slice(table(spark, sf, "orders"), "o_orderdate", 1998)).groupBy("entity").agg(
         F.count(F.lit(1)).alias("n"), F.min("d").alias("first_day"), F.max("d").alias("last_day")
     )
 

@@ -28,13 +28,14 @@ def asof_price(
 ) -> DataFrame:
     """Last price on or before each spine day; ``within='year'`` never reaches back over New Year's Day.
 
-    Both sides are stacked and filled along one window, so price days missing from the spine count too.
+    Both sides are stacked and filled along one window, so price days missing from the spine count too. They are
+    distributed by entity alone, which serves the yearly window here and every later window of the entity.
     """
     keys = [entity, *(["_year"] if within == "year" else [])]
     extra = [c for c in spine.columns if c not in (entity, d)]
     left = spine.select(entity, d, F.lit(1).alias("_side"), F.struct(*extra).alias("_row") if extra else F.lit(None).alias("_row"))
     right = price.select(entity, d, F.lit(0).alias("_side"), *cols)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_year", F.year(d))
+    both = left.unionByName(right, allowMissingColumns=True).repartition(entity).withColumn("_year", F.year(d))
     w = Window.partitionBy(*keys).orderBy(d, "_side").rowsBetween(START, 0)
     filled = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols}).where(F.col("_side") == 1)
     return filled.select(entity, d, *([f"_row.{c}" for c in extra] if extra else []), *cols)

@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newstide.operators.skew import sliced_join
+
+SLICES, SLICE_ROWS = 256, 100_000
+
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
     """Union by name; a column missing on one side is NULL there."""
@@ -101,3 +105,33 @@ def numbered(df: DataFrame, d: str, tie: Sequence[str], name: str = "rn") -> Dat
     )
     place = F.row_number().over(Window.partitionBy(d).orderBy(*tie))
     return df.join(before, d).withColumn(name, F.col("_before") + place).drop("_before")
+
+
+def numbered_in_groups(
+    df: DataFrame, by: Sequence[str], order: str, name: str = "rn", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Row number (from 1) inside each group by a unique numeric column, also where a group is too large for one task.
+
+    Groups above ``slice_rows`` are cut into ranges of ``order`` at the steps of a quantile sketch. Rows are numbered
+    inside their range and shifted by the rows of the ranges before it, of which a group has at most ``SLICES`` + 1.
+    """
+    steps = [i / SLICES for i in range(1, SLICES)]
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order, steps).alias("_edges"))
+    cuts = groups.select(
+        *by, F.when(F.col("n") > slice_rows, F.col("_edges")).otherwise(F.slice("_edges", 1, 0)).alias("_edges")
+    )
+    ranged = (
+        sliced_join(df, cuts, by, groups, order)
+        .withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(order))))
+        .drop("_edges")
+    )
+    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    before = sizes.select(*by, "_range", "n", (upto - F.col("n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order))
+    return (
+        ranged.withColumn("_in_range", place)
+        .join(before.drop("n"), [*by, "_range"])
+        .withColumn(name, F.col("_before") + F.col("_in_range"))
+        .drop("_range", "_in_range", "_before")
+    )

@@ -155,14 +155,16 @@ def event_lanes(events: DataFrame, by: Sequence[str], d: str = "d", order: str =
     """Label lane of each event: 0, or one above the lane last used on that date if the event before it is close.
 
     Only the first event of a date can have its predecessor on an earlier day; each further one of that date climbs by
-    one. The previous date is looked up among the distinct dates, and the place inside a date needs only that date.
+    one. The previous date is looked up among the distinct dates, and a date with very many events is numbered in ranges.
     """
+    from newstide.operators.sets import numbered_in_groups
+
     days = events.select(*by, d).distinct()
     near = F.datediff(d, F.lag(d).over(Window.partitionBy(*by).orderBy(d))) < gap
-    days = days.withColumn("near", F.coalesce(near, F.lit(False)))
-    place = F.row_number().over(Window.partitionBy(*by, d).orderBy(order))
+    days = days.select(*by, d, F.coalesce(near, F.lit(False)).cast("int").alias("near"))
     return (
-        events.join(days, [*by, d])
-        .withColumn("lane", (place - 1 + F.col("near").cast("int")).cast("int"))
-        .drop("near")
+        numbered_in_groups(events, [*by, d], order, "_place")
+        .join(days, [*by, d])
+        .withColumn("lane", (F.col("_place") - 1 + F.col("near")).cast("int"))
+        .drop("near", "_place")
     )

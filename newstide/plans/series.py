@@ -122,7 +122,7 @@ def score_features(df: DataFrame, c: str = "score", count: str = "n_items") -> D
 
 
 def event_features(df: DataFrame, events: DataFrame) -> DataFrame:
-    df = with_event_reach(event_distance(df, events), events)
+    df = event_distance(with_event_reach(df, events), events)
     return df.withColumns(proximity_columns(F.col("days_to_next"), F.col("days_since_last")))
 
 
@@ -146,17 +146,13 @@ def feature_table(items: DataFrame, price: DataFrame, events: DataFrame) -> Data
 
     Articles, prices and events are first folded to days, and all ordered windows share the key (entity, day).
     """
-    daily = daily_stats(items).withColumn("year", F.year("d"))
-    base = daily.select(
-        "entity",
-        "d",
-        "n_items",
-        centered_mean("score_mean", 7, series(["entity", "year"]), 3).alias("score"),
-    )
+    daily = daily_stats(items).select("entity", "d", "n_items", "score_mean")
+    near = event_features(daily, events)  # joins on (entity, day) first, while rows still lie by entity and day
+    base = near.withColumn("score", centered_mean("score_mean", 7, series(["entity", F.year("d")]), 3)).drop("score_mean")
     base = base.withColumn("score", fill_both("score", series(["entity"])))
     table = asof_price(base, smoothed_price(price).withColumnRenamed("close", "price"), ["price"])
     table = table.withColumns(calendar_columns(F.col("d")))
-    return interactions(event_features(score_features(price_features(table)), events))
+    return interactions(score_features(price_features(table)))
 
 
 FEATURE_GROUPS = {

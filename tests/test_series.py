@@ -16,7 +16,7 @@ from newstide.operators import windows as W
 from newstide.operators.impact import event_study, pooled_t_test
 from newstide.operators.lag import best_lag, lag_correlation
 from newstide.operators.quantiles import exact_percentiles
-from newstide.operators.sets import numbered, top_bottom
+from newstide.operators.sets import numbered, numbered_in_groups, top_bottom
 
 DAY = dt.date(2021, 11, 20)
 
@@ -189,3 +189,12 @@ def test_correlation_matrix_uses_pairwise_rows(spark):
     pdf = df.toPandas().astype(float)
     for r in A.corr_matrix(df, ["a", "b", "c"]).collect():
         assert r["correlation"] == pytest.approx(pdf[r["left"]].corr(pdf[r["right"]]))
+
+
+def test_numbering_a_hot_group_in_ranges(spark):
+    df = spark.range(3000).selectExpr("pmod(hash(id), 1000000) * 10000L + id as k", "case when id % 3 = 0 then 'hot' else concat('g', id % 50) end as g")
+    got = numbered_in_groups(df, ["g"], "k", slice_rows=100)
+    from pyspark.sql import Window
+
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert got.select("k", "rn").exceptAll(want.select("k", F.col("rn").cast("long"))).count() == 0 and got.count() == 3000
