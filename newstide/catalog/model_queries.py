@@ -374,3 +374,49 @@ def _(spark, sf):
     seq = Q.temporal_split(Q.sequences(daily(spark, sf), FEATURES, "score_mean", 7))
     model = P.fit_trees(seq.where(F.col("split") == "train"), maxIter=5, maxDepth=3)
     return rounded(E.regression_metrics(P.tree_predictions(seq.where(F.col("split") == "test"), model), ["entity"]))
+
+
+LAG2 = f"""lag2 as (select entity, d, score_mean as y, lag(score_mean, 1) over ({WE}) as x1, lag(score_mean, 2) over ({WE}) as x2 from daily
+   qualify lag(score_mean, 2) over ({WE}) is not null),
+ cut2 as (select *, row_number() over ({WE}) <= floor(count(*) over (partition by entity) * 0.8) as train from lag2),
+ cov2 as (select entity, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12, covar_pop(x1, y) as s1, covar_pop(x2, y) as s2,
+   avg(x1) as m1, avg(x2) as m2, avg(y) as my from cut2 where train group by entity),
+ ols2 as (select entity, b1, b2, my - b1 * m1 - b2 * m2 as b0 from (select *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1,
+   (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from cov2))"""
+
+
+def _two_lags(spark, sf):
+    series = daily(spark, sf)
+    seq = Q.temporal_split(Q.sequences(series, ["score_mean"], "score_mean", 2))
+    return series, seq, P.fit_linear(seq.where(F.col("split") == "train"))
+
+
+@query(
+    "two_lag_backtest",
+    sql(
+        f"""select entity, n, {ROUNDED} from (select entity, {MEASURES} from (select entity, y as actual, b0 + b1 * x1 + b2 * x2 as predicted
+        from cut2 join ols2 using (entity) where not train) group by entity)""",
+        "daily",
+        LAG2,
+    ),
+)
+def _(spark, sf):
+    _, seq, model = _two_lags(spark, sf)
+    return rounded(E.regression_metrics(P.linear_predictions(seq.where(F.col("split") == "test"), model), ["entity"]))
+
+
+@query(
+    "two_lag_forecast",
+    sql(
+        """select entity, cast(d0 + step as date) as d, cast(step as int) as step, round(p, 6) as predicted from f2""",
+        "daily",
+        LAG2,
+        f"""ends as (select entity, d as d0, score_mean as y1, before as y2 from (select *, lag(score_mean) over ({WE}) as before from daily)
+          qualify row_number() over (partition by entity order by d desc) = 1)""",
+        """f2 as (with recursive g as (select entity, d0, 1 as step, b0 + b1 * y1 + b2 * y2 as p, y1 as q, b0, b1, b2 from ends join ols2 using (entity)
+          union all select entity, d0, step + 1, b0 + b1 * p + b2 * q, p, b0, b1, b2 from g where step < 30) select * from g)""",
+    ),
+)
+def _(spark, sf):
+    series, _, model = _two_lags(spark, sf)
+    return rounded(P.forecast_linear(P.last_window(series, ["score_mean"], 2), model, 30))
