@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newstide.catalog.bindings import daily, predictions, sql
+from newstide.catalog.bindings import daily, obs, predictions, sql
 from newstide.catalog.registry import query, rounded
-from newstide.catalog.series_queries import WE, rows
+from newstide.catalog.series_queries import CMP, WE, rows
 from newstide.functions.scores import grade, outlook, with_band
 from newstide.operators import evaluate as E
 from newstide.operators import forecast as P
@@ -15,6 +15,7 @@ from newstide.operators import sequences as Q
 from newstide.operators.asof import align_predictions
 from newstide.operators.rules import insight_reliable
 from newstide.operators.sets import latest
+from newstide.plans.report import analysis_report
 
 MEASURES = """count(*) as n, avg((predicted - actual) ** 2) as mse, avg(abs(predicted - actual)) as mae,
   sqrt(avg((predicted - actual) ** 2)) as rmse, 1 - avg((predicted - actual) ** 2) / var_pop(actual) as r2,
@@ -420,3 +421,48 @@ def _(spark, sf):
 def _(spark, sf):
     series, _, model = _two_lags(spark, sf)
     return rounded(P.forecast_linear(P.last_window(series, ["score_mean"], 2), model, 30))
+
+
+def _tidy_sql(section: str, entity: str, cells: dict[str, str], source: str) -> str:
+    return " union all ".join(
+        f"select '{section}' as section, {entity} as entity, '{m}' as metric, round(cast({e} as double), 6) + 0e0 as value from {source}"
+        for m, e in cells.items()
+    )
+
+
+@query(
+    "analysis_report",
+    sql(
+        " union all ".join(
+            [
+                _tidy_sql("overview", "'ALL'", {"n": "count(*)", "mean_score": "avg(score)", "std_score": "stddev_samp(score)"}, "obs"),
+                _tidy_sql("labels", "label", {"n": "n", "pct": "pct"}, "lab"),
+                _tidy_sql(
+                    "entities",
+                    "entity",
+                    {c: c for c in ("n", "share_pct", "mean_score", "std_score", "positive_ratio", "negative_ratio")},
+                    "cmp",
+                ),
+                _tidy_sql("model", "entity", {"mse": "mse", "mae": "mae", "r2": "r2"}, "metrics where model = 'ma7'"),
+                _tidy_sql("trend", "entity", {"first": "f", "last": "l", "size": "abs(l - f)"}, "trend"),
+                _tidy_sql("volatility", "entity", {"monthly": "v"}, "vol"),
+                _tidy_sql("outlook", "entity", {"current": "y0", "mean": "m", "change": "m - y0"}, "outl"),
+            ]
+        ),
+        "predictions",
+        METRICS,
+        CMP,
+        "lab as (select label, count(*) as n, 100e0 * count(*) / (select count(*) from obs) as pct from obs group by 1)",
+        """trend as (select entity, arg_min(m, y) as f, arg_max(m, y) as l from (select entity, year(d) as y, avg(score) as m from obs
+          group by 1, 2) group by 1)""",
+        """vol as (select entity, avg(s) as v from (select entity, date_trunc('month', d) as m, stddev_samp(score) as s from obs group by 1, 2)
+          group by 1)""",
+        AR,
+        AR_START,
+        AR_PATH,
+        "outl as (select entity, avg(predicted) as m, any_value(y0) as y0 from path join start using (entity) group by 1)",
+    ),
+)
+def _(spark, sf):
+    naive = predictions(spark, sf).where(F.col("model") == "ma7")
+    return rounded(analysis_report(obs(spark, sf), naive))

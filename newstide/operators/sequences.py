@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,12 +47,12 @@ def temporal_split(
         ranked = df.withColumns({"_rn": F.row_number().over(w.orderBy(d, *tie)), "_n": F.count(F.lit(1)).over(w)})
     else:
         ranked = numbered(df, d, tie or ["entity"], "_rn").withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
-    split, upto = F, 0.0
-    for name, fraction in fractions[:-1]:
-        upto += fraction
-        split = split.when(F.col("_rn") <= F.floor(F.col("_n") * round(upto, 12)), name)
-    tag = F.lit(fractions[-1][0]) if split is F else split.otherwise(fractions[-1][0])
-    return ranked.withColumn("split", tag).drop("_rn", "_n")
+    ends = [round(e, 12) for e in accumulate(f for _, f in fractions)]
+    cuts = [
+        F.when(F.col("_rn") <= F.floor(F.col("_n") * end), F.lit(name))
+        for (name, _), end in zip(fractions[:-1], ends[:-1], strict=True)
+    ]
+    return ranked.withColumn("split", F.coalesce(*cuts, F.lit(fractions[-1][0]))).drop("_rn", "_n")
 
 
 def sequence_summary(seq: DataFrame, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:

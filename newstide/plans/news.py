@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newstide.functions import words
 from newstide.functions.dates import parse_date, standardize_date
+from newstide.functions.scoring import Scorer, score_texts, with_sentiment
 from newstide.functions.text import (
     clean_html,
     clean_strict,
@@ -22,7 +23,6 @@ from newstide.functions.text import (
     title_keywords,
 )
 from newstide.operators.dedupe import dedupe_first
-from newstide.operators.sets import union_all
 from newstide.operators.similarity import Similarity, similar_survivors
 from newstide.operators.skew import stored
 
@@ -139,5 +139,9 @@ def tag_long(df: DataFrame, votes: Mapping[str, Sequence[str]] = words.VOTES, mi
     )
 
 
-def combine_files(dfs: Sequence[DataFrame]) -> DataFrame:
-    return union_all(dfs)
+def score_news(
+    df: DataFrame, load: Callable[[], Scorer], rules: Sequence[tuple[str, Sequence[str]]] = words.FIRST_MATCH
+) -> DataFrame:
+    """Tagged news with label and score: date, title, keywords, label, score, entity. Write it by entity and year."""
+    scored = with_sentiment(score_texts(tag_short(df, rules), "text", load), weighted=False)
+    return scored.select("date", "title", "keywords", "label", "score", "entity")

@@ -138,6 +138,17 @@ def parse_prices(raw: DataFrame) -> DataFrame:
     )
 
 
+def parse_launches(raw: DataFrame) -> DataFrame:
+    """Launch calendar as d, entity, product, category, kind; rows without a readable date are dropped."""
+    return raw.select(
+        parse_date(F.col("Date")).alias("d"),
+        F.lower("Company").alias("entity"),
+        F.col("Product").alias("product"),
+        F.col("Category").alias("category"),
+        F.col("Type").alias("kind"),
+    ).where(F.col("d").isNotNull())
+
+
 def file_profile(df: DataFrame, d: str = "d", file: str = "file") -> DataFrame:
     """Rows and date span per file, and whether the year in its name differs from the year of its data."""
     named = F.regexp_extract(file, r"((?:19|20)\d\d)", 1).try_cast("int")

@@ -54,6 +54,28 @@ def test_prices_of_both_styles_and_reversed_years(spark, tmp_path):
     assert raw.select(tables.file_part(F.col("file"), 1)).distinct().count() == 2
 
 
+def test_launches(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('Date,Product,Company,Category,Type\n2021-01-05,"Book 14""",Acme,Unknown,x\nsoon,Pad,Acme,Unknown,x\n')
+    rows = tables.parse_launches(tables.read_csv(spark, str(tmp_path / "l.csv"), tables.LAUNCHES)).collect()
+    assert [(r["d"], r["product"], r["entity"]) for r in rows] == [(dt.date(2021, 1, 5), 'Book 14"', "acme")]
+
+
+def test_scored_news_is_written_by_entity_and_year(spark, tmp_path):
+    from newstide.plans.news import score_news
+
+    raw = spark.createDataFrame(
+        [("20210105", "애플 신제품", None), ("2022-03-01", "삼성 실적", "반도체"), ("20220301", "날씨", "비")], ["date", "title", "keywords"]
+    )
+    load = lambda: lambda batch: [{"positive": 0.75, "negative": 0.25} for _ in batch]
+    scored = score_news(raw, load).withColumn("year", F.year("date"))
+    sinks.write_by_key(scored, str(tmp_path / "s"), ["entity", "year"], ["date"], "title")
+    back = tables.read_csv(spark, str(tmp_path / "s"))
+    assert {(r["entity"], r["year"], r["label"], r["score"]) for r in back.collect()} == {
+        ("apple", 2021, "positive", "4.0"),
+        ("samsung", 2022, "positive", "4.0"),
+    }
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(20).selectExpr("id", "concat('e', id % 2) as entity", "'say \"hi\", you' as t")
     sinks.write_by_key(df, str(tmp_path / "o"), ["entity"], ["id"], "id", files_per_key=2)
