@@ -390,9 +390,8 @@ def _tfidf(scope: str) -> str:
 def _(spark, sf):
     rows = dedupe_first(articles(spark, sf), ["title"], ["doc_id"])
     words = bags(rows, "doc_id", "title", "d", None)
-    count = words.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
     folded = stored(fold_bags(words), "bags")
-    vectors = unit_vectors(folded, count).select("id", F.explode("terms").alias("t"))
+    vectors = unit_vectors(folded).select("id", F.explode("terms").alias("t"))
     # Rows of one bag share its vector.
     members = words.where(F.size("words") > 0).join(folded.select("words", "id"), "words").select(
         words["id"].alias("doc_id"), folded["id"].alias("id")

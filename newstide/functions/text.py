@@ -13,6 +13,7 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 STRICT_DROP = r"[^\p{L}\p{N}_.,!?:%-]+"
 KEYWORD_LABEL = "키워드:"
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def _col(c: Column | str) -> Column:
@@ -115,7 +116,7 @@ def truncate(c: Column | str, n: int = 512) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased words of two or more word characters, in text order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def product_category(name: Column | str, rules: Sequence[tuple[str, Sequence[str]]], default: str = "Unknown") -> Column:

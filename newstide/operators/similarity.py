@@ -22,8 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newstide.functions.text import let, tokens
-from newstide.operators.skew import GRID_KEYS, grid, sliced_join, stored
+from newstide.functions.text import WORD, let, tokens
+from newstide.operators.skew import GRID_KEYS, grid_cuts, grid_place, sliced_join, stored
 
 MARGIN = 1e-9  # keeps rounding from shortening a prefix
 
@@ -60,18 +60,25 @@ def bags(df: DataFrame, row_id: str, text: str, date: str, scope: str | None) ->
 
 
 def fold_bags(rows: DataFrame) -> DataFrame:
-    """One row per scope and bag of words: its first row in the keep order, its number of rows and its word counts."""
+    """One row per scope and bag of words: its first row in the keep order, its number of rows and its word counts.
+
+    Rows without words fold into one row as well; it counts towards the scope but has no vector.
+    """
     return (
-        rows.where(F.size("words") > 0)
-        .groupBy("scope", "words")
+        rows.groupBy("scope", "words")
         .agg(F.max(F.struct("rank", "id")).alias("first"), F.count(F.lit(1)).alias("copies"))
         .select(
-            "scope", F.col("first.id").alias("id"), F.col("first.rank").alias("rank"), "copies", "words", _runs("words").alias("runs")
+            "scope",
+            F.col("first.id").alias("id"),
+            F.col("first.rank").alias("rank"),
+            "copies",
+            "words",
+            F.when(F.size("words") > 0, _runs("words")).alias("runs"),
         )
     )
 
 
-def unit_vectors(folded: DataFrame, rows_in_scope: DataFrame) -> DataFrame:
+def unit_vectors(folded: DataFrame) -> DataFrame:
     """TF-IDF unit vectors of the folded rows, words from rare to frequent.
 
     idf = ln((1 + rows) / (1 + rows with the word)) + 1, counted over all rows, not over folded ones.
@@ -79,6 +86,7 @@ def unit_vectors(folded: DataFrame, rows_in_scope: DataFrame) -> DataFrame:
     terms = folded.select("scope", "id", "copies", F.explode("runs").alias("t")).select(
         "scope", "id", "copies", "t.token", "t.tf"
     )
+    rows_in_scope = folded.groupBy("scope").agg(F.sum("copies").alias("rows"))
     words = terms.groupBy("scope", "token").agg(
         F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n")
     )
@@ -165,13 +173,10 @@ def _complete(vectors: DataFrame, alive: DataFrame, cfg: Similarity) -> DataFram
     word = F.explode("prefix").alias("token")
     keys = ["scope", "token"]
 
-    victims, others = grid(
-        alive.where(short).select("scope", "id", "rank", "terms", word),
-        vectors.where(short).select("scope", "id", "rank", "terms", word),
-        keys,
-        "id",
-    )
-    others = others.select(
+    cuts = grid_cuts(alive.select("scope", word), vectors.select("scope", word), keys)
+
+    victims = grid_place(alive.where(short).select("scope", "id", "rank", "terms", word), cuts, keys, "id", True)
+    others = grid_place(vectors.where(short).select("scope", "id", "rank", "terms", word), cuts, keys, "id", False).select(
         *[F.col(k).alias(f"o_{k}") for k in (*keys, *GRID_KEYS)], F.col("rank").alias("o_rank"), _as_map("terms").alias("o_weights")
     )
     same_cell = F.lit(True)
@@ -181,10 +186,8 @@ def _complete(vectors: DataFrame, alive: DataFrame, cfg: Similarity) -> DataFram
 
     # At least one long vector: only ids travel with the words, distinct pairs fetch their vectors once.
     slim = ["scope", "id", "rank", "is_long", word]
-    a, b = grid(
-        alive.withColumn("is_long", ~short).select(*slim), vectors.withColumn("is_long", ~short).select(*slim), keys, "id"
-    )
-    b = b.select(*keys, *GRID_KEYS, F.col("id").alias("o_id"), F.col("rank").alias("o_rank"), F.col("is_long").alias("o_long"))
+    a = grid_place(alive.withColumn("is_long", ~short).select(*slim), cuts, keys, "id", True)
+    b = grid_place(vectors.withColumn("is_long", ~short).select(*slim), cuts, keys, "id", False).select(*keys, *GRID_KEYS, F.col("id").alias("o_id"), F.col("rank").alias("o_rank"), F.col("is_long").alias("o_long"))
     pairs = (
         a.join(b, [*keys, *GRID_KEYS])
         .where((F.col("is_long") | F.col("o_long")) & (F.col("o_rank") > F.col("rank")))
@@ -208,10 +211,9 @@ def similar_survivors(
     Rows without a single word have no similarity to anything and stay.
     """
     rows = bags(df, row_id, text, date, scope)
-    in_scope = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
     folded = stored(fold_bags(rows), "bags")
     vectors = stored(
-        unit_vectors(folded, in_scope)
+        unit_vectors(folded)
         .join(folded.select("id", "rank"), "id")
         .withColumns({"prefix": _prefix(cfg.threshold), "bands": _bands(cfg)}),
         "vectors",
@@ -219,7 +221,7 @@ def similar_survivors(
     alive = stored(vectors.join(_prune(vectors, cfg).distinct(), "id", "left_anti"), "alive")
     beaten = _complete(vectors, alive, cfg).distinct()
     kept = alive.select("id").join(beaten, "id", "left_anti")
-    wordless = rows.where(F.size("words") == 0).select("id")
+    wordless = df.where(~F.coalesce(F.col(text), F.lit("")).rlike(WORD)).select(F.col(row_id).alias("id"))
     return kept.unionByName(wordless).withColumnRenamed("id", row_id)
 
 

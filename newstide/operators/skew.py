@@ -70,19 +70,17 @@ def sliced_join(
     return left.join(right, test, how).drop("_slice", *[f"_r_{k}" for k in on])
 
 
-def grid(
-    victims: DataFrame, others: DataFrame, keys: Sequence[str], row_id: str, cell: int = 20_000
-) -> tuple[DataFrame, DataFrame]:
-    """Prepare both sides of a many-to-many join so that no cell holds more than about ``cell`` rows of a side.
+def grid_cuts(victims: DataFrame, others: DataFrame, keys: Sequence[str], cell: int = 20_000) -> DataFrame:
+    """How to cut each hot key of a many-to-many join so that no cell holds more than about ``cell`` rows of a side.
 
-    A key with v rows left and o rows right is cut into ceil(v/cell) x ceil(o/cell) cells: each left row is repeated
-    along the right cuts and the other way round. Only keys above both the cell size and ``HOT_SHARE`` are cut.
+    A key with v rows left and o rows right becomes ceil(v/cell) x ceil(o/cell) cells: each left row is repeated along
+    the right cuts and the other way round. Only keys above both the cell size and ``HOT_SHARE`` are cut.
     """
     v = victims.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     o = others.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o"))
     sizes = v.join(o, list(keys)).withColumn("n", F.col("_v") + F.col("_o"))
     unit = sizes.agg(F.greatest(F.sum("n") * HOT_SHARE, F.lit(float(cell)))).scalar()
-    cuts = F.broadcast(  # at most 1 / HOT_SHARE rows
+    return F.broadcast(  # at most 1 / HOT_SHARE rows
         sizes.where(F.col("n") > unit).select(
             *keys,
             F.ceil(F.col("_v") / cell).cast("int").alias("_cut_v"),
@@ -90,16 +88,16 @@ def grid(
         )
     )
 
-    def place(df: DataFrame, mine: str, other: str) -> DataFrame:
-        own = F.coalesce(mine, F.lit(1))
-        return (
-            df.join(cuts, list(keys), "left")
-            .withColumn(f"{mine}_cell", F.pmod(F.xxhash64(row_id), own).cast("int"))
-            .withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
-            .drop(mine, other)
-        )
 
-    return place(victims, "_cut_v", "_cut_o"), place(others, "_cut_o", "_cut_v")
+def grid_place(df: DataFrame, cuts: DataFrame, keys: Sequence[str], row_id: str, victims: bool) -> DataFrame:
+    """Rows of one side with their cell, the columns ``GRID_KEYS``."""
+    mine, other = ("_cut_v", "_cut_o") if victims else ("_cut_o", "_cut_v")
+    return (
+        df.join(cuts, list(keys), "left")
+        .withColumn(f"{mine}_cell", F.pmod(F.xxhash64(row_id), F.coalesce(mine, F.lit(1))).cast("int"))
+        .withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        .drop(mine, other)
+    )
 
 
 GRID_KEYS = ("_cut_v_cell", "_cut_o_cell")

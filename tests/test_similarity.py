@@ -11,7 +11,7 @@ import pytest
 from newstide.operators import similarity as S
 from newstide.operators.dedupe import dedupe_first
 from newstide.operators.similarity import Similarity, similar_survivors
-from newstide.operators.skew import grid, hot_keys, sliced_join
+from newstide.operators.skew import grid_cuts, hot_keys, sliced_join
 
 SCHEMA = "id long, title string, d date, src string"
 
@@ -73,7 +73,7 @@ def test_survivors_match_brute_force(spark, seed, carried):
 def test_completion_alone_is_exact(spark, monkeypatch):
     """Without the pruning step and with tiny cells the prefix join still finds every loser."""
     monkeypatch.setattr(S, "_prune", lambda v, cfg: v.where("false").select("id"))
-    monkeypatch.setattr(S, "grid", lambda a, b, k, i: grid(a, b, k, i, cell=5))
+    monkeypatch.setattr(S, "grid_cuts", lambda a, b, k: grid_cuts(a, b, k, cell=5))
     rows = titles(200, 3)
     got = similar_survivors(spark.createDataFrame(rows, SCHEMA), "id", "title", "d")
     assert {r["id"] for r in got.collect()} == brute(rows)
