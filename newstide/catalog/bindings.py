@@ -5,7 +5,7 @@ Every binding reads its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newstide.operators.aggregates import daily_stats
@@ -84,8 +84,6 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Naive forecasts of the daily mean: yesterday's value, or a trailing mean of the rows before."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("entity").orderBy("d")
     named = F.array(
         F.struct(F.lit("last").alias("model"), F.lag("score_mean").over(w).alias("predicted")),

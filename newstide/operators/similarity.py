@@ -125,15 +125,19 @@ def _prefix(threshold: float) -> Column:
 def _bands(cfg: Similarity) -> Column:
     """One hash per band over the minima of ``rows_per_band`` hash functions."""
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("terms", lambda t: F.xxhash64(F.lit(seed), t["token"])))
-
-    return F.array(
-        *[
-            F.xxhash64("scope", F.lit(b), *[least(b * cfg.rows_per_band + r) for r in range(cfg.rows_per_band)])
-            for b in range(cfg.bands)
-        ]
-    )
+    def least(hashes: Column, seed: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(F.lit(seed), h)))
+
+    def bands(hashes: Column) -> Column:
+        size = cfg.rows_per_band
+        return F.array(
+            *[
+                F.xxhash64("scope", F.lit(b), *[least(hashes, seed) for seed in range(b * size, (b + 1) * size)])
+                for b in range(cfg.bands)
+            ]
+        )
+
+    return let(F.transform("terms", lambda t: F.xxhash64(t["token"])), bands)
 
 
 def _dot(terms: Column, weights: Column) -> Column:

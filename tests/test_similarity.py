@@ -51,7 +51,7 @@ def titles(n, seed, copies=0.35, vocabulary=60):
         elif u < copies + 0.05:
             t = rnd.choice(["!", "a b", "", None])
         else:
-            base = rnd.Random if False else random.Random(rnd.randrange(n // 4))
+            base = random.Random(rnd.randrange(n // 4))
             picked = base.sample(words, 8)
             if rnd.random() < 0.5:
                 picked[rnd.randrange(8)] = rnd.choice(words)
