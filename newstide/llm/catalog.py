@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstide.llm import byte_bpe, packing
+from newstide.llm import byte_bpe, near_dups, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +43,7 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
+    "op8_near_dups": op8_near_dups,
     "op9_byte_bpe": op9_byte_bpe,
 }
 SQL: dict[str, str] = {}
