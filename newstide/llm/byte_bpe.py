@@ -180,22 +180,32 @@ def unit_encoder(ranks: Ranks, pattern: str):
     return encode
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def _bytes(ids: bytes, token: list[bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
     """Add ``out``, the ids of each whole text as little-endian unsigned 32-bit integers in one binary value.
 
     Every match of ``pattern`` (a ``regex`` pattern) is encoded apart by the ranks in the tiktoken file ``path``, a place
-    each executor must have. There are no special tokens: their strings are ordinary text. A null or empty text has no
-    ids (an empty value). A column already called ``out`` is replaced, all others stay. Rows are independent: ties,
+    each executor must have. There are no special tokens: their strings are ordinary text. With ``back`` the ids are
+    decoded at once, in the same pass, into a binary column of that name. A null or empty text has no
+    ids (an empty value). A column already called like a new one is replaced, all others stay. Rows are independent: ties,
     repeated rows and empty tables need no rule.
     """
+    kind = f"struct<ids: binary{', back: binary' if back else ''}>"
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf(kind)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = kept(("bpe", path, pattern), lambda: UnitCache(unit_encoder(kept(("ranks", path), lambda: Ranks(path)), pattern)))
+        ranks = kept(("ranks", path), lambda: Ranks(path))
+        cache = kept(("bpe", path, pattern), lambda: UnitCache(unit_encoder(ranks, pattern)))
         for part in parts:
-            yield pa.array(cache.texts([t or "" for t in part.to_pylist()]), pa.binary())
+            ids = pa.array(cache.texts(x.as_py() for x in part), pa.binary())
+            more = {"back": pa.array((_bytes(x.as_py(), ranks.bytes) for x in ids), pa.binary())} if back else {}
+            yield pa.StructArray.from_arrays([ids, *more.values()], ["ids", *more])
 
-    return docs.withColumn(out, run(F.col(text)))
+    coded = docs.withColumn("_coded", run(F.col(text))).withColumn(out, F.col("_coded.ids"))
+    return (coded.withColumn(back, F.col("_coded.back")) if back else coded).drop("_coded")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -206,8 +216,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     @F.arrow_udf("binary")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = kept(("ranks", path), lambda: Ranks(path)).bytes.__getitem__
+        token = kept(("ranks", path), lambda: Ranks(path)).bytes
         for part in parts:
-            yield pa.array([None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in part.to_pylist()], pa.binary())
+            yield pa.array((_bytes(v, token) if (v := x.as_py()) is not None else None for x in part), pa.binary())
 
     return rows.withColumn(out, run(F.col(ids)))

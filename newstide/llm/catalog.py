@@ -32,8 +32,7 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.decode(coded, path).select(
+    return byte_bpe.encode(docs, path, public_tokenizers.PATTERN, back="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

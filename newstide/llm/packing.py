@@ -156,17 +156,16 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
         types = None
         for batch in batches:
             types = types or [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for at in range(0, batch.num_rows, 1024):
-                few = batch.slice(at, 1024)
-                for doc, ids in zip(few.column(0).to_pylist(), cache.texts([t or "" for t in few.column(1).to_pylist()]), strict=True):
-                    whole = (doc, ids + stop)
-                    n = len(whole[1]) // 4
-                    for start in range(0, n - window + 1, window):
-                        out([(whole, start, window)])
-                    if rest := n % window:
-                        held = levels.add(((doc, ids + stop), n - rest, rest), rest)
-                        if held:
-                            out(held)
+            texts = (x.as_py() for x in batch.column(1))
+            for doc, ids in zip(batch.column(0), cache.texts(texts), strict=True):
+                whole = (doc.as_py(), ids + stop)
+                n = len(whole[1]) // 4
+                for start in range(0, n - window + 1, window):
+                    out([(whole, start, window)])
+                if rest := n % window:
+                    held = levels.add((whole, n - rest, rest), rest)
+                    if held:
+                        out(held)
                 if len(rows) > 500:
                     yield flush()
         if types:

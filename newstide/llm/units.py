@@ -8,7 +8,7 @@ their units, which makes one dictionary look-up of most of them.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -18,13 +18,21 @@ FIRST, LAST = " <", " >"  # mark the first unit of a text, which has no space be
 class UnitCache:
     """Little-endian unsigned 32-bit ids by unit, for at most ``limit`` units of at most ``longest`` characters."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 700_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000, longest: int = 48):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.ids: dict[str, bytes] = {}
 
-    def texts(self, texts: Sequence[str], chunk: int = 1024) -> Iterator[bytes]:
-        for at in range(0, len(texts), chunk):
-            yield from self._chunk(texts[at : at + chunk])
+    def texts(self, texts: Iterable[str | None], chunk: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text in order; a null counts as empty. About ``chunk`` characters are worked on at once."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= chunk:
+                yield from self._chunk(some)
+                some, size = [], 0
+        if some:
+            yield from self._chunk(some)
 
     def _chunk(self, texts: Sequence[str]) -> list[bytes]:
         cut = [_spaced(t) for t in texts]

@@ -50,6 +50,10 @@ def test_encode_as_the_library_and_back(spark, reference):
     for r in byte_bpe.decode(coded, RANKS).collect():
         assert np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(r.text or "")
         assert r.decoded == (r.text or "").encode()
+    both = byte_bpe.encode(rows(spark, values), RANKS, P.PATTERN, back="text2")
+    assert both.columns == ["doc_id", "text", "ids", "text2"]
+    assert all(r.text2 == (r.text or "").encode() for r in both.collect())
+    assert byte_bpe.encode(rows(spark, []), RANKS, P.PATTERN).count() == 0
 
 
 def test_long_pieces_take_the_same_merges(reference):
@@ -62,7 +66,7 @@ def test_long_pieces_take_the_same_merges(reference):
 
 def test_a_full_cache_changes_nothing(reference):
     cache = UnitCache(byte_bpe.unit_encoder(byte_bpe.Ranks(RANKS), P.PATTERN), limit=3)
-    for t, got in zip(texts(), cache.texts(texts(), chunk=7), strict=True):
+    for t, got in zip(texts(), cache.texts(texts(), chunk=90), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == reference.encode_ordinary(t)
 
 
