@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstide.llm import byte_bpe, near_dups, packing
+from newstide.llm import byte_bpe, license_scan, near_dups, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,21 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
+    places = F.col("base.k")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +38,11 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.assess(_table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
+
+
 def op8_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf, "documents"))
 
@@ -41,7 +61,9 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_near_dups": op8_near_dups,
     "op9_byte_bpe": op9_byte_bpe,
 }

@@ -6,6 +6,7 @@ are the summed histograms of all documents of a language.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,12 +28,15 @@ SPACES = "\t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Rules:
-    """Distances above the limits reject. They are judged only where a text is long enough for a stable histogram."""
+    """Distances above the limits reject. They are judged only where a text is long enough for a stable histogram.
 
-    class_limit: float = 0.25
+    The distance of common words is taken as a share of that of a text without any.
+    """
+
+    class_limit: float = 0.28
     class_chars: int = 200
-    common_limit: float = 0.7
-    common_words: int = 100
+    common_limit: float = 0.975
+    common_words: int = 200
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
 
 
@@ -83,6 +87,16 @@ def js_distance(counts: Column, reference: Sequence[float]) -> Column:
     return _once(counts, of)
 
 
+def plain_js_distance(counts: Sequence[float], reference: Sequence[float]) -> float:
+    """``js_distance`` of two histograms given as numbers."""
+    total = sum(counts)
+    if not total:
+        return 0.0
+    part = lambda p, m: p * math.log2(p / m) if p > 0 else 0.0
+    shares = [(c / total, q) for c, q in zip(counts, reference, strict=True)]
+    return math.sqrt(max(0.0, sum((part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2 for p, q in shares)))
+
+
 def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, dict[str, list[float]]]:
     """By language the shares of the character classes and of the common words over all its documents.
 
@@ -104,16 +118,21 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
 def judge(docs: DataFrame, refs: dict[str, dict[str, list[float]]], rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance and kept.
 
-    Distances are those to the nearest reference; without references they are 0. A null or empty text has
+    Distances are those to the nearest reference; without references they are 0. ``common_distance`` is a share of the
+    distance of a text without common words. A null or empty text has
     no words: all counts are 0 and it fails the base rule. Columns already called so are replaced, all others stay.
     Rows are independent of each other but for the references, so repeated rows get the same verdict.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.translate(x, SPACES + " ", "") != "")
 
+    def scale(reference: dict[str, list[float]], kind: str) -> float:
+        """1 for character classes, for common words the distance of a text without any."""
+        return 1.0 if kind == "c" else plain_js_distance([0] * len(VOCABULARY) + [1], reference["w"]) or 1.0
+
     def measures(tokens: Column) -> Column:
         counts = common_counts(tokens)
-        nearest = lambda c, k: F.least(*near, near[0]) if (near := [js_distance(c, r[k]) for r in refs.values()]) else F.lit(0.0)
+        nearest = lambda c, k: F.least(*near, near[0]) if (near := [js_distance(c, r[k]) / scale(r, k) for r in refs.values()]) else F.lit(0.0)
         return F.struct(
             F.size(tokens).cast("long").alias("n_words"),
             F.aggregate(tokens, F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars"),
