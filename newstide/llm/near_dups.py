@@ -1,8 +1,10 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, union of links.
 
 No group of similar texts is ever listed as pairs. Equal sets are folded to one node first. In each bucket of a band
-the nodes are compared with one of them; nodes joined by verified links share a component, and only pairs of different
-components that are left in a bucket after ``STARS`` such rounds are looked at one by one, in cells of bounded size.
+the nodes are compared with one of them; nodes joined by verified links share a component. What is left after ``STARS``
+such rounds, buckets that still hold different components, is compared inside tasks that hold cells of bounded size:
+first signatures, to find families of nodes that may be linked, then the full sets of a family. A task returns no pairs
+but the links that join components.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from newstide.operators.skew import stored
 LENGTH = 128  # of a signature
 BANDS = 32  # of four components: a pair at 0.75 shares no band with a chance of 5e-6
 STARS = 2  # rounds of comparing buckets with one of their nodes
-CELL = 256  # nodes of a bucket that meet at once in one task
+CELL = 512  # nodes of a bucket in a cell; two cells meet in one task, as signatures
+FAMILY_CELL = 256  # nodes of a family in a cell; two cells meet in one task, as full sets
 SLACK = 0.19  # of a similarity estimated from signatures: five standard deviations at 0.75
 BROADCAST_ROWS = 1_000_000  # a list of ids up to this length is broadcast, a longer one is joined by shuffle
 
@@ -95,19 +98,20 @@ def small_or_shuffled(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets share at least ``percent`` of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-            keep = []
-            for left, right in zip(x, y, strict=True):
-                left, right = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
-                both = np.concatenate([left, right])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
+            keep = [similar(np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8"), percent) for left, right in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.binary()) for c in (a, b)], ["a", "b"])
 
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
@@ -155,32 +159,82 @@ def _sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _rest(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures come near the threshold, cell by cell."""
-    size = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    placed = members.join(size, "bucket").join(sigs, "node").withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
+def _meetings(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows of a group dealt into cells of about ``size``; each row is repeated for every pair of cells it is in, (x, y)."""
+    cells = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cells"))
+    placed = rows.join(cells, key).withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda k: F.struct(F.least(k, "cell").alias("x"), F.greatest(k, "cell").alias("y")))
-    placed = placed.select("bucket", "node", "label", "n", "sig", "cell", F.explode(meets).alias("m"))
-    floor = (percent / 100 - SLACK) * LENGTH
+    return placed.withColumn("meet", F.explode(meets)).drop("cells")
+
+
+class _Cell:
+    """The nodes of one meeting, with a union-find over their labels."""
+
+    def __init__(self, key: tuple, rows: pa.Table, percent: int):
+        self.node = rows["node"].to_pylist()
+        self.sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(self.node), -1)
+        self.cell, self.n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+        number: dict[bytes, int] = {}
+        self.root = np.array([number.setdefault(v, len(number)) for v in rows["label"].to_pylist()])
+        self.two, self.percent = key[1].as_py() != key[2].as_py(), percent
+
+    def near(self, k: int) -> np.ndarray:
+        """The nodes after k of other labels whose signature comes near the threshold, nearest first."""
+        others = np.flatnonzero(self.root[k + 1 :] != self.root[k]) + k + 1
+        others = others[100 * np.minimum(self.n[others], self.n[k]) >= self.percent * np.maximum(self.n[others], self.n[k])]
+        if self.two:
+            others = others[self.cell[others] != self.cell[k]]
+        same = (self.sig[others] == self.sig[k]).sum(1)
+        close = same >= (self.percent / 100 - SLACK) * self.sig.shape[1]
+        return others[close][np.argsort(-same[close], kind="stable")]
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.root == self.root[b]] = self.root[a]
+
+
+def _families(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """node and family: what pairs of different components with near signatures reach, by buckets and their cells.
+
+    A cell gives one row for each node that has such a neighbour, not one for each pair.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        cell = _Cell(key, rows, percent)
+        a, b = [], []
+        for k in range(len(cell.node)):
+            for o in cell.near(k):
+                if cell.root[o] != cell.root[k]:
+                    cell.join(k, int(o))
+                    a.append(cell.node[k])
+                    b.append(cell.node[o])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    met = _meetings(members.join(sigs, "node"), "bucket", CELL)
+    stars = stored(met.select("bucket", "node", F.col("node").alias("label"), "n", "sig", "cell", "meet").groupBy("bucket", "meet.x", "meet.y").applyInArrow(run, "a binary, b binary").distinct(), "stars")
+    return components(stars).select("node", F.col("label").alias("family"))
+
+
+def _rest(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links between the different components that are left, at most one for each two of them in a cell."""
+    families = _families(members, sigs, percent)
+    named = members.select("node", "label", "n").distinct().join(families, "node")
+    mixed = named.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family")
+    full = named.join(mixed, "family").join(sigs, "node").join(sets, "node")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        node, label = rows["node"].to_pylist(), rows["label"].to_pylist()
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(len(node), -1)
-        cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
-        number = {v: k for k, v in enumerate(dict.fromkeys(label))}
-        label = np.array([number[v] for v in label])
+        cell = _Cell(key, rows, percent)
+        items = [np.frombuffer(x, "<u8") for x in rows["items"].to_pylist()]
         a, b = [], []
-        for k in range(len(node)):
-            others = np.flatnonzero((label != label[k]) & (np.arange(len(node)) > k) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
-            if key[1] != key[2]:
-                others = others[cell[others] != cell[k]]
-            for o in others[(sig[others] == sig[k]).sum(1) >= floor]:
-                x, y = sorted((node[k], node[o]))
-                a.append(x)
-                b.append(y)
+        for k in range(len(cell.node)):
+            for o in cell.near(k):
+                if cell.root[o] != cell.root[k] and similar(items[k], items[o], percent):
+                    cell.join(k, int(o))
+                    a.append(cell.node[k])
+                    b.append(cell.node[o])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return placed.groupBy("bucket", "m.x", "m.y").applyInArrow(run, "a binary, b binary").distinct()
+    met = _meetings(full, "family", FAMILY_CELL)
+    return met.select("family", "node", "label", "n", "sig", "items", "cell", "meet").groupBy("family", "meet.x", "meet.y").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
@@ -218,8 +272,8 @@ def _labels(docs: DataFrame, nodes: DataFrame, id: str, text: str, percent: int,
         left = stored(_split(members, labels), "left")
         if left.isEmpty():
             break
-        pairs = _star(left, turn, percent) if turn < STARS else _rest(left, nodes.select("node", "sig"), percent)
-        found = stored(verified(pairs, sets, percent), "verified")
+        links_now = verified(_star(left, turn, percent), sets, percent) if turn < STARS else _rest(left, nodes.select("node", "sig"), sets, percent)
+        found = stored(links_now, "verified")
         if found.isEmpty():
             continue
         links = found if links is None else links.union(found)

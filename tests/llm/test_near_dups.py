@@ -111,6 +111,7 @@ def test_against_all_pairs(spark):
 def test_the_last_pass_finds_what_stars_leave(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "STARS", 0)
     monkeypatch.setattr(near_dups, "CELL", 7)
+    monkeypatch.setattr(near_dups, "FAMILY_CELL", 5)
     rows = planted()[150:]
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
