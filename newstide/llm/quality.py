@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newstide.operators.skew import stored
+
 #: Frequent words of four languages.
 COMMON = {
     "en": "the of and to in a is that for it on with as are this by from was be an".split(),
@@ -20,10 +22,11 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans sur au par ne il".split(),
     "es": "de la que el en y a los se del las un por con no una su para es lo".split(),
 }
-#: Classes of characters. What none of them holds is counted as other.
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[\\x20\\x09-\\x0D]", "[.,;:!?'\"()\\-]", "[#*$%&|<>]", "[^\\x00-\\x7F]")
+#: Classes of characters, frequent ones first. What none of them holds is counted as other.
+CLASSES = ("[a-z]", "[\\x20\\x09-\\x0D]", "[A-Z]", "[^\\x00-\\x7F]", "[.,;:!?'\"()\\-]", "[#*$%&|<>]", "[0-9]")
+SPACE, SYMBOL = 1, 5
 VOCABULARY = sorted({w for words in COMMON.values() for w in words})
-SPACES = "\t\n\x0b\x0c\r"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -47,7 +50,8 @@ def _once(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of other characters than ASCII white space."""
-    return F.filter(F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1), lambda w: w != "")
+    cut = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+", -1))
+    return _once(F.btrim(text, F.lit(SPACES)), cut)
 
 
 def repeat_words(tokens: Column) -> Column:
@@ -62,9 +66,14 @@ def repeat_words(tokens: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    known = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
-    total = F.length(text).cast("double")
-    return _once(F.array(*known), lambda a: F.concat(a, F.array(total - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
+    """Characters by class: each is cut out of what the classes before it have left."""
+
+    def cut(left: Column, counts: list[Column], classes: Sequence[str]) -> Column:
+        if not classes:
+            return F.array(*counts, F.length(left).cast("double"))
+        return _once(F.regexp_replace(left, classes[0] + "+", ""), lambda rest: cut(rest, [*counts, (F.length(left) - F.length(rest)).cast("double")], classes[1:]))
+
+    return _once(text, lambda t: cut(t, [], CLASSES))
 
 
 def common_counts(tokens: Column) -> Column:
@@ -97,66 +106,81 @@ def plain_js_distance(counts: Sequence[float], reference: Sequence[float]) -> fl
     return math.sqrt(max(0.0, sum((part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2 for p, q in shares)))
 
 
-def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """By language the shares of the character classes and of the common words over all its documents.
+def references(counted: DataFrame, rules: Rules = Rules(), lang: str = "lang") -> dict[str, dict[str, list[float]]]:
+    """By language the shares of the character classes and of the common words over all its documents, from ``histograms``.
 
     One row for each language of ``rules`` comes back to the driver, whatever the size of the corpus. A language without
     words is left out.
     """
-    tokens = words(F.coalesce(F.col(text), F.lit("")))
-    raw = docs.where(F.col(lang).isin(list(rules.languages))).select(F.col(lang).alias("lang"), class_counts(F.coalesce(F.col(text), F.lit(""))).alias("c"), _once(tokens, common_counts).alias("w"))
-    sizes = {"c": len(CLASSES) + 1, "w": len(VOCABULARY) + 1}
+    sizes = {"classes": len(CLASSES) + 1, "common": len(VOCABULARY) + 1}
     sums = [F.sum(F.col(k)[i]).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)]
     out = {}
-    for row in raw.groupBy("lang").agg(*sums).collect():
+    for row in counted.where(F.col(lang).isin(list(rules.languages))).groupBy(F.col(lang).alias("lang")).agg(*sums).collect():
         shares = {k: [row[f"{k}{i}"] / max(sum(row[f"{k}{j}"] for j in range(n)), 1) for i in range(n)] for k, n in sizes.items()}
-        if sum(shares["w"]) > 0:
+        if sum(shares["common"]) > 0:
             out[row["lang"]] = shares
     return out
 
 
-def judge(docs: DataFrame, refs: dict[str, dict[str, list[float]]], rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance and kept.
+def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add classes and common, the counts that ``references`` sums up."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"classes": class_counts(whole), "common": _once(words(whole), common_counts)})
 
-    Distances are those to the nearest reference; without references they are 0. ``common_distance`` is a share of the
-    distance of a text without common words. A null or empty text has
-    no words: all counts are 0 and it fails the base rule. Columns already called so are replaced, all others stay.
-    Rows are independent of each other but for the references, so repeated rows get the same verdict.
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the histograms classes and common.
+
+    A null or empty text has no words: all counts are 0. Columns already called so are replaced, all others stay.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n", -1), lambda x: F.translate(x, SPACES + " ", "") != "")
-
-    def scale(reference: dict[str, list[float]], kind: str) -> float:
-        """1 for character classes, for common words the distance of a text without any."""
-        return 1.0 if kind == "c" else plain_js_distance([0] * len(VOCABULARY) + [1], reference["w"]) or 1.0
+    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def measures(tokens: Column) -> Column:
-        counts = common_counts(tokens)
-        nearest = lambda c, k: F.least(*near, near[0]) if (near := [js_distance(c, r[k]) / scale(r, k) for r in refs.values()]) else F.lit(0.0)
         return F.struct(
             F.size(tokens).cast("long").alias("n_words"),
-            F.aggregate(tokens, F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars"),
-            F.regexp_count(whole, F.lit(CLASSES[5])).cast("long").alias("n_symbols"),
             _once(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeat_words(tokens).alias("n_repeat_words"),
-            _once(class_counts(whole), lambda c: nearest(c, "c")).alias("class_distance"),
-            _once(counts, lambda c: nearest(c, "w")).alias("common_distance"),
-            F.length(whole).alias("chars"),
+            common_counts(tokens).alias("common"),
         )
 
-    m = docs.withColumn("_m", _once(words(whole), measures))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance"]
-    failed = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    far = ((F.col("_m.chars") >= rules.class_chars) & (F.col("_m.class_distance") > rules.class_limit)) | ((F.col("_m.n_words") >= rules.common_words) & (F.col("_m.common_distance") > rules.common_limit))
-    return m.withColumns({n: F.col(f"_m.{n}") for n in names} | {"base_failed": failed, "kept": ~failed & ~far}).drop("_m")
+    m = docs.withColumn("_m", _once(words(whole), measures)).withColumn("_c", class_counts(whole))
+    chars = F.aggregate("_c", F.lit(0.0), lambda s, x: s + x)
+    more = {"word_chars": (chars - F.col("_c")[SPACE]).cast("long"), "n_symbols": F.col("_c")[SYMBOL].cast("long"), "classes": F.col("_c"), "common": F.col("_m.common")}
+    return m.withColumns({n: more.get(n, F.col(f"_m.{n}")) for n in (*MEASURES, "classes", "common")}).drop("_m", "_c")
+
+
+def judge(measured: DataFrame, refs: dict[str, dict[str, list[float]]], rules: Rules = Rules()) -> DataFrame:
+    """Add base_failed, class_distance, common_distance and kept to what ``measure`` gives, and drop its histograms.
+
+    Distances are those to the nearest reference; without references they are 0. ``common_distance`` is a share of the
+    distance of a text without common words. A text without words fails the base rule. Rows are independent of each
+    other but for the references, so repeated rows get the same verdict.
+    """
+    wordless = [0] * len(VOCABULARY) + [1]
+    scale = lambda r, k: plain_js_distance(wordless, r[k]) or 1.0 if k == "common" else 1.0
+    nearest = lambda k: F.least(*near, near[0]) if (near := [js_distance(F.col(k), r[k]) / scale(r, k) for r in refs.values()]) else F.lit(0.0)
+    chars = F.aggregate("classes", F.lit(0.0), lambda s, x: s + x)
+    far = ((chars >= rules.class_chars) & (F.col("class_distance") > rules.class_limit)) | ((F.col("n_words") >= rules.common_words) & (F.col("common_distance") > rules.common_limit))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    out = measured.withColumns({"base_failed": failed, "class_distance": nearest("classes"), "common_distance": nearest("common")})
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("classes", "common")
 
 
 def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """``judge`` with references from the same documents."""
-    return judge(docs, references(docs, rules, text, lang), rules, text, lang)
+    """Measures and verdicts with references from the same documents, with their columns but the text.
+
+    The measures are written once to the shared folder; references and verdicts both read them.
+    """
+    measured = stored(measure(docs, text).drop(text), "measured")
+    return judge(measured, references(measured, rules, lang), rules)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that ``assess`` keeps, with their own columns."""
+    """The rows that ``assess`` would keep, with their own columns; texts are read twice and written nowhere."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return assess(whole, rules, "text", "lang").where("kept").select("_row.*")
+    refs = references(histograms(whole), rules)
+    return judge(measure(whole), refs, rules).where("kept").select("_row.*")

@@ -36,9 +36,9 @@ def check(rows, refs):
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain(r.text)
         c, w = histograms(r.text or "")
-        near = min(quality.plain_js_distance(c, x["c"]) for x in refs.values())
+        near = min(quality.plain_js_distance(c, x["classes"]) for x in refs.values())
         none = [0] * len(quality.VOCABULARY) + [1]
-        common = min(quality.plain_js_distance(w, x["w"]) / quality.plain_js_distance(none, x["w"]) for x in refs.values())
+        common = min(quality.plain_js_distance(w, x["common"]) / quality.plain_js_distance(none, x["common"]) for x in refs.values())
         assert abs(r.class_distance - near) < 1e-9 and abs(r.common_distance - common) < 1e-9
         far = (len(r.text or "") >= rules.class_chars and near > rules.class_limit) or (r.n_words >= rules.common_words and common > rules.common_limit)
         assert r.kept == (not r.base_failed and not far)
@@ -47,20 +47,20 @@ def check(rows, refs):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables are not here")
 def test_sample_and_references(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    refs = quality.references(docs)
+    refs = quality.references(quality.histograms(docs))
     assert set(refs) == {"en", "de", "fr", "es"}
     for lang, shares in refs.items():
         c, w = (list(map(sum, zip(*x, strict=True))) for x in zip(*[histograms(r.text or "") for r in docs.where(f"lang = '{lang}'").collect()], strict=True))
-        assert shares["c"] == pytest.approx([x / sum(c) for x in c]) and shares["w"] == pytest.approx([x / sum(w) for x in w])
-    check(quality.judge(docs, refs).collect(), refs)
+        assert shares["classes"] == pytest.approx([x / sum(c) for x in c]) and shares["common"] == pytest.approx([x / sum(w) for x in w])
+    check(quality.judge(quality.measure(docs), refs).collect(), refs)
 
 
 def test_odd_texts(spark):
     dice = random.Random(4)
     texts = ODD + [" ".join(dice.choice("abcde") for _ in range(dice.randint(0, 30))) for _ in range(100)] + ["the of and to " * 300, "$$ ## " * 200, "zzz yyy " * 5000]
     df = spark.createDataFrame([(k, t, "en", "mine") for k, t in enumerate(texts)], "doc_id long, text string, lang string, n_words string")
-    refs = quality.references(df)
-    out = quality.judge(df, refs)
+    refs = quality.references(quality.histograms(df))
+    out = quality.judge(quality.measure(df), refs)
     assert out.columns[:4] == ["doc_id", "text", "lang", "n_words"] and dict(out.dtypes)["n_words"] == "bigint"
     check(out.collect(), refs)
     kept = quality.keep_good(df)
@@ -69,6 +69,6 @@ def test_odd_texts(spark):
 
 def test_nothing_and_no_reference(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
-    assert quality.references(empty) == {} and quality.assess(empty).count() == 0
+    assert quality.references(quality.histograms(empty)) == {} and quality.assess(empty).count() == 0
     alone = quality.assess(spark.createDataFrame([(1, "w%d " % 1 * 10, None), (2, " ".join(map(str, range(99))), "xx")], "doc_id long, text string, lang string")).collect()
     assert [(r.kept, r.class_distance, r.common_distance) for r in sorted(alone, key=lambda r: r.doc_id)] == [(False, 0.0, 0.0), (True, 0.0, 0.0)]
