@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstide.llm import byte_bpe, license_scan, near_dups, packing, quality
+from newstide.llm import byte_bpe, license_scan, near_dups, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,8 +38,14 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.assess(docs, _table(spark, sf, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "expected", F.size("spans").alias("n_spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    judged = quality.assess(_table(spark, sf, "documents"))
+    judged = quality.assess(_table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
 
 
@@ -63,6 +69,7 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_dups": op8_near_dups,
     "op9_byte_bpe": op9_byte_bpe,
