@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newstide.llm import byte_bpe, license_scan, near_dups, packing, quality, toxicity
+import corpus_pipeline
+from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,11 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     scored = toxicity.assess(docs, _table(spark, sf, "labels"))
@@ -69,9 +75,11 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_dups": op8_near_dups,
     "op9_byte_bpe": op9_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}

@@ -74,7 +74,7 @@ def test_documents_held_out(spark):
 
 
 def test_edges(spark):
-    texts = [f"a fine day number {k} . all is well here" for k in range(40)] + [f"you {a} {b} stuff . so bad {k}" for k, (a, b) in enumerate(itertools.product(["zarg", "zargo", "florp"], repeat=2))] * 4
+    texts = [f"a fine day number {k} . all is well here" for k in range(40)] + [f"u{k} {a} v{k} {b} stuff . so bad {k}" for k, (a, b) in enumerate(itertools.product(["zarg", "zargo", "florp"], repeat=2))] * 4
     toxic = [0] * 40 + [1] * 36
     rows = [(k, t, "mine") for k, t in enumerate(texts)] + [(None, "zarg zarg", "x"), (900, None, "x"), (901, "", "x"), (902, " \n", "x"), (903, "what a zarg florp thing . " * 4000, "x"), (903, "fine", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
