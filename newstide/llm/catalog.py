@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, packing, quality, toxicity
+from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_near_dups": op8_near_dups,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_nearest": op10_nearest,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}
