@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, packing, quality, toxicity
+from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     found = html_extract.extract(_table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -79,6 +84,7 @@ def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
