@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, packing, quality, sharding, toxicity
+from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, packing, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf, "documents").select("doc_id", "text"))
     places = F.col("base.k")
@@ -82,6 +86,7 @@ def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
