@@ -84,20 +84,31 @@ def common_counts(tokens: Column) -> Column:
     return _once(known, lambda a: F.concat(a, F.array(F.size(tokens) - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
 
 
-def js_distance(counts: Column, reference: Sequence[float]) -> Column:
-    """Jensen-Shannon distance, from 0 to 1, between a histogram and a reference; 0 for an empty histogram."""
-    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
+def js_distances(counts: Column, references: Sequence[Sequence[float]]) -> Column:
+    """Jensen-Shannon distances, from 0 to 1, of a histogram from references, as an array; 0 for an empty histogram.
 
-    def of(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-        terms = F.zip_with(c, F.array(*[F.lit(float(q)) for q in reference]), lambda x, q: _once(x / total, lambda p: (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2))
-        return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))).otherwise(0.0)
+    The divergence is the entropy of the mean less the mean of the entropies, so each bin costs one logarithm a reference.
+    """
+    terms = lambda shares: F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+
+    def of(shares: Column) -> Column:
+        def gaps(entropy: Column) -> Column:
+            out = []
+            for reference in references:
+                own = sum(q * math.log2(q) for q in reference if q > 0)
+                means = F.zip_with(shares, F.array(*[F.lit(float(q)) for q in reference]), lambda p, q: (p + q) / 2)
+                out.append(F.sqrt(F.greatest((entropy + F.lit(own)) / 2 - terms(means), F.lit(0.0))))
+            return F.array(*out)
+
+        return _once(terms(shares), gaps)
 
-    return _once(counts, of)
+    total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    shared = _once(total, lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))
+    return F.coalesce(_once(shared, of), F.array(*[F.lit(0.0) for _ in references]))
 
 
 def plain_js_distance(counts: Sequence[float], reference: Sequence[float]) -> float:
-    """``js_distance`` of two histograms given as numbers."""
+    """The same distance of two histograms given as numbers."""
     total = sum(counts)
     if not total:
         return 0.0
@@ -162,7 +173,13 @@ def judge(measured: DataFrame, refs: dict[str, dict[str, list[float]]], rules: R
     """
     wordless = [0] * len(VOCABULARY) + [1]
     scale = lambda r, k: plain_js_distance(wordless, r[k]) or 1.0 if k == "common" else 1.0
-    nearest = lambda k: F.least(*near, near[0]) if (near := [js_distance(F.col(k), r[k]) / scale(r, k) for r in refs.values()]) else F.lit(0.0)
+
+    def nearest(kind: str) -> Column:
+        if not refs:
+            return F.lit(0.0)
+        scales = F.array(*[F.lit(float(scale(r, kind))) for r in refs.values()])
+        return F.array_min(F.zip_with(js_distances(F.col(kind), [r[kind] for r in refs.values()]), scales, lambda d, s: d / s))
+
     chars = F.aggregate("classes", F.lit(0.0), lambda s, x: s + x)
     far = ((chars >= rules.class_chars) & (F.col("class_distance") > rules.class_limit)) | ((F.col("n_words") >= rules.common_words) & (F.col("common_distance") > rules.common_limit))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
