@@ -170,15 +170,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id
                     order = np.argsort(near, 1, kind="stable")
                     ranks = np.empty_like(order)
                     np.put_along_axis(ranks, order, np.arange(len(cell))[None], 1)
-                    reach = np.full(len(v), np.inf)
+                    reach, least = np.full(len(v), np.inf), np.full(len(v), -np.inf)
                     go = ranks < how.first
                     if second:
                         reach = np.array([np.inf if x is None else x for x in part.column(2).to_pylist()])
+                        least = np.array([-np.inf if x is None else x for x in part.column(3).to_pylist()])
                         go = ~go & (near <= reach[:, None])
                     row, column = np.nonzero(go)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(list(p[row]), pa.list_(pa.float64())), pa.array(reach[row]), pa.array(cell[column])],
-                        ["id", "v", "p", "reach", "cell"],
+                        [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(list(p[row]), pa.list_(pa.float64())), pa.array(reach[row]), pa.array(least[row]), pa.array(cell[column])],
+                        ["id", "v", "p", "reach", "least", "cell"],
                     )
 
         return run
@@ -188,10 +189,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id
         if block.num_rows and asked.num_rows:
             ids, v, p = block["id"].to_numpy(), _matrix(block["v"]), _matrix(block["p"])
             q, pq, reach = _matrix(asked["v"]), _matrix(asked["p"]), asked["reach"].to_numpy()
+            least = asked["least"].to_numpy()
+            least = least - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(least), least, 0.0)))
             for at in range(0, len(q), 256):
                 part = slice(at, at + 256)
                 off = (pq[part] ** 2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * pq[part] @ p.T
                 rough = np.where(off <= reach[part][:, None] + 1e-9, q[part] @ v.T, -np.inf)
+                rough = np.where(rough >= least[part][:, None], rough, -np.inf)  # what is no better than the k-th found stays here
                 for k_, (q_id, row) in enumerate(zip(asked["id"][at : at + 256].to_pylist(), rough, strict=True)):
                     out += [(q_id, i, s) for i, s in _best(ids, v, q_id, q[at + k_], row, k)]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
@@ -211,12 +215,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    asks = "id long, v array<double>, p array<double>, reach double, cell long"
+    asks = "id long, v array<double>, p array<double>, reach double, least double, cell long"
     begun = stored(top(search(queries.mapInArrow(visits(False), asks))), "begun")
     # the squared distance of the k-th found is norm + |q|^2 - 2 score; a longer list of bounds would only shrink it
     kth = begun.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     reach = F.greatest(F.lit(norm) + squared - 2 * F.col("kth"), F.lit(0.0)) * bound
-    again = queries.join(kth, "id", "left").select("id", "v", reach.alias("reach"))
+    again = queries.join(kth, "id", "left").select("id", "v", reach.alias("reach"), "kth")
     more = search(again.mapInArrow(visits(True), asks))
     return top(begun.select("query_id", "vec_id", "score").unionByName(more)).select("query_id", "rank", "vec_id", "score")
