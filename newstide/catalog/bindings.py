@@ -39,11 +39,15 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price(spark: SparkSession, sf: str) -> DataFrame:
-    """Prices on weekdays. Lines are folded per order and day first, so that no order key is hot in the join."""
+    """Prices on weekdays; lines of a weekend count on the Monday after it.
+
+    Lines are folded per order and day first, so that no order key is hot in the join.
+    """
+    shipped = F.to_date("l_shipdate")
+    trading = F.date_add(shipped, F.greatest(7 - F.weekday(shipped), F.lit(0)) % 7 * (F.weekday(shipped) > 4).cast("int"))
     lines = (
         table(spark, sf, "lineitem")
-        .where(F.weekday("l_shipdate") < 5)
-        .groupBy("l_orderkey", F.to_date("l_shipdate").alias("d"))
+        .groupBy("l_orderkey", trading.alias("d"))
         .agg(F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("n"))
     )
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("entity"))
@@ -113,9 +117,10 @@ CTE = {
     "daily": """daily as (select entity, d, avg(score) as score_mean, coalesce(stddev_samp(score), 0) as score_std,
   count(*) as n_items, avg(case when label = 'positive' then 1e0 else 0e0 end) as positive_ratio
   from obs group by entity, d)""",
-    "price": """price as (select o_orderpriority as entity, cast(l_shipdate as date) as d,
+    "price": """price as (select o_orderpriority as entity,
+  cast(l_shipdate as date) + cast(case isodow(l_shipdate) when 6 then 2 when 7 then 1 else 0 end as integer) as d,
   1e2 * avg(l_extendedprice / l_quantity) / 9973e0 as close, count(*) as vol
-  from lineitem join orders on l_orderkey = o_orderkey where isodow(l_shipdate) <= 5 group by 1, 2)""",
+  from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)""",
     "launches": """launches as (select event_id, entity, d, category from (select o_custkey as event_id,
   o_orderpriority as entity, cast(o_orderdate as date) as d, o_orderstatus as category,
   row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) as rn from orders) where rn = 1)""",

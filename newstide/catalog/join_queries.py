@@ -12,6 +12,7 @@ from newstide.functions.significance import bonferroni, corr_p_value
 from newstide.operators import aggregates as A
 from newstide.operators import asof as J
 from newstide.operators import impact as I
+from newstide.operators import sets as S
 from newstide.operators.lag import best_lag, lag_correlation
 from newstide.operators.rules import early_warning, successful_launches
 from newstide.operators.sets import top_bottom
@@ -84,20 +85,25 @@ def _(spark, sf):
     return rounded(reach.select("entity", "d", *[c.alias(n) for n, c in near.items()]))
 
 
-VALUES = f"""vals as (select entity, d, case when count(*) over w = 7 then avg(score_mean) over w end as score,
-    case when count(*) over w = 7 then avg(n_items) over w end as n_items, close
-  from daily join (select entity, d, case when count(*) over w = 7 then avg(close) over w end as close from price window w as ({WE} {rows(3, 3)}))
-    using (entity, d) window w as ({WE} {rows(3, 3)}))"""
+# Every day with items and the last price up to it; days before the first price of an entity get that one.
+PRICED = f"""dayp as (select s.entity, s.d, s.score_mean, s.n_items, p.close as raw from daily s
+    asof left join price p on s.entity = p.entity and year(s.d) = year(p.d) and s.d >= p.d),
+  priced as (select entity, d, score_mean, n_items, {fill('raw')} as close from dayp)"""
+VALUES = f"""vals as (select entity, d, case when count(score_mean) over w = 7 then avg(score_mean) over w end as score,
+    case when count(n_items) over w = 7 then avg(n_items) over w end as n_items, case when count(close) over w = 7 then avg(close) over w end as close
+  from priced window w as ({WE} {rows(3, 3)}))"""
 EW = """ew as (select e.entity, e.d as event_day, case when v.d < e.d then 'pre' else 'post' end as phase, v.score, v.close, v.n_items
   from (select distinct entity, d from launches) e join vals v on e.entity = v.entity and v.d between e.d - 28 and e.d + 28)"""
 
 
+def _priced(spark, sf):
+    spine = daily(spark, sf).select("entity", "d", "score_mean", "n_items")
+    return J.filled_price(J.asof_price(spine, price(spark, sf).select("entity", "d", "close")), ["close"])
+
+
 def _study_values(spark, sf):
-    """Days with items and a price: the frames run over those days for score and count, over price days for the price."""
-    prices = I.smoothed(price(spark, sf), cols=("close",))
-    both = daily(spark, sf).select("entity", "d", F.col("score_mean").alias("score"), "n_items").join(prices, ["entity", "d"])
-    smooth = I.smoothed(both, cols=("score", "n_items"))
-    return smooth.join(prices, ["entity", "d"])
+    """All days with items and their price as of that day, smoothed along those days."""
+    return I.smoothed(_priced(spark, sf).withColumnRenamed("score_mean", "score"))
 
 
 @query(
@@ -108,6 +114,7 @@ def _study_values(spark, sf):
         "daily",
         "price",
         "launches",
+        PRICED,
         VALUES,
         EW,
     ),
@@ -147,11 +154,9 @@ STATS = """stats as (select entity, event_day, avg(score) filter (where phase =
  tests as (select *, n1 + n2 - 2 as df, (m1 - m2) / nullif(sqrt(((n1 - 1) * coalesce(v1, 0) + (n2 - 1) * coalesce(v2, 0)) / nullif(n1 + n2 - 2, 0)
    * (1 / nullif(n1, 0) + 1 / nullif(n2, 0))), 0) as t from stats),
  study as (select event_id, l.entity, l.d as event_day, category, m2 - m1 as score_change, 100 * (p2 / nullif(p1, 0) - 1) as price_change_pct,
-   c2 - c1 as items_change, cast(n1 + n2 as bigint) as sample_size, t, df, pv, coalesce(pv < 0.05, false) as significant
-   from launches l join (select *, TAIL as pv from tests) on l.entity = tests.entity and l.d = event_day)""".replace(
-    "(select *, TAIL as pv from tests)", "(select *, TAIL as pv from tests) tests"
-).replace("TAIL", s_tail("t", "df"))
-STUDY = ("daily", "price", "launches", VALUES, EW, STATS)
+   c2 - c1 as items_change, cast(coalesce(n1 + n2, 0) as bigint) as sample_size, t, df, pv, coalesce(pv < 0.05, false) as significant
+   from launches l left join (select *, TAIL as pv from tests) tests on l.entity = tests.entity and l.d = event_day)""".replace("TAIL", s_tail("t", "df"))
+STUDY = ("daily", "price", "launches", PRICED, VALUES, EW, STATS)
 
 
 def _study(spark, sf):
@@ -234,7 +239,12 @@ def _(spark, sf):
 
 
 LAGS = range(-21, 22)
-TWO = f"two as (select entity, d, score_mean as x, close as y, close / lag(close) over ({WE}) - 1 as r from daily join price using (entity, d))"
+# Every calendar day between an entity's first and last, so that a lag is a number of days.
+TWO = f"""spine as (select entity, cast(unnest(generate_series(min(d), max(d), interval 1 day)) as date) as d from daily group by entity),
+  spinep as (select s.entity, s.d, p.close as raw from spine s asof left join price p on s.entity = p.entity and year(s.d) = year(p.d) and s.d >= p.d),
+  filledp as (select entity, d, {fill('raw')} as close from spinep),
+  two as (select f.entity, f.d, score_mean as x, close as y, close / lag(close) over (partition by f.entity order by f.d) - 1 as r
+    from filledp f left join daily s on s.entity = f.entity and s.d = f.d)"""
 LAGGED = "lagged as (" + " union all ".join(
     f"select entity, {k} as lag_days, corr(x, y) as correlation_price, corr(x, r) as correlation_return from "
     f"(select entity, y, r, lag(x, {k}) over ({WE}) as x from two) group by entity"
@@ -243,8 +253,10 @@ LAGGED = "lagged as (" + " union all ".join(
 
 
 def _lag_table(spark, sf):
-    both = daily(spark, sf).join(price(spark, sf), ["entity", "d"])
-    return lag_correlation(both, "score_mean", "close")
+    days = daily(spark, sf).select("entity", "d", "score_mean")
+    spine = S.calendar(days, ["entity"]).join(days, ["entity", "d"], "left")
+    prices = price(spark, sf).select("entity", "d", "close")
+    return lag_correlation(J.filled_price(J.asof_price(spine, prices), ["close"]), "score_mean", "close")
 
 
 @query(
@@ -298,13 +310,14 @@ def _(spark, sf):
     sql(
         f"""select entity, n, round(r, 6) as r, round(p, 6) as p_value, round(least(5 * p, 1), 6) as p_bonferroni
         from (select *, {s_tail('t', 'df')} as p from (select *, cast(n - 2 as double) as df, r * sqrt((n - 2) / (1 - r * r)) as t from
-          (select entity, count(*) as n, corr(score_mean, close) as r from daily join price using (entity, d) group by entity)))""",
+          (select entity, count(*) as n, corr(score_mean, close) as r from priced group by entity)))""",
         "daily",
         "price",
+        PRICED,
     ),
 )
 def _(spark, sf):
-    both = daily(spark, sf).join(price(spark, sf), ["entity", "d"])
+    both = _priced(spark, sf)
     table = A.corr_by(both, ["entity"], "score_mean", "close").withColumnRenamed("correlation", "r")
     tests = table.withColumn("p_value", corr_p_value(F.col("r"), F.col("n")))
     return rounded(tests.withColumn("p_bonferroni", bonferroni(F.col("p_value"), table.agg(F.count(F.lit(1))).scalar())))
@@ -315,14 +328,15 @@ def _(spark, sf):
     sql(
         f"""select entity, d, case when pc < -0.02 and sd > 0.3 then 3 when sd > 0.3 then 2 when pc < -0.02 then 1 else 0 end as level
         from (select entity, d, close / lag(close) over ({WE}) - 1 as pc,
-          avg(score_mean) over ({WE} {rows(7)}) - score_mean as sd from daily join price using (entity, d))""",
+          avg(score_mean) over ({WE} {rows(7)}) - score_mean as sd from priced)""",
         "daily",
         "price",
+        PRICED,
     ),
 )
 def _(spark, sf):
     w = series(["entity"])
-    both = daily(spark, sf).join(price(spark, sf), ["entity", "d"])
+    both = _priced(spark, sf)
     table = both.withColumns(
         {"price_change": momentum("close", 1, w), "score_drop": F.avg("score_mean").over(w.rowsBetween(-7, 0)) - F.col("score_mean")}
     )
@@ -427,14 +441,15 @@ def _(spark, sf):
         f"""select entity, d, round(score_mean / nullif(close, 0), 6) as score_price_ratio,
           round(score_mean * (close / lag(close) over ({WE}) - 1), 6) as score_price_momentum,
           round(last_value(close) over ({WE} rows between unbounded preceding and current row), 6) as close
-        from daily join price using (entity, d)""",
+        from priced""",
         "daily",
         "price",
+        PRICED,
     ),
 )
 def _(spark, sf):
     w = series(["entity"])
-    both = daily(spark, sf).join(price(spark, sf), ["entity", "d"])
+    both = _priced(spark, sf)
     return both.select(
         "entity",
         "d",

@@ -22,9 +22,13 @@ def standardize_date(c: Column) -> Column:
 
 
 def parse_date(c: Column, formats: Sequence[str] = FORMATS) -> Column:
-    """First format that parses wins; anything else is NULL. Numbers such as 20210105 are accepted."""
-    text = strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
+    """First format that parses wins, then any ISO date-time; anything else is NULL. Numbers such as 20210105 are accepted.
+
+    Dots between the parts of a date count as dashes. A bare year or month is not a date.
+    """
+    text = F.regexp_replace(strip(c.cast("string")), r"^(\d{4})\.(\d{1,2})\.(\d{1,2})", "$1-$2-$3")
+    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"), F.coalesce(text.try_cast("timestamp").cast("date"), text.try_cast("date")))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats], iso)
 
 
 def iso_date(c: Column) -> Column:

@@ -16,23 +16,33 @@ Scorer = Callable[[list[str]], list[dict[str, float] | None]]
 PROBS = T.MapType(T.StringType(), T.DoubleType())
 
 
-def score_texts(df: DataFrame, text: str, load: Callable[[], Scorer], batch: int = 32) -> DataFrame:
-    """Add ``probs`` from ``load()``, a function that returns the scorer; a batch that fails gives NULL probabilities."""
+def score_texts(df: DataFrame, text: str, load: Callable[[], Scorer], batch: int = 32, limit: int | None = None) -> DataFrame:
+    """Add ``probs`` from ``load()``, a function that returns the scorer, and ``score_error``.
 
-    @F.pandas_udf(PROBS)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A text is cut to ``limit`` characters, as much as the model takes. A batch that fails, or gets another number of
+    results than texts, has NULL probabilities and says why in ``score_error``.
+    """
+    kind = T.StructType([T.StructField("probs", PROBS), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for part in parts:
             out: list = []
+            errors: list = []
             for start in range(0, len(part), batch):
-                chunk = part.iloc[start : start + batch].fillna("").tolist()
+                chunk = [t[:limit] for t in part.iloc[start : start + batch].fillna("")]
                 try:
-                    out.extend(scorer(chunk))
-                except Exception:  # noqa: BLE001 - a model failure must not end the job
-                    out.extend([None] * len(chunk))
-            yield pd.Series(out, index=part.index, dtype=object)
-
-    return df.withColumn("probs", run(F.col(text)))
+                    found, error = list(scorer(chunk)), None
+                    if len(found) != len(chunk):
+                        raise ValueError(f"{len(found)} results for {len(chunk)} texts")
+                except Exception as e:  # noqa: BLE001 - a model failure must not end the job
+                    found, error = [None] * len(chunk), f"{type(e).__name__}: {e}"
+                out.extend(found)
+                errors.extend([error] * len(chunk))
+            yield pd.DataFrame({"probs": pd.Series(out, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return df.withColumn("_scored", run(F.col(text))).withColumns({"probs": F.col("_scored.probs"), "score_error": F.col("_scored.error")}).drop("_scored")
 
 
 def with_sentiment(df: DataFrame, probs: str = "probs", weighted: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ All of it is partial (map-side) aggregation, so a hot entity or label shrinks be
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,7 +246,7 @@ def impact_by_category(study: DataFrame, category: str = "category") -> DataFram
 
 def impact_summary(study: DataFrame, category: str = "category") -> DataFrame:
     """Number of events and significant events, mean changes, and a category → count map, in one row."""
-    per_category = study.groupBy(F.col(category).alias("category")).agg(
+    per_category = study.groupBy(F.coalesce(category, F.lit("Unknown")).alias("category")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("significant").alias("n_significant"),
         F.sum("score_change").alias("score_sum"),
@@ -258,7 +260,7 @@ def impact_summary(study: DataFrame, category: str = "category") -> DataFrame:
         F.try_divide(F.sum("score_sum"), F.sum("score_n")).alias("score_change_mean"),
         F.try_divide(F.sum("price_sum"), F.sum("price_n")).alias("price_change_mean"),
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("category", F.lit("Unknown")).alias("k"), "n")))
+            F.array_sort(F.collect_list(F.struct(F.col("category").alias("k"), "n")))
         ).alias("category_breakdown"),
     )
 
@@ -268,7 +270,7 @@ def feature_groups(features: DataFrame, rules: Mapping[str, Sequence[str]], name
     memberships = F.filter(
         F.array(
             *[
-                F.when(F.col(name).rlike("|".join(fragments)), F.lit(group))
+                F.when(reduce(or_, [F.contains(F.col(name), F.lit(f)) for f in fragments], F.lit(False)), F.lit(group))
                 for group, fragments in rules.items()
             ]
         ),

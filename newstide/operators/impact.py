@@ -64,7 +64,8 @@ def event_study(
 ) -> DataFrame:
     """One row per event. ``values`` is the (smoothed) daily series with ``score``, ``close`` and ``n_items``.
 
-    Statistics are computed once per entity and event day and then attached to the events of that day.
+    Statistics are computed once per entity and event day and then attached to the events of that day. An event without
+    any day of the series in its windows stays: no statistics, a sample size of 0 and not significant.
     """
     stats = pooled_t_test(window_stats(events, values, pre, post, entity, d), p_value)
     study = stats.withColumns(
@@ -75,4 +76,6 @@ def event_study(
             "sample_size": F.col("pre_n") + F.col("post_n"),
         }
     )
-    return events.withColumnRenamed(d, "event_day").join(study, [entity, "event_day"])
+    out = events.withColumnRenamed(d, "event_day").join(study, [entity, "event_day"], "left")
+    out = out.withColumn("sample_size", F.coalesce("sample_size", F.lit(0)))
+    return out.withColumn("significant", F.coalesce("significant", F.lit(False))) if p_value else out

@@ -30,7 +30,10 @@ def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
 def exact_percentiles(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapping[str, float]
 ) -> DataFrame:
-    """One row per group and column with a column for each named probability."""
+    """One row per group and column with a column for each named probability.
+
+    A bracket of the sketch that does not hold its rank is an error, never a missing value.
+    """
     keys = [*by, "column"]
     names, ps = list(probs), list(probs.values())
     rows = melt(df, by, cols)
@@ -90,6 +93,7 @@ def exact_percentiles(
     values = (
         upto.groupBy(*keys, "name", "rank")
         .agg(at["low"].alias("low"), at["high"].alias("high"))
+        .withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit("a bracket missed its rank"))).otherwise(F.col(c)) for c in ("low", "high")})
         .withColumn("p", F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")))
     )
     return values.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("p"))).alias(n) for n in names])

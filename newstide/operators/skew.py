@@ -74,18 +74,15 @@ def grid_cuts(victims: DataFrame, others: DataFrame, keys: Sequence[str], cell:
     """How to cut each hot key of a many-to-many join so that no cell holds more than about ``cell`` rows of a side.
 
     A key with v rows left and o rows right becomes ceil(v/cell) x ceil(o/cell) cells: each left row is repeated along
-    the right cuts and the other way round. Only keys above both the cell size and ``HOT_SHARE`` are cut.
+    the right cuts and the other way round. Every key above the cell size is cut, however many there are.
     """
     v = victims.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     o = others.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o"))
-    sizes = v.join(o, list(keys)).withColumn("n", F.col("_v") + F.col("_o"))
-    unit = sizes.agg(F.greatest(F.sum("n") * HOT_SHARE, F.lit(float(cell)))).scalar()
-    return F.broadcast(  # at most 1 / HOT_SHARE rows
-        sizes.where(F.col("n") > unit).select(
-            *keys,
-            F.ceil(F.col("_v") / cell).cast("int").alias("_cut_v"),
-            F.ceil(F.col("_o") / cell).cast("int").alias("_cut_o"),
-        )
+    sizes = v.join(o, list(keys))
+    return sizes.where((F.col("_v") > cell) | (F.col("_o") > cell)).select(
+        *keys,
+        F.ceil(F.col("_v") / cell).cast("int").alias("_cut_v"),
+        F.ceil(F.col("_o") / cell).cast("int").alias("_cut_o"),
     )
 
 

@@ -143,5 +143,5 @@ def score_news(
     df: DataFrame, load: Callable[[], Scorer], rules: Sequence[tuple[str, Sequence[str]]] = words.FIRST_MATCH
 ) -> DataFrame:
     """Tagged news with label and score: date, title, keywords, label, score, entity. Write it by entity and year."""
-    scored = with_sentiment(score_texts(tag_short(df, rules), "text", load), weighted=False)
+    scored = with_sentiment(score_texts(tag_short(df, rules), "text", load, limit=512), weighted=False)
     return scored.select("date", "title", "keywords", "label", "score", "entity")

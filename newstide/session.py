@@ -33,11 +33,14 @@ def get_session(app: str = "newstide", master: str | None = None, **extra: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a fresh temporary folder.
+    Only a local session without that setting (a test) gets a fresh temporary folder; on a cluster, where executors
+    would each write to a disk of their own, its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="newstide-"))
     return named or context.getCheckpointDir()
 

@@ -29,12 +29,17 @@ LAUNCHES = T.StructType([T.StructField(n, T.StringType()) for n in ("Date", "Pro
 
 
 def read_csv(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None, encoding: str = "UTF-8"
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    schema: T.StructType | None = None,
+    encoding: str = "UTF-8",
+    tolerant: bool = False,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """CSV files with a header as one table. Without a schema every column is text.
 
-    Broken rows keep what parses, unreadable files are skipped. ``encoding='MS949'`` needs
-    ``spark.sql.legacy.javaCharsets=true``.
+    Broken rows keep what parses; with a schema and ``corrupt`` their line is in a column of that name. Unreadable files
+    are an error unless ``tolerant``. ``encoding='MS949'`` needs ``spark.sql.legacy.javaCharsets=true``.
     """
     reader = spark.read.options(
         header=True,
@@ -42,10 +47,13 @@ def read_csv(
         mode="PERMISSIVE",
         quote='"',
         escape='"',
-        ignoreCorruptFiles=True,
-        ignoreMissingFiles=True,
+        ignoreCorruptFiles=tolerant,
+        ignoreMissingFiles=tolerant,
     )
     if schema is not None:
+        if corrupt:
+            reader = reader.option("columnNameOfCorruptRecord", corrupt)
+            schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
         reader = reader.schema(schema)
     return reader.csv(paths if isinstance(paths, str) else list(paths))
 

@@ -19,13 +19,14 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there, append it to a table in the shared folder and read that table.
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
+    """Process what is there, append it to a table and read that table; its checkpoint lies next to it.
 
-    The checkpoint lies next to it, so a run that is cut off resumes where it stopped.
+    A run with the same ``base`` resumes where the last one stopped. Without it table and checkpoint are new ones in
+    the shared folder.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{base}/checkpoint")
