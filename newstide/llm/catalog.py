@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, packing, quality, sharding, toxicity, url_filter
+from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, oracles, packing, quality, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +61,7 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.assess(_table(spark, sf, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"), "kept")
 
 
 def op8_near_dups(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,4 +98,7 @@ QUERIES: dict[str, Query] = {
     "op10_nearest": op10_nearest,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_quality_rules": oracles.quality_rules(),
+    "op8_near_dups": oracles.near_dups(),
+}
