@@ -25,6 +25,7 @@ STARS = 1  # rounds of comparing buckets with one of their nodes
 CELL = 512  # nodes of a bucket in a cell; two cells meet in one task, as signatures
 FAMILY_CELL = 256  # nodes of a family in a cell; two cells meet in one task, as full sets
 SLACK = 0.19  # of a similarity estimated from signatures: five standard deviations at 0.75
+TASK_LINKS = 200_000  # links that one task joins by union-find
 BROADCAST_ROWS = 1_000_000  # a list of ids up to this length is broadcast, a longer one is joined by shuffle
 
 
@@ -141,7 +142,8 @@ def _local(links: DataFrame) -> DataFrame:
         for at in range(0, len(pairs), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs[at : at + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a binary, b binary")
+    tasks = max(1, -(-links.count() // TASK_LINKS))  # few large tasks join more than many small ones
+    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
