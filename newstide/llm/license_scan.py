@@ -1,7 +1,7 @@
 """License scan: ordered signature rules over whole texts, as column expressions.
 
-A rule is a regular expression with a keyword, a priority, a label and a weight. Texts without any word of ``GATE`` are
-passed over, and in the others only the rules run whose keyword the text contains. Detections that overlap compete: the
+A rule is a regular expression with a priority, a label and a weight. What a match of it must hold is read off the
+expression; in a text only the rules run whose needs the text meets. Texts without any word of ``GATE`` are passed over. Detections that overlap compete: the
 one of the better priority stays, then the longer, then the earlier, so that a detection inside a stronger one is
 suppressed.
 """
@@ -9,6 +9,8 @@ suppressed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from re import _constants as kinds
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,54 +20,54 @@ BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("gen
 #: A text that has none of these has no detection. Every form of a rule holds one of them.
 GATE = r"(?i)licen[cs]e|under|spdx|copyright|rights|public domain|creative\s*commons|\bcc0|\bcc[ -]by|copyleft"
 
-#: Label, identifier in tags, name in prose, keyword of the name. More specific names come first.
+#: Label, identifier in tags, name in prose. More specific names come first.
 FAMILIES = (
-    ("agpl-3.0", r"agpl-?3(?:\.0)?[a-z-]*", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?:,? ?v(?:ersion)? ?3(?:\.0)?|-3\.0)?", "a"),
-    ("lgpl-2.1", r"lgpl-?2\.1[a-z-]*", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?-?v?(?:ersion)? ?2\.1", "2.1"),
-    ("lgpl-3.0", r"lgpl-?3(?:\.0)?[a-z-]*", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?-?v?(?:ersion)? ?3(?:\.0)?", "3"),
-    ("lgpl", r"lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|\blgpl\b", "l"),
-    ("gpl-2.0", r"gpl-?2(?:\.0)?[a-z-]*", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?-?v?(?:ersion)? ?2(?:\.0)?", "2"),
-    ("gpl-3.0", r"gpl-?3(?:\.0)?[a-z-]*", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?-?v?(?:ersion)? ?3(?:\.0)?", "3"),
-    ("gfdl", r"gfdl[a-z0-9.-]*", r"gnu free documentation licen[cs]e|\bgfdl\b", "f"),
-    ("gpl", r"gpl", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl\b", "g"),
-    ("apache-2.0", r"apache-?2(?:\.0)?", r"apache (?:software )?licen[cs]e,? ?(?:v|version)? ?2(?:\.0)?|apache[- ]2\.0", "apache"),
-    ("apache-1.1", r"apache-?1\.1", r"apache (?:software )?licen[cs]e,? ?(?:v|version)? ?1\.1", "apache"),
-    ("apache", r"apache", r"apache (?:software )?licen[cs]e", "apache"),
-    ("mit-0", r"mit-0", r"mit no attribution", "mit"),
-    ("mit", r"mit", r"(?:mit|expat|x11) licen[cs]e", "licen"),
-    ("bsd-2-clause", r"bsd-2-clause[a-z-]*", r"(?:simplified bsd|2-clause bsd|bsd 2-clause)(?: licen[cs]e)?", "bsd"),
-    ("bsd-3-clause", r"bsd-3-clause[a-z-]*", r"(?:new bsd|modified bsd|3-clause bsd|bsd 3-clause)(?: licen[cs]e)?", "bsd"),
-    ("0bsd", r"0bsd", r"(?:zero-clause|0-clause) bsd(?: licen[cs]e)?", "bsd"),
-    ("bsd", r"bsd", r"bsd(?:-style)? licen[cs]e", "bsd"),
-    ("mpl-1.1", r"mpl-?1\.1", r"mozilla public licen[cs]e,? ?(?:v|version)? ?1\.1", "mozilla"),
-    ("mpl-2.0", r"mpl-?2(?:\.0)?", r"mozilla public licen[cs]e,? ?(?:v|version)? ?2(?:\.0)?", "mozilla"),
-    ("mpl", r"mpl", r"mozilla public licen[cs]e", "mozilla"),
-    ("epl-1.0", r"epl-?1\.0", r"eclipse public licen[cs]e,? ?(?:-|v|version)? ?1\.0", "eclipse"),
-    ("epl-2.0", r"epl-?2\.0", r"eclipse public licen[cs]e,? ?(?:-|v|version)? ?2\.0", "eclipse"),
-    ("epl", r"epl", r"eclipse public licen[cs]e", "eclipse"),
-    ("cddl", r"cddl[0-9.-]*", r"common development and distribution licen[cs]e|\bcddl\b", "d"),
-    ("cpl", r"cpl-?1\.0", r"common public licen[cs]e", "common"),
-    ("eupl", r"eupl[0-9.-]*", r"european union public licen[cs]e|\beupl\b", "eu"),
-    ("ms-pl", r"ms-pl", r"microsoft public licen[cs]e", "microsoft"),
-    ("artistic", r"artistic[0-9.-]*", r"artistic licen[cs]e", "artistic"),
-    ("boost", r"bsl-1\.0", r"boost software licen[cs]e", "boost"),
-    ("busl", r"busl-1\.1", r"business source licen[cs]e", "business"),
-    ("isc", r"isc", r"isc licen[cs]e", "isc"),
-    ("zlib", r"zlib", r"zlib(?:/libpng)? licen[cs]e", "zlib"),
-    ("unlicense", r"unlicense", r"\bunlicense\b", "unlicense"),
-    ("wtfpl", r"wtfpl", r"\bwtfpl\b", "wtfpl"),
-    ("python", r"psf-2\.0|python-2\.0", r"python software foundation licen[cs]e", "python"),
-    ("ofl", r"ofl-1\.1", r"(?:sil )?open font licen[cs]e", "font"),
-    ("odbl", r"odbl-1\.0", r"open (?:database|data commons open database) licen[cs]e", "database"),
-    ("openrail", r"openrail[a-z+-]*", r"\bopenrail(?:-m)?\b", "openrail"),
-    ("cc0", r"cc0-1\.0", r"\bcc0(?: ?1\.0)?|creative commons zero", "c"),
-    ("cc-by-nc-nd", r"cc-by-nc-nd[0-9.-]*", r"\bcc[ -]by-nc-nd(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noncommercial[ -]noderiv[a-z]*", "nc"),
-    ("cc-by-nc-sa", r"cc-by-nc-sa[0-9.-]*", r"\bcc[ -]by-nc-sa(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noncommercial[ -]share ?-?alike", "nc"),
-    ("cc-by-nc", r"cc-by-nc[0-9.-]*", r"\bcc[ -]by-nc(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noncommercial", "nc"),
-    ("cc-by-nd", r"cc-by-nd[0-9.-]*", r"\bcc[ -]by-nd(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noderiv[a-z]*", "nd"),
-    ("cc-by-sa", r"cc-by-sa[0-9.-]*", r"\bcc[ -]by-sa(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]share ?-?alike", "sa"),
-    ("cc-by", r"cc-by[0-9.-]*", r"\bcc[ -]by(?:[ -][0-9.]*[0-9])?|creative commons attribution", "by"),
-    ("creative-commons", r"cc", r"creative commons", "creative"),
+    ("agpl-3.0", r"agpl-?3(?:\.0)?[a-z-]*", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)(?:,? ?v(?:ersion)? ?3(?:\.0)?|-3\.0)?"),
+    ("lgpl-2.1", r"lgpl-?2\.1[a-z-]*", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?-?v?(?:ersion)? ?2\.1"),
+    ("lgpl-3.0", r"lgpl-?3(?:\.0)?[a-z-]*", r"(?:gnu )?(?:lesser general public licen[cs]e|lgpl),? ?-?v?(?:ersion)? ?3(?:\.0)?"),
+    ("lgpl", r"lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e|\blgpl\b"),
+    ("gpl-2.0", r"gpl-?2(?:\.0)?[a-z-]*", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?-?v?(?:ersion)? ?2(?:\.0)?"),
+    ("gpl-3.0", r"gpl-?3(?:\.0)?[a-z-]*", r"(?:gnu )?(?:general public licen[cs]e|gpl),? ?-?v?(?:ersion)? ?3(?:\.0)?"),
+    ("gfdl", r"gfdl[a-z0-9.-]*", r"gnu free documentation licen[cs]e|\bgfdl\b"),
+    ("gpl", r"gpl", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl\b"),
+    ("apache-2.0", r"apache-?2(?:\.0)?", r"apache (?:software )?licen[cs]e,? ?(?:v|version)? ?2(?:\.0)?|apache[- ]2\.0"),
+    ("apache-1.1", r"apache-?1\.1", r"apache (?:software )?licen[cs]e,? ?(?:v|version)? ?1\.1"),
+    ("apache", r"apache", r"apache (?:software )?licen[cs]e"),
+    ("mit-0", r"mit-0", r"mit no attribution"),
+    ("mit", r"mit", r"(?:mit|expat|x11) licen[cs]e"),
+    ("bsd-2-clause", r"bsd-2-clause[a-z-]*", r"(?:simplified bsd|2-clause bsd|bsd 2-clause)(?: licen[cs]e)?"),
+    ("bsd-3-clause", r"bsd-3-clause[a-z-]*", r"(?:new bsd|modified bsd|3-clause bsd|bsd 3-clause)(?: licen[cs]e)?"),
+    ("0bsd", r"0bsd", r"(?:zero-clause|0-clause) bsd(?: licen[cs]e)?"),
+    ("bsd", r"bsd", r"bsd(?:-style)? licen[cs]e"),
+    ("mpl-1.1", r"mpl-?1\.1", r"mozilla public licen[cs]e,? ?(?:v|version)? ?1\.1"),
+    ("mpl-2.0", r"mpl-?2(?:\.0)?", r"mozilla public licen[cs]e,? ?(?:v|version)? ?2(?:\.0)?"),
+    ("mpl", r"mpl", r"mozilla public licen[cs]e"),
+    ("epl-1.0", r"epl-?1\.0", r"eclipse public licen[cs]e,? ?(?:-|v|version)? ?1\.0"),
+    ("epl-2.0", r"epl-?2\.0", r"eclipse public licen[cs]e,? ?(?:-|v|version)? ?2\.0"),
+    ("epl", r"epl", r"eclipse public licen[cs]e"),
+    ("cddl", r"cddl[0-9.-]*", r"common development and distribution licen[cs]e|\bcddl\b"),
+    ("cpl", r"cpl-?1\.0", r"common public licen[cs]e"),
+    ("eupl", r"eupl[0-9.-]*", r"european union public licen[cs]e|\beupl\b"),
+    ("ms-pl", r"ms-pl", r"microsoft public licen[cs]e"),
+    ("artistic", r"artistic[0-9.-]*", r"artistic licen[cs]e"),
+    ("boost", r"bsl-1\.0", r"boost software licen[cs]e"),
+    ("busl", r"busl-1\.1", r"business source licen[cs]e"),
+    ("isc", r"isc", r"isc licen[cs]e"),
+    ("zlib", r"zlib", r"zlib(?:/libpng)? licen[cs]e"),
+    ("unlicense", r"unlicense", r"\bunlicense\b"),
+    ("wtfpl", r"wtfpl", r"\bwtfpl\b"),
+    ("python", r"psf-2\.0|python-2\.0", r"python software foundation licen[cs]e"),
+    ("ofl", r"ofl-1\.1", r"(?:sil )?open font licen[cs]e"),
+    ("odbl", r"odbl-1\.0", r"open (?:database|data commons open database) licen[cs]e"),
+    ("openrail", r"openrail[a-z+-]*", r"\bopenrail(?:-m)?\b"),
+    ("cc0", r"cc0-1\.0", r"\bcc0(?: ?1\.0)?|creative commons zero"),
+    ("cc-by-nc-nd", r"cc-by-nc-nd[0-9.-]*", r"\bcc[ -]by-nc-nd(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noncommercial[ -]noderiv[a-z]*"),
+    ("cc-by-nc-sa", r"cc-by-nc-sa[0-9.-]*", r"\bcc[ -]by-nc-sa(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noncommercial[ -]share ?-?alike"),
+    ("cc-by-nc", r"cc-by-nc[0-9.-]*", r"\bcc[ -]by-nc(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noncommercial"),
+    ("cc-by-nd", r"cc-by-nd[0-9.-]*", r"\bcc[ -]by-nd(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]noderiv[a-z]*"),
+    ("cc-by-sa", r"cc-by-sa[0-9.-]*", r"\bcc[ -]by-sa(?:[ -][0-9.]*[0-9])?|creative commons attribution[ -]share ?-?alike"),
+    ("cc-by", r"cc-by[0-9.-]*", r"\bcc[ -]by(?:[ -][0-9.]*[0-9])?|creative commons attribution"),
+    ("creative-commons", r"cc", r"creative commons"),
 )
 
 #: Forms of a notice, best first: name, pattern around an identifier or a name, keyword, weight.
@@ -82,28 +84,60 @@ FORMS = (
 class Rule:
     rule: str
     label: str
-    keyword: str
-    form: str
+    keyword: str  # a literal that every match holds, or nothing
+    form: str  # likewise, of the form
     pattern: str
     priority: int
     weight: float
+    needs: tuple[tuple[str, ...], ...]  # every match holds all literals of one of these
+
+
+def needs(pattern: str, most: int = 16) -> tuple[tuple[str, ...], ...]:
+    """Literals of which every match of a pattern holds all of at least one tuple; a part with too many ways asks for nothing."""
+
+    def of(items) -> list[frozenset[str]]:
+        out, run = [frozenset()], ""
+        for kind, arg in [*items, (None, None)]:
+            if kind is kinds.LITERAL:
+                run += chr(arg)
+                continue
+            ways = [[frozenset({run})]] if len(run) > 1 or run.isdigit() else []
+            if kind is kinds.SUBPATTERN:
+                ways.append(of(arg[-1]))
+            elif kind is kinds.BRANCH:  # the parser has put what all branches begin with before them
+                ways = [[w for x in arg[1] for w in of([*((kinds.LITERAL, ord(c)) for c in run), *x])]]
+            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT) and arg[0] > 0:
+                ways.append(of(arg[2]))
+            run = ""
+            for more in ways:
+                both = {a | b for a in out for b in more}
+                out = list(both) if len(both) <= most else out
+        return [w for w in out if not any(v < w for v in out)]
+
+    return tuple(sorted({tuple(sorted(w)) for w in of(parser.parse(pattern))}))
+
+
+def _common(ways: tuple[tuple[str, ...], ...]) -> str:
+    return max(sorted(set(ways[0]).intersection(*ways)), key=len, default="")
 
 
 def rules() -> list[Rule]:
     """All forms of all families, best first, then notices that name no licence."""
     out = []
     for form, pattern, keyword, weight in FORMS:
-        for label, tag, name, word in FAMILIES:
+        for label, tag, name in FAMILIES:
             spaced = pattern.format(tag=f"(?:{tag})", name=name).replace(" ", r"\s+").replace(r"\s+?", r"\s*")
-            out.append(Rule(f"{form}:{label}", label, word, keyword, spaced, len(out), weight))
+            ways = needs(spaced)
+            out.append(Rule(f"{form}:{label}", label, _common(ways), keyword, spaced, len(out), weight, ways))
     for label, keyword, pattern, weight in (
         ("public-domain", "public domain", r"(?:dedicated to|released into|in) the public domain", 0.8),
         ("all-rights-reserved", "rights", r"all\s+rights\s+reserved", 0.6),
         ("copyleft", "copyleft", r"\bcopyleft\b", 0.4),
         ("copyright", "copyright", r"copyright\s+(?:\(c\)|©)?\s*(?:[0-9]{4})", 0.3),
-        ("unknown", "licensed under", r"licensed\s+under", 0.3),
+        ("unknown", "licensed", r"licensed\s+under", 0.3),
     ):
-        out.append(Rule(f"notice:{label}", label, keyword, keyword, pattern, len(out), weight))
+        ways = needs(pattern)
+        out.append(Rule(f"notice:{label}", label, _common(ways), keyword, pattern, len(out), weight, ways))
     return out
 
 
@@ -151,10 +185,22 @@ def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def detections(text: Column) -> Column:
-    """The detections of a text: start and stop (code points), priority, label, rule and weight, in order of place."""
-    table = F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.form).alias("form"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in rules()])
-    run = lambda t: _resolve(F.flatten(F.transform(F.filter(table, lambda r: F.contains(t, r["keyword"]) & F.contains(t, r["form"])), lambda r: _spans(t, r))))
+def detections(text: Column, gated: bool = True) -> Column:
+    """The detections of a text: start and stop (code points), priority, label, rule and weight, in order of place.
+
+    Without the gates every rule runs on every text; the result is the same.
+    """
+    known = rules()
+    literals = sorted({x for r in known for w in r.needs for x in w})
+    table = F.array(*[F.struct(F.lit(r.rule).alias("rule"), F.lit(r.label).alias("label"), F.array(*[F.array(*map(F.lit, w)).cast("array<string>") for w in r.needs]).alias("needs"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in known])
+
+    def run(t: Column) -> Column:
+        met = lambda held: F.filter(table, lambda r: F.exists(r["needs"], lambda way: F.size(F.array_except(way, held)) == 0))
+        held = F.filter(F.array(*map(F.lit, literals)), lambda x: F.contains(t, x))
+        return _resolve(F.flatten(F.transform(_once(held, met) if gated else table, lambda r: _spans(t, r))))
+
+    if not gated:
+        return _once(_lower(text), run)
     return F.when(text.rlike(GATE), _once(_lower(text), run)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 

@@ -1,7 +1,10 @@
 """License rules against the same rules in plain Python."""
 
 import os
+import random
 import re
+from re import _constants as kinds
+from re import _parser as parser
 
 import pytest
 
@@ -71,3 +74,49 @@ def test_rules_are_many_and_gated():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables are not here")
 def test_sample(spark):
     check(ls.scan(spark.read.parquet(f"{SF}/documents.parquet")).collect())
+
+
+def example(pattern, dice):
+    """A text that a pattern describes."""
+
+    def of(items):
+        out = ""
+        for kind, arg in items:
+            if kind is kinds.LITERAL:
+                out += chr(arg)
+            elif kind is kinds.SUBPATTERN:
+                out += of(arg[-1])
+            elif kind is kinds.BRANCH:
+                out += of(dice.choice(arg[1]))
+            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT):
+                out += "".join(of(arg[2]) for _ in range(dice.randint(arg[0], min(arg[1], arg[0] + 2))))
+            elif kind is kinds.IN:
+                k, x = dice.choice(arg)
+                out += {kinds.LITERAL: lambda: chr(x), kinds.RANGE: lambda: chr(dice.randint(*x)), kinds.CATEGORY: lambda: dice.choice(" \n\t")}[k]()
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def same_without_gates(spark, texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = df.select("text", ls.detections(df["text"]).alias("gated"), ls.detections(df["text"], gated=False).alias("all")).collect()
+    assert len(got) == len(texts)
+    assert not [(r.text, r.gated, r["all"]) for r in got if r.gated != r["all"]]
+    return got
+
+
+def test_keywords_lose_nothing(spark):
+    dice = random.Random(7)
+    texts = [f"a licence: x {example(r.pattern, dice)} of all" for r in ls.rules() for _ in range(4)]
+    assert sum(not r["all"] for r in same_without_gates(spark, texts)) < 0.05 * len(texts)
+
+
+def test_identifiers_and_prose_names(spark):
+    want = {
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "License: EPL-2.0": "epl-2.0", "https://opensource.org/licenses/MPL-2.0": "mpl-2.0", "license = ODbL-1.0": "odbl",
+        "SPDX-License-Identifier: BUSL-1.1": "busl", "licence: MS-PL": "ms-pl", "spdx.org/licenses/PSF-2.0": "python", "Creative Commons Attribution-ShareAlike": "cc-by-sa",
+        "Creative Commons Attribution-NoDerivatives": "cc-by-nd", "Creative Commons Attribution-NonCommercial": "cc-by-nc", "Licensed\nunder": "unknown",
+    }
+    df = spark.createDataFrame(list(want.items()), "text string, want string")
+    assert [(r.text, r.labels) for r in ls.scan(df).where("not array_contains(labels, want) or score = 0").collect()] == []
