@@ -8,6 +8,7 @@ suppressed.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from re import _constants as kinds
 from re import _parser as parser
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: Phrases that are always looked for, as consecutive words.
 BASE = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
-#: A text that has none of these has no detection. Every form of a rule holds one of them.
-GATE = r"(?i)licen[cs]e|under|spdx|copyright|rights|public domain|creative\s*commons|\bcc0|\bcc[ -]by|copyleft"
 
 #: Label, identifier in tags, name in prose. More specific names come first.
 FAMILIES = (
@@ -141,6 +140,24 @@ def rules() -> list[Rule]:
     return out
 
 
+def _gate(known: list[Rule]) -> str:
+    """A pattern that every text with a detection matches.
+
+    For each way that a rule can match one literal is taken, those first that serve most ways. Ways without a longer literal
+    put in their rule's pattern. Grants hold a name, so the rules for names speak for them.
+    """
+    ways = {w: r.pattern for r in known if not r.rule.startswith("grant:") for w in r.needs}
+    patterns = sorted({p for w, p in ways.items() if max(map(len, w)) < 3})
+    left, out = [w for w in ways if max(map(len, w)) >= 3], []
+    while left:
+        serves = {x: sum(any(x in y for y in w) for w in left) for x in sorted({x for w in left for x in w if len(x) >= 3})}
+        out.append(max(serves, key=lambda x: (serves[x], len(x))))
+        left = [w for w in left if not any(out[-1] in y for y in w)]
+    return "(?i)" + "|".join([*map(re.escape, out), *patterns])
+
+
+#: A text without a match of this has no detection.
+GATE = _gate(rules())
 SPAN = "struct<start:int,stop:int,priority:int,label:string,rule:string,weight:double>"
 
 
