@@ -1,9 +1,9 @@
 """License scan: ordered signature rules over whole texts, as column expressions.
 
 A rule is a regular expression with a priority, a label and a weight. What a match of it must hold is read off the
-expression; in a text only the rules run whose needs the text meets. Texts without any word of ``GATE`` are passed over. Detections that overlap compete: the
-one of the better priority stays, then the longer, then the earlier, so that a detection inside a stronger one is
-suppressed.
+expression; in a text only the rules run whose needs the text meets. Texts that ``GATE`` does not match are passed over.
+Detections that overlap compete: by priority, then length, then place each is kept that overlaps none already kept, so
+that a detection inside a stronger one is suppressed, and one that only overlaps a suppressed one stays.
 """
 
 from __future__ import annotations
@@ -185,17 +185,28 @@ def _spans(text: Column, r: Column) -> Column:
 
 
 def _resolve(spans: Column) -> Column:
-    """From left to right, of two detections that overlap the better one."""
-    ordered = F.array_sort(spans)
-    start = F.array().cast(f"array<{SPAN}>")
+    """By priority, then length, then place, each detection that overlaps none already kept; in order of place.
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        apart = (F.size(kept) == 0) | (s["start"] >= last["stop"])
-        better = (s["priority"] < last["priority"]) | ((s["priority"] == last["priority"]) & (s["stop"] - s["start"] > last["stop"] - last["start"]))
-        return F.when(apart, F.concat(kept, F.array(s))).when(better, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(s))).otherwise(kept)
-
-    return F.aggregate(ordered, start, step)
+    Only detections that hang together by overlaps compete, so each such run is resolved apart.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(f"array<array<{SPAN}>>").alias("done"), none.alias("run"))
+
+    def step(s: Column, x: Column) -> Column:
+        apart = x["start"] >= s["reach"]
+        return F.struct(
+            F.greatest(s["reach"], x["stop"]).alias("reach"),
+            F.when(apart & (F.size(s["run"]) > 0), F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"]).alias("done"),
+            F.when(apart, F.array(x)).otherwise(F.concat(s["run"], F.array(x))).alias("run"),
+        )
+
+    def best(run: Column) -> Column:
+        ranked = F.array_sort(F.transform(run, lambda x: F.struct(x["priority"].alias("p"), (x["start"] - x["stop"]).alias("l"), x["start"].alias("at"), x.alias("x"))))
+        free = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"]))
+        return F.aggregate(ranked, none, lambda kept, r: F.when(free(kept, r["x"]), F.concat(kept, F.array(r["x"]))).otherwise(kept), lambda kept: F.array_sort(kept))
+
+    runs = F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(s["done"], F.array(s["run"])))
+    return F.flatten(F.transform(runs, lambda run: F.when(F.size(run) > 1, best(run)).otherwise(run)))
 
 
 def _lower(text: Column) -> Column:

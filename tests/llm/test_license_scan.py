@@ -127,3 +127,19 @@ def test_gate_loses_nothing(spark):
     texts += [x.upper() for x in texts[::3]] + ["This code is GPL-3.0, see COPYING", "Apache 2.0", "Simplified BSD", "WTFPL", "MIT no attribution", "it is CC BY 4.0"]
     got = {r.text: r.gated for r in same_without_gates(spark, texts) if r.text in texts[-6:]}
     assert [got[x][0].label for x in texts[-6:]] == ["gpl-3.0", "apache-2.0", "bsd-2-clause", "wtfpl", "mit-0", "cc-by"]
+
+
+def test_chains_of_overlaps(spark):
+    dice = random.Random(9)
+    # A, B over its end and C over B's end: B beats A, C beats B, and A overlaps nothing that stays
+    chains = [[(0, 10, 5), (8, 20, 3), (18, 30, 1)]] + [[(a := dice.randint(0, 60), a + dice.randint(1, 15), dice.randint(0, 6)) for _ in range(dice.randint(0, 25))] for _ in range(200)]
+    rows = [(k, [(a, b, p, f"l{p}", f"r{p}", 0.5) for a, b, p in chain]) for k, chain in enumerate(chains)]
+    df = spark.createDataFrame(rows, f"k int, spans array<{ls.SPAN}>")
+    got = {r.k: [tuple(x) for x in r.kept] for r in df.select("k", ls._resolve(df["spans"]).alias("kept")).collect()}
+    for k, spans in rows:
+        kept = []
+        for s in sorted(spans, key=lambda s: (s[2], s[0] - s[1], s[0])):
+            if all(s[0] >= x[1] or x[0] >= s[1] for x in kept):
+                kept.append(s)
+        assert got[k] == sorted(kept)
+    assert [s[:3] for s in got[0]] == [(0, 10, 5), (18, 30, 1)]
