@@ -28,6 +28,10 @@ MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 WORDS = re.compile(r"[a-z]+")
 #: Elements without text of their own, elements that stand inside a line, and those without an end tag.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head".split())
+#: Those of RAW whose content is not markup, and the marks that decide where a script ends.
+PLAIN = frozenset("script style noscript iframe textarea title".split())
+CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in PLAIN}
+SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>]|\Z)", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img input button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element and those that its start tag closes.
@@ -44,6 +48,32 @@ class Block:
     linked: int  # characters inside links
 
 
+def _after(page: str, name: str, at: int) -> int | None:
+    """Where a page goes on after the content, from ``at``, and the end tag of an element of PLAIN; None without an end tag.
+
+    A script inside a comment of a script has an end tag of its own, unless none would be left.
+    """
+    end = CLOSERS[name].search(page, at)
+    if name == "script" and end and page.find("<!--", at, end.start()) >= 0:
+        hidden = inner = False
+        place = at
+        while mark := SCRIPT.search(page, place):
+            place = mark.end()
+            if mark.group() == "<!--":
+                place -= 2  # its dashes may be those of the end
+                hidden = True
+            elif mark.group() == "-->":
+                hidden = inner = False
+            elif not mark.group(1):
+                inner = hidden
+            elif inner:
+                inner = False
+            else:
+                end = CLOSERS[name].match(page, mark.start())
+                break
+    return end.end() if end else None
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks with text, in page order."""
     out: list[Block] = []
@@ -61,7 +91,11 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked, in_link = 0, False
 
-    for token in TOKEN.finditer(page):
+    at = 0
+    endless: set[str] = set()  # elements of PLAIN without an end tag in the rest of the page
+    while at < len(page):
+        token = TOKEN.match(page, at)
+        at = token.end()
         name = token.group(2)
         if name is None:
             raw = token.group()
@@ -75,10 +109,19 @@ def blocks(page: str) -> list[Block]:
         if skip:
             if end and name == skip:
                 skip = ""
+            elif name in ("script", "style") and not end and not token.group(3).endswith("/") and name not in endless:
+                if (after := _after(page, name, at)) is None:
+                    endless.add(name)
+                else:
+                    at = after
             continue
         if name in RAW:
             if not end and not token.group(3).endswith("/"):
-                if name != "head":
+                if name in PLAIN:
+                    parts.append(" ")
+                    after = _after(page, name, at)
+                    at = len(page) if after is None else after
+                elif name != "head":
                     skip = name
                     parts.append(" ")
                 else:

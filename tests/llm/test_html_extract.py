@@ -59,3 +59,25 @@ def test_edges(spark, chain):
     assert out.columns == ["page_id", "url", "html", "text"]
     assert sorted((r.page_id or 0, r.text) for r in out.collect()) == [(0, ""), (1, ""), (1, ""), (2, "Some words here.")]
     assert he.extract(spark.createDataFrame([], schema), chain).count() == 0
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(var i=0;i<a.length;i++){f(i)}</script>", "<script>if(i<n)f()</script>", "<SCRIPT>if(i<n)f()</sCript >", "<script>it's<b \"</script>",
+        "<script><!-- if(i<n)f() //--></script>", "<script>if(a<!--b)f()</script>", "<script><!-- never closed</script>", "<script><!--></script>",
+        "<script><!-- w('<script src=x></script>') //--></script>", "<script>x = '<!-- <script>'</script>", "<script>'</scripty>' + i<n</script>", "<style>a<b{content:'\"'}</style>",
+        "<style><!-- p{} </style>", "<noscript>i<n</noscript>", "<textarea>i<n</textarea>", "<iframe>i<n</iframe>", "<template><p>no<script>if(i<n)f('</template>')</script></template>",
+        "<svg><style>a<b{}</style><title>no</svg>", "<title>i<n</title>", "<script src=x></script>", "<script src='x' />",
+    ],
+)
+def test_scripts_end_at_their_own_tag(chain, raw):
+    for more in ("", "<script>g()</script>", raw):
+        page = f"<html><body>{raw}<article><h1>Title of it</h1><p>Some words here, in a row.</p></article>{more}</body></html>"
+        assert [b.text for b in he.blocks(page)] == ["Title of it", "Some words here, in a row."]
+        assert he.main_text([page], chain, he.Features()) == ["Title of it\nSome words here, in a row."]
+
+
+def test_many_raw_elements_take_one_pass():
+    assert he.blocks("<svg><style>" * 20_000 + "x") == [] and he.blocks("<script><!--" * 20_000 + "x") == []
+    assert [b.text for b in he.blocks("<script><!-- <script></script>--></script>" * 20_000 + "x")] == ["x"]
