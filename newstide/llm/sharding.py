@@ -1,14 +1,17 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Each starts in a shard drawn from its id; then rounds of joins move documents
-towards the shard where most of their group is. A move needs room: shards take in as many as they give away, within
-quotas for every pair of shards, so the sizes stay what they were. At the end the counts are made equal to within one.
+Documents with equal texts are linked. Each starts in a shard drawn from its id, and the counts are made equal to within
+one; then rounds of joins move documents towards the shards of their group. Groups that matter for a shard's room get
+as many shards as their size needs, planned for all of them together; a smaller one gathers where most of it is. A move
+needs room: shards take in as many as they give away, within quotas for every pair of shards, so sizes stay what they were.
 
 A group is never listed: what travels is its number of documents by shard, and each shard's share of a quota.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +42,79 @@ def _quotas(wishes: DataFrame) -> DataFrame:
     return wishes.join(back, ["shard", "to"]).select("shard", "to", F.least("wish", "back").alias("quota"))
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
-    """``rows`` (key, group, shard) after ``rounds`` of moves; groups of one document have no links and may be swapped in.
+PART = 4  # groups of more than this part of a shard are planned for; there are fewer than PART for each shard
+
 
-    A document wishes to move to the shard that holds most of its group (of equally full ones the one with the smallest
-    hash of group and shard). Lonely documents stand in for room: those of a shard may move anywhere, and follow a
-    group's members the other way, so that every swap keeps both sizes.
+def _plan(held: list[tuple[int, int, int]], counts: dict[int, int]) -> tuple[dict[tuple[int, int], int], set[int]]:
+    """How many documents of each group (group, shard, number held) each shard shall have, and the shards with room left.
+
+    Largest groups first; one that no shard has room for fills the emptiest, and the rest of it goes where it fits, to
+    the shard that holds most of it.
     """
-    for turn in range(rounds):
-        held = rows.where("size_of_group > 1").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = held.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard").alias("h"), "shard")).alias("b")).select("group", F.col("b.shard").alias("to"))
-        wanting = rows.where("size_of_group > 1").join(best, "group").where("shard <> to")
-        if turn == 0 and wanting.isEmpty():
-            return rows
-        wanting = stored(_numbered(wanting.withColumn("_pair", F.col("shard") * shards + F.col("to")), "_pair", [F.col("group"), F.col("key")], "_place", F.col("group")), "wanting")
+    have: dict[int, dict[int, int]] = {}
+    for group, shard, n in held:
+        have.setdefault(group, {})[shard] = n
+    left, takes = dict(counts), {}
+    for group, ns in sorted(have.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        need = sum(ns.values())
+        while need:
+            fits = [s for s in left if left[s] >= need]
+            best = max(fits, key=lambda s: (ns.get(s, 0), -left[s], s)) if fits else max(left, key=lambda s: (left[s], ns.get(s, 0), s))
+            takes[group, best] = take = min(need, left[best])
+            left[best] -= take
+            need -= take
+    return takes, {s for s in left if left[s] > 0}
+
+
+def _wishes(rows: DataFrame, takes: DataFrame, shards: int, room: set[int], shut: set[int]) -> DataFrame:
+    """The linked documents that wish to move, with the shard they wish for (``to``).
+
+    Of a planned group those beyond its planned number in a shard move to where it lacks some. Of others a shard with
+    room in the plan is wished for, of these the one that holds most, of equally full ones one that is not shut (had no
+    room for all wishes); what is not in a fullest shard that is shut gathers in the fullest of the others. A group
+    without any document in a shard with room makes way for the planned ones.
+    """
+    linked = rows.where("size_of_group > 1")
+    held = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
+    planned = F.broadcast(takes.select("group").distinct())
+    # the surplus of a shard and what others lack take numbers in a row
+    both = held.join(planned, "group", "left_semi").join(takes, ["group", "shard"], "full").na.fill(0, ["n", "take"])
+    up = Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_over", F.greatest(F.col("n") - F.col("take"), F.lit(0))).withColumn("_lack", F.greatest(F.col("take") - F.col("n"), F.lit(0)))
+    both = stored(both.withColumn("_from", F.coalesce(F.sum("_over").over(up), F.lit(0))).withColumn("_lo", F.coalesce(F.sum("_lack").over(up), F.lit(0))), "plan")
+    given = linked.join(F.broadcast(both.where("_over > 0").select("group", "shard", "take", "_from")), ["group", "shard"])
+    given = _numbered(given.withColumn("_cell", F.xxhash64("group", "shard")), "_cell", [F.col("key")], "_in_cell").where("_in_cell >= take")
+    lacking = F.broadcast(both.where("_lack > 0").select(F.col("group").alias("_g"), F.col("shard").alias("to"), "_lo", (F.col("_lo") + F.col("_lack")).alias("_hi")))
+    seat = F.col("_in_cell") - F.col("take") + F.col("_from")
+    big = given.join(lacking, (F.col("group") == F.col("_g")) & (seat >= F.col("_lo")) & (seat < F.col("_hi"))).select(*rows.columns, "to")
+    isin = lambda some: F.col("shard").isin(sorted(some)) if some else F.lit(False)
+    place = F.struct(F.col("n"), (~isin(shut)).alias("open"), F.xxhash64("group", "shard").alias("h"), "shard")
+    best = held.join(planned, "group", "left_anti").groupBy("group").agg(F.max(F.when(isin(room), place)).alias("b"), F.max(F.when(isin(room - shut), place)).alias("o"))
+    other = F.get(F.array(*map(F.lit, sorted(room))), F.pmod(F.xxhash64("group"), F.lit(len(room))).cast("int")) if room else F.lit(None).cast("int")
+    best = best.select("group", F.coalesce("b.shard", F.lit(-1)).alias("_home"), F.coalesce("o.shard", "b.shard", other).alias("to"))
+    return big.unionByName(linked.join(best, "group").where("shard <> to and shard <> _home").select(*rows.columns, "to"))
+
+
+def propagate(rows: DataFrame, shards: int, gain: float) -> DataFrame:
+    """``rows`` (key, group, size_of_group, shard) after moves; groups of one document have no links and may be swapped in.
+
+    Lonely documents stand in for room: those of a shard may move anywhere, and follow a group's members the other way, so
+    that every swap keeps both sizes. Rounds end when nobody wishes to move or when a round moves at most the share
+    ``gain`` of the linked documents.
+    """
+    spark = rows.sparkSession
+    counts = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
+    many = (F.col("size_of_group") > 1) & (F.col("size_of_group") * PART * shards > sum(counts.values()))
+    large = rows.where(many)
+    takes, open_shards = _plan([(r["group"], r["shard"], r["n"]) for r in large.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")).collect()], counts)
+    listed = F.from_json(F.lit(json.dumps([{"group": g, "shard": s, "take": n} for (g, s), n in takes.items()])), "array<struct<`group`:bigint,shard:int,take:bigint>>")
+    takes = spark.range(1).select(F.inline(listed))
+    linked = rows.where("size_of_group > 1").count()
+    shut: set[int] = set()
+    moves = linked
+    while moves > gain * linked:
+        wanting = _wishes(rows, takes, shards, open_shards, shut)
+        wanting = stored(_numbered(stored(wanting.withColumn("_pair", F.col("shard") * shards + F.col("to")), "wishing"), "_pair", [F.col("group"), F.col("key")], "_place", F.when(many, F.col("key")).otherwise(F.col("group"))), "wanting")
         wishes = stored(wanting.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("wish")), "wishes")  # shards x shards rows
         direct = _quotas(wishes)
         open_ = wishes.join(direct, ["shard", "to"], "left").select("shard", "to", "wish", F.coalesce("quota", F.lit(0)).alias("direct"), (F.col("wish") - F.coalesce("quota", F.lit(0))).alias("rest"))
@@ -67,6 +129,10 @@ def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
         places = _numbered(lonely.select("key", "shard"), "shard", [F.col("key")], "_place")
         ranges = F.broadcast(swaps.where("swap > 0").select(F.col("to").alias("shard"), F.col("_before").alias("_lo"), (F.col("_before") + F.col("swap")).alias("_hi"), F.col("shard").alias("moved")))
         out = places.join(ranges, "shard").where("_place >= _lo and _place < _hi").select("key", "moved")
+        ends = swaps.groupBy("to").agg(F.sum(F.col("direct") + F.col("swap")).alias("moves"), F.sum(F.col("rest") - F.col("swap")).alias("unmet")).collect()  # a row for each shard
+        moves, shut = sum(r["moves"] for r in ends), {r["to"] for r in ends if r["unmet"]}
+        if not moves:
+            return rows
         rows = stored(rows.join(moved.unionByName(out), "key", "left").withColumn("shard", F.coalesce("moved", "shard")).drop("moved"), "round")
     return rows
 
@@ -105,11 +171,12 @@ def _level(rows: DataFrame, shards: int) -> DataFrame:
     return rows.join(moved, "key", "left").withColumn("shard", F.coalesce("moved", "shard")).drop("moved")
 
 
-def assign(docs: DataFrame, shards: int = 24, rounds: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, gain: float = 0.001, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, size (UTF-8 bytes of the text and 8), text_crc32, shard (from 0) and slot (from 0 in its shard, gapless).
 
     The law is ``rows``: the counts of any two shards differ by one at most. Documents with equal texts are held
-    together as far as that leaves room: a group larger than a shard spans several. A null text has no bytes and is
+    together as far as that leaves room: a group larger than a shard spans as few as hold it. Rounds of moves go on until
+    one moves at most the share ``gain`` of the linked documents. A null text has no bytes and is
     a text of its own kind, equal to other nulls. Null and repeated ids are placed like others, row by row. Other
     columns are dropped. Which of several rows that agree in id and text gets which place is not defined.
     """
@@ -123,7 +190,7 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 3, id: str = "doc_id
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("size_of_group"), F.min("key").alias("group"))
     known = rows.join(groups, rows["digest"].eqNullSafe(groups["digest"])).drop("digest")
     start = stored(known.select("key", "group", "size_of_group", F.pmod(F.xxhash64("id", "key"), F.lit(shards)).cast("int").alias("shard")), "start")
-    placed = stored(_level(propagate(start, shards, rounds), shards), "placed")
+    placed = propagate(stored(_level(start, shards), "levelled"), shards, gain)
     named = rows.drop("digest").join(placed.select("key", "shard"), "key")
     out = _numbered(named, "shard", [F.col("key")], "slot")
     return out.select(F.col("id").alias(id), "size", "text_crc32", "shard", "slot")

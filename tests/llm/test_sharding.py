@@ -47,3 +47,19 @@ def test_numbers_are_gapless(spark):
     got = sharding._numbered(df, "g", [df["key"]], "n").collect()
     for g in (1, 7):
         assert sorted(r.n for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
+
+
+@pytest.mark.parametrize(("copies", "shards"), [((800,), 24), ((700, 650, 300), 24), ((90, 90, 90, 60, 60), 24), ((800, *[4] * 60), 24), ((500, 400, 290), 6)])
+def test_groups_span_few_shards(spark, copies, shards):
+    rows = [(k, f"own text {k}", "x") for k in range(2400 - sum(copies))]
+    for g, n in enumerate(copies):
+        rows += [(len(rows) + k, f"copy of {g}", "x") for k in range(n)]
+    got = sharding.assign(spark.createDataFrame(rows, SCHEMA).repartition(4), shards=shards).collect()
+    check(rows, got, shards)
+    held = {}
+    for r in got:
+        held.setdefault(r.text_crc32, Counter())[r.shard] += 1
+    spans = [len(held[zlib.crc32(f"copy of {g}".encode())]) for g in range(len(copies))]
+    fewest = [-(-n * shards // 2400) for n in copies]
+    assert sum(spans) <= sum(fewest) + 0.1 * sum(n < 10 for n in copies)
+    assert all(a <= b + 1 for a, b in zip(spans, fewest, strict=True))
