@@ -92,7 +92,7 @@ def _wishes(rows: DataFrame, takes: DataFrame, shards: int, room: set[int], shut
     best = held.join(planned, "group", "left_anti").groupBy("group").agg(F.max(F.when(isin(room), place)).alias("b"), F.max(F.when(isin(room - shut), place)).alias("o"))
     other = F.get(F.array(*map(F.lit, sorted(room))), F.pmod(F.xxhash64("group"), F.lit(len(room))).cast("int")) if room else F.lit(None).cast("int")
     best = best.select("group", F.coalesce("b.shard", F.lit(-1)).alias("_home"), F.coalesce("o.shard", "b.shard", other).alias("to"))
-    return big.unionByName(linked.join(best, "group").where("shard <> to and shard <> _home").select(*rows.columns, "to"))
+    return big.unionByName(linked.join(planned, "group", "left_anti").join(best, "group").where("shard <> to and shard <> _home").select(*rows.columns, "to"))
 
 
 def propagate(rows: DataFrame, shards: int, gain: float) -> DataFrame:

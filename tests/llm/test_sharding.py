@@ -63,3 +63,10 @@ def test_groups_span_few_shards(spark, copies, shards):
     fewest = [-(-n * shards // 2400) for n in copies]
     assert sum(spans) <= sum(fewest) + 0.1 * sum(n < 10 for n in copies)
     assert all(a <= b + 1 for a, b in zip(spans, fewest, strict=True))
+
+
+def test_rounds_go_on_while_they_gain(spark):
+    rows = [(k, f"pair {k // 2}" if k < 1160 else f"own text {k}", "x") for k in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    cut = [sharding.cut_links(sharding.assign(df, shards=6, gain=gain)).first().cut for gain in (0.4, 0.001)]
+    assert cut[1] < 0.5 * cut[0] and cut[1] <= 0.1 * 580
