@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newstide.llm import byte_bpe, html_extract, license_scan, near_dups, neighbours, oracles, packing, quality, sharding, toxicity, url_filter
+from newstide.llm import (
+    byte_bpe,
+    filter_audit,
+    html_extract,
+    license_scan,
+    line_dedup,
+    near_dups,
+    neighbours,
+    oracles,
+    packing,
+    periodic_runs,
+    quality,
+    sharding,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +100,30 @@ def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rest = line_dedup.drop_shared_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    found = periodic_runs.with_runs(docs.select("doc_id", periodic_runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text")))
+    best = F.col("best")
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    entries = filter_audit.entries(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    return filter_audit.audit(entries, "ABCDE", ["good", "toxic"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_license_scan": op2_license_scan,
@@ -96,9 +135,15 @@ QUERIES: dict[str, Query] = {
     "op8_near_dups": op8_near_dups,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_nearest": op10_nearest,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op7_quality_rules": oracles.quality_rules(),
     "op8_near_dups": oracles.near_dups(),
+    "op11_line_dedup": oracles.line_dedup(),
+    "op12_periodic_runs": oracles.periodic_runs(),
+    "op13_filter_audit": oracles.filter_audit(),
 }
