@@ -11,11 +11,14 @@ from newstide.functions.scores import finite
 from newstide.functions.significance import bonferroni, corr_p_value
 from newstide.operators import aggregates as A
 from newstide.operators import asof as J
+from newstide.operators import forecast as P
 from newstide.operators import impact as I
 from newstide.operators import sets as S
+from newstide.operators.blocks import correlations
 from newstide.operators.lag import best_lag, lag_correlation
 from newstide.operators.rules import early_warning, successful_launches
 from newstide.operators.sets import top_bottom
+from newstide.operators.skew import stored
 from newstide.operators.windows import fill_forward, momentum, series
 from newstide.plans.series import feature_table, smoothed_price
 
@@ -323,23 +326,53 @@ def _(spark, sf):
     return rounded(tests.withColumn("p_bonferroni", bonferroni(F.col("p_value"), table.agg(F.count(F.lit(1))).scalar())))
 
 
+AHEAD = 7  # rows that a warning looks ahead
+
+
+def _ahead_sql() -> str:
+    path = "score_mean"
+    for _ in range(AHEAD):
+        path = f"a + b * ({path})"
+    return path
+
+
+ROLLING = f"""pairs as (select *, lag(score_mean) over ({WE}) as x from priced),
+ fits as (select entity, d, score_mean, close, regr_intercept(score_mean, x) over known as a, regr_slope(score_mean, x) over known as b,
+   regr_count(score_mean, x) over known as n_pairs from pairs window known as (partition by entity order by d rows between unbounded preceding and current row)),
+ ahead as (select *, case when n_pairs >= 30 then {_ahead_sql()} end as predicted from fits)"""
+
+
+@query(
+    "rolling_forecast",
+    sql(
+        "select entity, d, cast(n_pairs as bigint) as n_pairs, round(score_mean, 6) as score_mean, round(predicted, 6) as predicted from ahead",
+        "daily",
+        "price",
+        PRICED,
+        ROLLING,
+    ),
+)
+def _(spark, sf):
+    """What the series up to each day foretells for a week later."""
+    rolled = P.rolling_ar1(_priced(spark, sf), "score_mean", AHEAD)
+    return rounded(rolled.select("entity", "d", "n_pairs", "score_mean", "predicted"))
+
+
 @query(
     "early_warning",
     sql(
         f"""select entity, d, case when pc < -0.02 and sd > 0.3 then 3 when sd > 0.3 then 2 when pc < -0.02 then 1 else 0 end as level
-        from (select entity, d, close / lag(close) over ({WE}) - 1 as pc,
-          avg(score_mean) over ({WE} {rows(7)}) - score_mean as sd from priced)""",
+        from (select entity, d, close / lag(close) over ({WE}) - 1 as pc, score_mean - predicted as sd from ahead)""",
         "daily",
         "price",
         PRICED,
+        ROLLING,
     ),
 )
 def _(spark, sf):
-    w = series(["entity"])
-    both = _priced(spark, sf)
-    table = both.withColumns(
-        {"price_change": momentum("close", 1, w), "score_drop": F.avg("score_mean").over(w.rowsBetween(-7, 0)) - F.col("score_mean")}
-    )
+    """Level 2 stands on the fall that the series up to that day predicts."""
+    rolled = P.rolling_ar1(_priced(spark, sf), "score_mean", AHEAD)
+    table = rolled.withColumns({"price_change": momentum("close", 1, series(["entity"])), "score_drop": F.col("score_mean") - F.col("predicted")})
     return early_warning(table, "price_change", "score_drop").select("entity", "d", "level")
 
 
@@ -428,13 +461,42 @@ def _feature_sql() -> str:
     return sql(body, *stages)
 
 
-@query("feature_table", _feature_sql())
-def _(spark, sf):
+def _features(spark, sf):
     out = rounded(feature_table(obs(spark, sf), price(spark, sf), launches(spark, sf)))
     zero = ["month_sin", "month_cos", "quarter_sin", "quarter_cos"]
     return out.withColumns({c: F.col(c) + F.lit(0.0) for c in zero})
 
 
+@query("feature_table", _feature_sql())
+def _(spark, sf):
+    return _features(spark, sf)
+
+
+FEATURE_NUMBERS = """
+    n_items price_ma_cross volume_spike price_momentum_1 price_momentum_2 price_momentum_4 price_std_2 price_std_3 price_zscore price_pct_rank_4
+    price_vs_year price_vs_overall score_momentum_1 score_momentum_2 score_momentum_4 score_std_2 score_std_3 score_zscore score_diff score_pct_rank_4
+    score_cv_4 score_vs_year score_vs_overall volume_momentum price_lag_1 price_lag_2 score_lag_1 score_lag_2 score_lag_3 score_momentum_lag_1
+    score_momentum_lag_2 price score event_impact year month quarter day_of_year week_of_year is_quarter_end is_year_end is_season month_sin month_cos
+    quarter_sin quarter_cos days_to_next days_since_last events_nearby event_proximity pre_event post_event score_price_ratio score_price_momentum
+    items_score items_impact quarter_impact season_score score_price_momentum_lag
+""".split()
+
+
+def _feature_correlation_sql() -> str:
+    """All pairs of the feature table's numbers, stacked from one row of aggregates."""
+    pairs = [(a, b) for i, a in enumerate(FEATURE_NUMBERS) for b in FEATURE_NUMBERS[i + 1 :]]
+    cells = ", ".join(f"""{{'l': '{a}', 'r': '{b}', 'c': corr({a}, {b}), 'n': count({a} + {b})}}""" for a, b in pairs)
+    return f"""select c.l as "left", c.r as "right", round(case when isfinite(c.c) then c.c end, 6) + 0e0 as correlation, c.n as n
+      from (select unnest([{cells}]) as c from ({_feature_sql()}))"""
+
+
+@query("feature_correlation", _feature_correlation_sql())
+def _(spark, sf):
+    """Pearson correlation of all pairs of features."""
+    table = stored(_features(spark, sf), "features")
+    return rounded(correlations(table, FEATURE_NUMBERS))
+
+
 @query(
     "price_interactions",
     sql(

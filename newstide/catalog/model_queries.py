@@ -13,9 +13,11 @@ from newstide.operators import evaluate as E
 from newstide.operators import forecast as P
 from newstide.operators import scaling as C
 from newstide.operators import sequences as Q
+from newstide.operators import trees as T
 from newstide.operators.asof import align_predictions
 from newstide.operators.rules import insight_reliable
-from newstide.operators.sets import latest
+from newstide.operators.sets import eligible_entities, keep_entities, latest
+from newstide.operators.skew import stored
 from newstide.operators.windows import series, trailing_mean
 from newstide.plans.report import analysis_report
 
@@ -354,14 +356,47 @@ def _linear(spark, sf):
     return series, seq, P.fit_linear(seq.where(F.col("split") == "train"))
 
 
-@query("linear_backtest")
+LIN_X = ", ".join(f"lag({c}, {k}) over ({WE})" for k in (4, 3, 2, 1) for c in ("score_mean", "positive_ratio"))
+#: Normal equations of nine weights, solved by elimination down the diagonal (they are positive definite).
+LIN = f"""lin as (select entity, d, score_mean as y, [1e0, {LIN_X}] as z, row_number() over ({WE}) as r from daily),
+ cutlin as (select entity, d, y, z, row_number() over ({WE}) <= floor(count(*) over (partition by entity) * 0.8) as train from lin where r > 4),
+ gram as (select entity, i, list(v order by j) as row_i from (select entity, i, j, sum(z[i] * list_concat(z, [y])[j]) + case when i = j then 1e-8 else 0 end as v
+   from cutlin, range(1, 10) a(i), range(1, 11) b(j) where train group by entity, i, j) group by entity, i),
+ matrix as (select entity, list(row_i order by i) as m from gram group by entity),
+ solved as (with recursive e as (select entity, 0 as k, m from matrix
+   union all select entity, k + 1, list_transform(range(1, 10), lambda i: case when i = k + 1 then p else list_transform(range(1, 11), lambda j: m[i][j] - m[i][k + 1] * p[j]) end)
+     from (select entity, k, m, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) as p from e where k < 9))
+   select entity, list_transform(m, lambda r: r[10]) as b from e where k = 9)"""
+
+
+@query(
+    "linear_backtest",
+    sql(
+        f"""select entity, n, {ROUNDED} from (select entity, {MEASURES} from (select entity, y as actual, list_inner_product(z, b) as predicted
+        from cutlin join solved using (entity) where not train) group by entity)""",
+        "daily",
+        LIN,
+    ),
+)
 def _(spark, sf):
     """Least squares on four-row windows: fitted on the first 80 % of each series, measured on the rest."""
     _, seq, model = _linear(spark, sf)
     return rounded(E.regression_metrics(P.linear_predictions(seq.where(F.col("split") == "test"), model), ["entity"]))
 
 
-@query("linear_forecast")
+@query(
+    "linear_forecast",
+    sql(
+        "select entity, cast(d0 + step as date) as d, cast(step as int) as step, round(p, 6) + 0e0 as predicted from rolled",
+        "daily",
+        LIN,
+        f"""lastlin as (select entity, d as d0, list_concat(z[4:], [y, ratio]) as x from (select lin.*, positive_ratio as ratio from lin join daily using (entity, d))
+          qualify row_number() over (partition by entity order by d desc) = 1)""",
+        """rolled as (with recursive g as (select entity, d0, b, x, 0 as step, 0e0 as p from lastlin join solved using (entity)
+          union all select entity, d0, b, list_concat(x[3:], [y, x[8]]), step + 1, y
+            from (select *, list_inner_product(list_concat([1e0], x), b) as y from g where step < 30)) select * from g where step > 0)""",
+    ),
+)
 def _(spark, sf):
     series, _, model = _linear(spark, sf)
     window = P.last_window(series, ["score_mean", "positive_ratio"], 4)
@@ -375,6 +410,39 @@ def _(spark, sf):
     return rounded(E.regression_metrics(P.tree_predictions(seq.where(F.col("split") == "test"), model), ["entity"]))
 
 
+def _tree_parts(spark, sf):
+    """Seven-row windows of the series long enough to train on, cut into train, validation and test along time."""
+    series = keep_entities(daily(spark, sf), eligible_entities(daily(spark, sf)))
+    parts = (("train", 0.6), ("validation", 0.2), ("test", 0.2))
+    return series, stored(Q.temporal_split(Q.sequences(series, FEATURES, "score_mean", 7), parts), "tree-windows")
+
+
+TREES = {"maxIter": 12, "maxDepth": 3, "stepSize": 0.3}
+
+
+@query("tree_rounds")
+def _(spark, sf):
+    """Loss of each boosting round on each part; the round with the least validation loss is marked."""
+    _, seq = _tree_parts(spark, sf)
+    kept, losses = T.fit_best_trees(seq, **TREES)
+    return losses.withColumn("best", F.col("round") == len(kept.roots))
+
+
+@query("best_tree_backtest")
+def _(spark, sf):
+    _, seq = _tree_parts(spark, sf)
+    kept, _ = T.fit_best_trees(seq, **TREES)
+    return E.regression_metrics(T.score_rows(seq.where(F.col("split") == "test"), kept), ["entity"])
+
+
+@query("tree_forecast")
+def _(spark, sf):
+    """Thirty days ahead, each prediction fed back into the window."""
+    series, seq = _tree_parts(spark, sf)
+    kept, _ = T.fit_best_trees(seq, **TREES)
+    return T.forecast_trees(P.last_window(series, FEATURES, 7), kept, 30)
+
+
 LAG2 = f"""lag2 as (select entity, d, score_mean as y, lag(score_mean, 1) over ({WE}) as x1, lag(score_mean, 2) over ({WE}) as x2 from daily
    qualify lag(score_mean, 2) over ({WE}) is not null),
  cut2 as (select *, row_number() over ({WE}) <= floor(count(*) over (partition by entity) * 0.8) as train from lag2),

@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newstide.operators.blocks import correlations
 from newstide.operators.quantiles import exact_percentiles, melt
 
 ALL = "ALL"
@@ -180,22 +181,8 @@ def corr_by(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Upper triangle of the Pearson matrix over pairwise complete rows: ``left``, ``right``, ``correlation``.
-
-    Every row is fanned out to its column pairs and folded map-side, so only one partial row per pair and task is
-    shuffled, whatever the number of rows.
-    """
-    names = list(cols)
-    vector = df.select(*by, F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    fan = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs]))
-    labels = F.array(*[F.lit(n) for n in names])
-    return (
-        vector.withColumn("pair", fan)
-        .groupBy(*by, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-        .agg(F.corr(F.get("v", F.col("pair.i")), F.get("v", F.col("pair.j"))).alias("correlation"))
-        .select(*by, F.get(labels, F.col("i")).alias("left"), F.get(labels, F.col("j")).alias("right"), "correlation")
-    )
+    """Upper triangle of the Pearson matrix over pairwise complete rows: ``left``, ``right``, ``correlation``."""
+    return correlations(df, cols, by).drop("n")
 
 
 def launch_summary(events: DataFrame, entity: str = "entity", d: str = "d", category: str = "category") -> DataFrame:

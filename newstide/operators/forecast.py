@@ -1,19 +1,21 @@
-"""Forecasters on lagged windows: closed-form AR(1), least squares from sufficient statistics, boosted trees."""
+"""Forecasters on lagged windows: closed-form AR(1), least squares from sufficient statistics, boosted trees (see ``trees``)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newstide.functions.text import let
+from newstide.operators.blocks import block_sums
 from newstide.operators.sets import last_rows
-from newstide.operators.windows import series
+from newstide.operators.windows import START, series
 
 
 def fit_ar1(daily: DataFrame, value: str, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:
@@ -62,28 +64,26 @@ def fit_linear(
 ) -> DataFrame:
     """Least-squares weights (intercept first) per series on flattened input windows.
 
-    The sums of z z' and z y are partial aggregations over all rows; only the small normal equations, one row per
-    series, reach Python.
+    The sums of z z' and z y are added up by Arrow batch (``blocks.block_sums``); the small normal equations, one row per
+    series, are solved at the end.
     """
-    size = F.size("z")
-    outer = F.flatten(F.transform("z", lambda a: F.transform("z", lambda b: a * b)))
-    cells = _design(seq, by, d).select(
-        *by, size.alias("k"), F.posexplode(F.concat(outer, F.transform("z", lambda a: a * F.col("y")))).alias("cell", "v")
-    )
-    sums = cells.groupBy(*by, "k", "cell").agg(F.sum("v").alias("v"))
-    packed = sums.groupBy(*by, "k").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda c: c["v"]).alias("m")
-    )
+    design = _design(seq, by, d)
+    sums = block_sums(design, F.concat("z", F.array("y")), by)
+    packed = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "j", "sij"))).alias("cells"))
+    packed = packed.select(*by, F.transform("cells", lambda c: c["sij"]).alias("m"))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(k: pd.Series, m: pd.Series) -> pd.Series:
+    def solve(m: pd.Series) -> pd.Series:
         out = []
-        for n, flat in zip(k, m, strict=True):
-            gram, moment = np.reshape(flat[: n * n], (n, n)), np.asarray(flat[n * n :])
-            out.append(np.linalg.lstsq(gram + ridge * np.eye(n), moment, rcond=None)[0].tolist())
+        for upper in m:
+            size = int((np.sqrt(8 * len(upper) + 1) - 1) / 2)
+            whole = np.zeros((size, size))
+            whole[np.triu_indices(size)] = upper
+            gram = (whole + np.triu(whole, 1).T)[:-1, :-1] + ridge * np.eye(size - 1)
+            out.append(np.linalg.lstsq(gram, whole[:-1, -1], rcond=None)[0].tolist())
         return pd.Series(out)
 
-    return packed.select(*by, solve("k", "m").alias("weights"))
+    return packed.select(*by, solve("m").alias("weights"))
 
 
 def linear_predictions(seq: DataFrame, model: DataFrame, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:
@@ -104,32 +104,58 @@ def last_window(daily: DataFrame, features: Sequence[str], length: int, by: Sequ
     )
 
 
-def forecast_linear(window: DataFrame, model: DataFrame, horizon: int, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:
+def forecast_window(window: DataFrame, predict: Callable[[Column], Column], horizon: int, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:
     """Recursive forecast: predict, copy the newest row with the prediction as feature 0, roll the window.
 
-    The recursion is a fold over 1..horizon inside the row of each series; no driver loop, no Python.
+    ``predict`` turns a window (an array of rows, oldest first) into a value and may use other columns of ``window``. The
+    recursion is a fold over 1..horizon inside the row of each series; no driver loop, no Python.
     """
 
-    def predict(x):
-        z = F.concat(F.array(F.lit(1.0)), F.flatten(x))
-        return F.aggregate(F.zip_with(z, F.col("weights"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
     def step(s, _):
-        y = predict(s["x"])
         newest = F.element_at(s["x"], -1)
-        rolled = F.concat(
-            F.slice(s["x"], 2, F.size(s["x"]) - 1),
-            F.array(F.concat(F.array(y), F.slice(newest, 2, F.size(newest)))),
+        return let(
+            predict(s["x"]),
+            lambda y: F.struct(
+                F.concat(F.slice(s["x"], 2, F.size(s["x"]) - 1), F.array(F.concat(F.array(y), F.slice(newest, 2, F.size(newest))))).alias("x"),
+                F.concat(s["path"], F.array(y)).alias("path"),
+            ),
         )
-        return F.struct(rolled.alias("x"), F.concat(s["path"], F.array(y)).alias("path"))
 
     start = F.struct(F.col("x").alias("x"), F.array().cast("array<double>").alias("path"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step)["path"]
-    return (
-        window.join(model, list(by))
-        .select(*by, d, F.posexplode(path).alias("step", "predicted"))
-        .select(*by, F.date_add(d, F.col("step") + 1).alias(d), (F.col("step") + 1).alias("step"), "predicted")
+    return window.select(*by, d, F.posexplode(path).alias("step", "predicted")).select(
+        *by, F.date_add(d, F.col("step") + 1).alias(d), (F.col("step") + 1).alias("step"), "predicted"
+    )
+
+
+def forecast_linear(window: DataFrame, model: DataFrame, horizon: int, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:
+    """The recursive forecast of least squares."""
+
+    def predict(x: Column) -> Column:
+        z = F.concat(F.array(F.lit(1.0)), F.flatten(x))
+        return F.aggregate(F.zip_with(z, F.col("weights"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    return forecast_window(window.join(model, list(by)), predict, horizon, by, d)
+
+
+def rolling_ar1(daily: DataFrame, value: str, horizon: int = 1, least: int = 30, by: Sequence[str] = ("entity",), d: str = "d") -> DataFrame:
+    """The forecast that each past day would have got for ``horizon`` rows later: adds n_pairs and ``predicted``.
+
+    The line through (yesterday, today) is fitted on all pairs up to the day itself, from the running sums of a window that
+    only grows, so a series costs one sorted pass. Before ``least`` pairs there is no forecast.
+    """
+    w = series(by, d)
+    known = w.rowsBetween(START, 0)
+    pairs = daily.withColumn("_x", F.lag(value).over(w))
+    fitted = pairs.withColumns(
+        {
+            "_a": F.regr_intercept(value, "_x").over(known),
+            "_b": F.regr_slope(value, "_x").over(known),
+            "n_pairs": F.regr_count(value, "_x").over(known),
+        }
     )
+    ahead = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col(value).cast("double"), lambda y, _: F.col("_a") + F.col("_b") * y)
+    return fitted.withColumn("predicted", F.when(F.col("n_pairs") >= least, ahead)).drop("_x", "_a", "_b")
 
 
 def fit_trees(train: DataFrame, features: str = "x", **params):
