@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newstide.operators.blocks import correlations
-from newstide.operators.quantiles import exact_percentiles, melt
+from newstide.operators.quantiles import fold_values, ranks
+from newstide.operators.skew import sliced_join, stored
 
 ALL = "ALL"
 
@@ -44,10 +45,71 @@ def daily_stats(
     )
 
 
+def fold_items(items: DataFrame, entity: str = "entity", d: str = "d", score: str = "score", label: str = "label") -> DataFrame:
+    """Items folded to one row per entity, day and label, written once: the one read of the items that reports need.
+
+    n rows, k rows with a score, their mean, m2 (squared deviations from it), low and high. Rows of this table can be merged
+    further by ``merged`` in any grouping.
+    """
+    columns = [F.col(entity).alias("entity"), F.col(d).alias("d"), F.col(label).alias("label")]
+    folded = items.groupBy(*columns).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(score).alias("k"),
+        F.avg(score).alias("mean"),
+        (F.var_pop(score) * F.count(score)).alias("m2"),
+        F.min(score).alias("low"),
+        F.max(score).alias("high"),
+    )
+    return stored(folded, "items")
+
+
+def merged(folded: DataFrame, *by: str | Column) -> DataFrame:
+    """Count, mean and sample deviation of the score, its ends and span of days, shares of labels, per group of ``by``.
+
+    Sums are taken around the mean of the folded rows, so a large level does not cancel.
+    """
+    center = folded.agg(F.avg("mean")).scalar()
+    off = F.col("mean") - center
+    sums = folded.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.sum("k").alias("_k"),
+        F.sum(F.col("k") * off).alias("_s"),
+        F.sum(F.col("m2") + F.col("k") * off * off).alias("_q"),
+        F.min("low").alias("min_score"),
+        F.max("high").alias("max_score"),
+        F.min("d").alias("first_day"),
+        F.max("d").alias("last_day"),
+        F.sum(F.when(F.col("label") == "positive", F.col("n")).otherwise(0)).alias("_p"),
+        F.sum(F.when(F.col("label") == "negative", F.col("n")).otherwise(0)).alias("_n"),
+    )
+    rest = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k"), F.lit(0.0))
+    return sums.withColumns(
+        {
+            "mean_score": F.when(F.col("_k") > 0, center + F.col("_s") / F.col("_k")),
+            "std_score": F.when(F.col("_k") > 1, F.sqrt(rest / (F.col("_k") - 1))),
+            "positive_ratio": F.col("_p") / F.col("n"),
+            "negative_ratio": F.col("_n") / F.col("n"),
+        }
+    ).drop("_k", "_s", "_q", "_p", "_n")
+
+
+def _all_rows(folded: DataFrame) -> Column:
+    return folded.agg(F.sum("n")).scalar()
+
+
+def label_shares(folded: DataFrame) -> DataFrame:
+    return folded.groupBy("label").agg(F.sum("n").alias("n")).withColumn("pct", 100.0 * F.col("n") / _all_rows(folded))
+
+
 def label_distribution(items: DataFrame, label: str = "label") -> DataFrame:
     """Count and percentage per label."""
-    counts = items.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", 100.0 * F.col("n") / counts.agg(F.sum("n")).scalar())
+    counts = stored(items.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "labels")
+    return counts.withColumn("pct", 100.0 * F.col("n") / _all_rows(counts))
+
+
+def compared(folded: DataFrame) -> DataFrame:
+    table = merged(folded, "entity").select("entity", "n", "mean_score", "std_score", "positive_ratio", "negative_ratio")
+    return table.withColumn("share_pct", 100.0 * F.col("n") / _all_rows(folded))
 
 
 def entity_comparison(
@@ -60,7 +122,8 @@ def entity_comparison(
         share(F.col(label) == "positive").alias("positive_ratio"),
         share(F.col(label) == "negative").alias("negative_ratio"),
     )
-    return counts.withColumn("share_pct", 100.0 * F.col("n") / counts.agg(F.sum("n")).scalar())
+    counts = stored(counts, "entities")
+    return counts.withColumn("share_pct", 100.0 * F.col("n") / _all_rows(counts))
 
 
 def yearly_mean(items: DataFrame, d: str = "d", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
@@ -69,15 +132,15 @@ def yearly_mean(items: DataFrame, d: str = "d", score: str = "score", by: Sequen
 
 def yearly_trend(items: DataFrame, d: str = "d", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """First and last year's mean, the direction between them and its size."""
-    ends = (
-        yearly_mean(items, d, score, by)
-        .groupBy(*by)
-        .agg(
-            F.min("year").alias("first_year"),
-            F.max("year").alias("last_year"),
-            F.min_by("mean_score", "year").alias("first_mean"),
-            F.max_by("mean_score", "year").alias("last_mean"),
-        )
+    return trend(yearly_mean(items, d, score, by), by)
+
+
+def trend(yearly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    ends = yearly.groupBy(*by).agg(
+        F.min("year").alias("first_year"),
+        F.max("year").alias("last_year"),
+        F.min_by("mean_score", "year").alias("first_mean"),
+        F.max_by("mean_score", "year").alias("last_mean"),
     )
     return ends.withColumns(
         {
@@ -97,55 +160,48 @@ def monthly_volatility(items: DataFrame, d: str = "d", score: str = "score", by:
     return monthly.groupBy(*by).agg(F.avg("s").alias("volatility"))
 
 
-def overview(items: DataFrame, d: str = "d", score: str = "score") -> DataFrame:
-    """Count, score moments, date span and items per day with data: one row, in two partial aggregations."""
-    days = items.groupBy(d).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(score).alias("s"),
-        F.min(score).alias("low"),
-        F.max(score).alias("high"),
-    )
-    span = days.agg(
-        F.sum("n").alias("n"),
-        F.min("low").alias("min_score"),
-        F.max("high").alias("max_score"),
-        F.min(d).alias("first_day"),
-        F.max(d).alias("last_day"),
-        F.avg("n").alias("items_per_day"),
-    )
-    moments = items.agg(F.avg(score).alias("m"), F.stddev_samp(score).alias("s"))
-    return span.withColumns(
-        {"mean_score": moments.select("m").scalar(), "std_score": moments.select("s").scalar()}
-    )
+def overview(items: DataFrame, entity: str = "entity", d: str = "d", score: str = "score", label: str = "label") -> DataFrame:
+    """Count, score moments, date span and items per day with data: one row, from one read of the items."""
+    return overview_of(fold_items(items, entity, d, score, label))
+
+
+def overview_of(folded: DataFrame) -> DataFrame:
+    days = merged(folded).withColumn("items_per_day", folded.groupBy("d").agg(F.sum("n").alias("n")).agg(F.avg("n")).scalar())
+    return days.drop("positive_ratio", "negative_ratio")
 
 
 def histogram(items: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins on [min, max] of each group, the top edge inside the last bin, plus the group's mean.
 
-    A group with one distinct value gets the unit interval around it. Empty bins are listed with count 0.
+    A group with one distinct value gets the unit interval around it. Empty bins are listed with count 0. Rows without a group
+    are left out.
     """
     keys = list(by)
-    rows = items.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = items.select(*keys, F.col(value).cast("double").alias("v")).dropna()
     if not keys:
         keys = ["_all"]
         rows = rows.withColumn("_all", F.lit(0))
-    edges = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean_value"))
+    edges = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean_value"))
     flat = F.col("lo") == F.col("hi")
-    edges = edges.select(
-        *keys,
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        "mean_value",
+    edges = stored(
+        edges.select(
+            *keys,
+            "n",
+            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+            "mean_value",
+        ),
+        "edges",
     )
     spot = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    placed = sliced_join(rows, edges.select(*keys, "lo", "hi"), keys, edges.select(*keys, "n"), "v") if by else rows.crossJoin(F.broadcast(edges.select("lo", "hi")))
     counts = (
-        rows.join(edges, keys)
-        .groupBy(*keys, F.least(spot, F.lit(bins - 1)).cast("int").alias("bin"))
+        placed.groupBy(*keys, F.least(spot, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     width = (F.col("hi") - F.col("lo")) / bins
     return (
-        edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        edges.drop("n").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
         .join(counts, [*keys, "bin"], "left")
         .select(
             *by,
@@ -159,21 +215,27 @@ def histogram(items: DataFrame, value: str, bins: int = 30, by: Sequence[str] =
 
 
 def describe_by(df: DataFrame, entity: str, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, quartiles and max of each column, per entity and over ALL of them."""
-    both = df.select(
-        F.explode(F.array(F.col(entity).cast("string"), F.lit(ALL))).alias(entity),
-        *[F.col(c).cast("double").alias(c) for c in cols],
-    )
-    keys = [entity, "column"]
-    moments = melt(both, [entity], cols).groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_percentiles(both, [entity], cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return moments.join(quartiles, keys, "left")
+    """Count, mean, std, min, quartiles and max of each column, per entity and over ALL of them.
+
+    Rows are read once and folded to distinct values; both levels come from that table, so no row is doubled. Rows without an
+    entity count in ALL only.
+    """
+    quarters = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    folded = fold_values(df.withColumn(entity, F.col(entity).cast("string")), [entity], cols)
+    center = {r["column"]: r["m"] for r in folded.groupBy("column").agg(F.avg("value").alias("m")).collect()}  # one number a column
+    off = F.col("value") - F.coalesce(*[F.when(F.col("column") == c, F.lit(m)) for c, m in center.items()], F.lit(0.0))
+    sums = {"count": F.sum("n"), "_s": F.sum(F.col("n") * off), "_q": F.sum(F.col("n") * off * off), "mean": F.sum(F.col("n") * F.col("value")), "min": F.min("value"), "max": F.max("value")}
+
+    def level(by: Sequence[str]) -> DataFrame:
+        keys = [*by, "column"]
+        rows = folded.dropna(subset=list(by)) if by else folded
+        table = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+        rest = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("count"), F.lit(0.0))
+        moments = table.withColumns({"mean": F.col("mean") / F.col("count"), "std": F.when(F.col("count") > 1, F.sqrt(rest / (F.col("count") - 1)))})
+        out = moments.join(ranks(rows, by, quarters), keys, "left")
+        return out if by else out.withColumn(entity, F.lit(ALL))
+
+    return level([entity]).unionByName(level([])).select(entity, "column", "count", "mean", "std", "min", "max", *quarters)
 
 
 def corr_by(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact percentiles with linear interpolation that never gather a whole group.
 
-``percentile`` keeps every distinct value of a group in one buffer, which a group of unlimited size does not allow. Here
-a mergeable sketch first brackets each wanted rank, one partial aggregation counts what lies below the bracket, and only
-the rows inside it (a few times 1/ACCURACY of the group, and folded to distinct values) are ordered.
+``percentile`` keeps every distinct value of a group in one buffer, which a group of unlimited size does not allow. Here rows
+are folded to distinct values with their counts once. Each wanted rank then has a bracket of values, at first the whole group.
+A round cuts every bracket of more than ``LEAF`` distinct values at the edges of a sketch, counts the parts exactly and keeps the
+part with the rank, whatever the sketch was off by. What is left is small enough to be put in order.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-SLACK = 3.0 / ACCURACY  # the sketch is off by at most 1/ACCURACY of the rows on either side
-WIDE, WIDE_BELOW, WHOLE_BELOW = 0.01, 200_000, 1_000  # small groups: brackets of enough rows, or the whole group
+from newstide.operators.skew import sliced_join, stored
+
+LEAF = 50_000  # distinct values of a bracket that one task puts in order
+CUTS = 64
+ACCURACY = 1_000  # of the sketch; it only decides how evenly a bracket is cut
 
 
 def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -27,73 +30,75 @@ def melt(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_percentiles(
-    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapping[str, float]
-) -> DataFrame:
-    """One row per group and column with a column for each named probability.
+def fold_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Distinct values of each column and group with their number of rows ``n``, written once: the only read of ``df``."""
+    return stored(melt(df, by, cols).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n")), "values")
 
-    A bracket of the sketch that does not hold its rank is an error, never a missing value.
-    """
-    keys = [*by, "column"]
-    names, ps = list(probs), list(probs.values())
-    rows = melt(df, by, cols)
-    grid = [min(max(p + s, 0.0), 1.0) for s in (-SLACK, SLACK, -WIDE, WIDE) for p in ps]
-    brackets = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", grid, ACCURACY).alias("edge"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
-    )
 
-    def edge(block: int, i: int, end: str):
-        return (
-            F.when(F.col("n") < WHOLE_BELOW, F.col(end))
-            .when(F.col("n") < WIDE_BELOW, F.get("edge", F.lit((block + 2) * len(ps) + i)))
-            .otherwise(F.get("edge", F.lit(block * len(ps) + i)))
-        )
-
-    wanted = brackets.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("name"),
-                    edge(0, i, "low").alias("lo"),
-                    edge(1, i, "high").alias("hi"),
-                    (F.lit(p) * (F.col("n") - 1)).alias("rank"),
-                )
-                for i, (name, p) in enumerate(zip(names, ps, strict=True))
-            ]
-        ).alias("wanted"),
+def _inside(folded: DataFrame, brackets: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """The values of ``folded`` with the brackets they lie in; the values of a large group are cut in slices."""
+    test = F.col("value").between(F.col("lo"), F.col("hi"))
+    if keys == ["column"]:  # a few brackets for each column
+        few = F.broadcast(brackets.withColumnRenamed("column", "_column"))
+        return folded.join(few, (F.col("column") == F.col("_column")) & test).drop("_column")
+    return sliced_join(folded, brackets, keys, sizes.select(*keys, F.col("distinct").alias("n")), "value", condition=test)
+
+
+def _narrowed(folded: DataFrame, wanted: DataFrame, keys: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """``wanted`` with each bracket replaced by the part of it that holds the rank."""
+    place = [*keys, "lo", "hi"]
+    grid = [k / CUTS for k in range(1, CUTS)]
+    rows = _inside(folded, wanted.select(*place).distinct(), keys, sizes)
+    edges = stored(rows.groupBy(*place).agg(F.percentile_approx("value", grid, ACCURACY).alias("edges")), "edges")
+    part = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    parts = (
+        _inside(folded, edges, keys, sizes)
+        .groupBy(*place, part.alias("part"))
+        .agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("size"), F.min("value").alias("first"), F.max("value").alias("last"))
     )
-    placed = rows.join(wanted, keys)
-    # Values below a bracket count towards its start; values inside it are kept, folded by value.
-    spots = F.transform(
-        "wanted",
-        lambda w: F.struct(
-            w["name"].alias("name"),
-            w["rank"].alias("rank"),
-            F.when(F.col("value").between(w["lo"], w["hi"]), F.col("value")).alias("inside"),
-            (F.col("value") > w["hi"]).alias("above"),
-        ),
+    upto = F.sum("mass").over(Window.partitionBy(*place).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    counted = parts.withColumn("start", upto - F.col("mass"))
+    here = F.col("rank") - F.col("before") - F.col("start")
+    found = wanted.drop("distinct").join(counted, place).where((here >= 0) & (here < F.col("mass")))
+    return found.select(
+        *keys, "name", "side", "rank", F.col("first").alias("lo"), F.col("last").alias("hi"),
+        (F.col("before") + F.col("start")).alias("before"), F.col("size").alias("distinct"),
+    )
+
+
+def ranks(folded: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Percentiles of ``fold_values``: one row per group and column with a column for each named probability."""
+    keys = [*by, "column"]
+    sizes = stored(
+        folded.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.min("value").alias("lo"), F.max("value").alias("hi")),
+        "sizes",
     )
-    folded = (
-        placed.select(*keys, F.explode(F.filter(spots, lambda s: ~s["above"])).alias("s"))
-        .groupBy(*keys, F.col("s.name").alias("name"), F.col("s.rank").alias("rank"), F.col("s.inside").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    spot = lambda p: F.lit(float(p)) * (F.col("total") - 1)
+    ends = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), end(spot(p)).cast("long").alias("rank"))
+            for name, p in probs.items()
+            for side, end in (("low", F.floor), ("high", F.ceil))
+        ]
     )
-    # NULL v is the folded mass below the bracket: it sorts first and shifts the running count.
-    w = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
-    upto = folded.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    floor_rank, ceil_rank = F.floor("rank"), F.ceil("rank")
-    at = {
-        side: F.max(F.when((F.col("upto") - F.col("n") <= r) & (r < F.col("upto")), F.col("v")))
-        for side, r in (("low", floor_rank), ("high", ceil_rank))
-    }
-    values = (
-        upto.groupBy(*keys, "name", "rank")
-        .agg(at["low"].alias("low"), at["high"].alias("high"))
-        .withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit("a bracket missed its rank"))).otherwise(F.col(c)) for c in ("low", "high")})
-        .withColumn("p", F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")))
+    wanted = sizes.select(*keys, "lo", "hi", "distinct", F.lit(0).cast("long").alias("before"), F.inline(ends))
+    wide = (F.col("distinct") > LEAF) & (F.col("lo") < F.col("hi"))
+    while not wanted.where(wide).isEmpty():
+        wanted = stored(wanted.where(~wide).unionByName(_narrowed(folded, wanted.where(wide), keys, sizes)), "ranks")
+
+    place = [*keys, "lo", "hi"]
+    rows = _inside(folded, wanted.select(*place).distinct(), keys, sizes)
+    upto = F.sum("n").over(Window.partitionBy(*place).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = rows.select(*place, "value", "n", (upto - F.col("n")).alias("start"))
+    here = F.col("rank") - F.col("before") - F.col("start")
+    at = wanted.join(ordered, place).where((here >= 0) & (here < F.col("n")))
+    values = at.groupBy(*keys).agg(
+        *[F.max(F.when((F.col("name") == n) & (F.col("side") == s), F.col("value"))).alias(f"_{n}_{s}") for n in probs for s in ("low", "high")]
     )
-    return values.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("p"))).alias(n) for n in names])
+    between = {n: F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * (spot(p) - F.floor(spot(p))) for n, p in probs.items()}
+    return values.join(sizes, keys).select(*keys, *[c.alias(n) for n, c in between.items()])
+
+
+def exact_percentiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """One row per group and column with a column for each named probability."""
+    return ranks(fold_values(df, by, cols), by, probs)
