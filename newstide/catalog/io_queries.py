@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from newstide.catalog.bindings import articles, launches, obs, price, sql, table
 from newstide.catalog.registry import query, r6, rounded
 from newstide.functions.text import clean_strict, entity_first_match
-from newstide.functions.words import NEWS_FRAGMENTS
+from newstide.functions.words import NEWS_FRAGMENTS, NEWS_HEADERS
 from newstide.operators.aggregates import entity_comparison
 from newstide.operators.asof import event_reach
 from newstide.session import scratch_path
@@ -27,7 +27,7 @@ from newstide.streaming import twins
 def _(spark, sf):
     path = scratch_path(spark, "items-csv")
     items = obs(spark, sf).withColumn("year", F.year("d"))
-    sinks.write_by_key(items, path, ["entity", "year"], ["d", "obs_id"], "obs_id", files_per_key=2)
+    sinks.write_by_key(items, path, ["entity", "year"], ["d", "obs_id"], file_bytes=1 << 18)
     schema = T.StructType(
         [
             T.StructField("obs_id", T.LongType()),
@@ -78,11 +78,89 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "price-files")
     text = _price_text(spark, sf).withColumn("file", F.concat(F.lit("price_"), F.year("d"))).drop("d")
-    sinks.write_by_key(text, path, ["file"], ["Date"], "Date")
+    sinks.write_by_key(text, path, ["file"], ["Date"])
     raw = tables.strip_headers(tables.read_csv(spark, path))
     return tables.file_profile(tables.parse_prices(raw))
 
 
+@query(
+    "file_name_year",
+    sql(
+        """select named as file, count(*) as n_rows, min(d) as first_day, max(d) as last_day, cast(split_part(named, '_', 2) as int) as file_year,
+          cast(split_part(named, '_', 2) as int) <> year(min(d)) as year_mismatch
+        from (select d, 'price_' || year(d) + cast(year(d) % 3 = 0 as int) || '_' || year(d) as named from price) group by named""",
+        "price",
+    ),
+)
+def _(spark, sf):
+    """The year is taken from the name; some files hold another year than they say."""
+    path = scratch_path(spark, "named-files")
+    year = F.year("d")
+    named = F.concat_ws("_", F.lit("price"), year + (year % 3 == 0).cast("int"), year)
+    sinks.write_by_key(_price_text(spark, sf).withColumn("name", named).drop("d"), path, ["name"], ["Date"])
+    raw = tables.with_file(tables.read_csv(spark, f"{path}/*", tables.PRICE_TEXT_WITH_ENTITY), "folder", level=2)
+    prices = tables.parse_prices(tables.require_columns(tables.strip_headers(raw), ["Date", "Close"]))
+    named_file = prices.withColumn("file", F.split_part("folder", F.lit("="), F.lit(2)))
+    profile = tables.file_profile(named_file)
+    return profile.withColumn("file_year", tables.file_part(F.col("file")).cast("int"))
+
+
+@query(
+    "tolerant_load",
+    sql(
+        """select 'price_' || year(d) as file, case when year(d) % 2 = 0 then 'no header' else 'read' end as status,
+          cast(case when year(d) % 2 = 0 then 0 else count(*) end as bigint) as n_rows,
+          cast(case when year(d) % 2 = 0 then 0 else count_if(vol % 5 = 0) end as bigint) as n_broken,
+          cast(case when year(d) % 2 = 0 then 0 else count_if(vol % 5 = 0) end as bigint) as n_missing,
+          round(case when year(d) % 2 = 0 then 0 else coalesce(sum(close) filter (where vol % 5 <> 0), 0) end, 6) as close_sum from price group by year(d)""",
+        "price",
+    ),
+)
+def _(spark, sf):
+    """Files of which some have no Close and some hold numbers that are none: what is read, and what is lost where."""
+    path = scratch_path(spark, "tolerant-files")
+    text = price(spark, sf).select(
+        F.concat(F.lit("price_"), F.year("d")).alias("file"),
+        F.col("d").cast("string").alias("Date"),
+        F.when(F.col("vol") % 5 == 0, F.lit("n/a")).otherwise(F.col("close").cast("string")).alias("Close"),
+        (F.year("d") % 2 == 0).alias("other"),
+    )
+    for other, name in ((False, "Close"), (True, "Last")):
+        some = text.where(F.col("other") == other).drop("other").withColumnRenamed("Close", name)
+        sinks.write_by_key(some, f"{path}/{name}", ["file"], ["Date"])
+    schema = T.StructType([T.StructField("Date", T.DateType()), T.StructField("Close", T.DoubleType())])
+    rows, report = tables.tolerant_load(spark, f"{path}/*/*", schema, ["Close", "Date"])
+    sums = rows.groupBy("path").agg(F.sum("Close").alias("close_sum"))
+    file = F.split_part(F.element_at(F.split("path", "/"), -2), F.lit("="), F.lit(2))
+    both = report.join(sums, "path", "left").groupBy(file.alias("file"), "status")
+    return rounded(both.agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_broken", "n_missing")], F.coalesce(F.sum("close_sum"), F.lit(0.0)).alias("close_sum")))
+
+
+@query("legacy_charset", sql("select doc_id, regexp_replace(title, '[^\x00-\xFF]', '?', 'g') as title from articles", "articles"))
+def _(spark, sf):
+    """Titles through files in ISO-8859-1; what that charset lacks comes back as a question mark."""
+    path = scratch_path(spark, "latin-csv")
+    articles(spark, sf).select("doc_id", "title").write.options(header=True, encoding="ISO-8859-1", escape='"', emptyValue="").csv(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("title", T.StringType())])
+    back = tables.read_csv(spark, path, schema, encoding="ISO-8859-1")
+    return back.select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("resolved_aliases", sql("select doc_id as news_id, d as date, publisher, title, keywords from articles", "articles"))
+def _(spark, sf):
+    """Headers by their list of accepted names, the first one that is there."""
+    raw = articles(spark, sf).select(
+        F.col("doc_id").alias("뉴스식별자"),
+        F.lit(None).cast("string").alias("ID"),  # an accepted name too, but a later one
+        F.col("d").alias("일자"),
+        F.col("publisher").alias("신문사"),
+        F.col("title").alias("제목"),
+        F.col("keywords").alias("keyword"),
+        F.lit("x").alias("other"),
+    )
+    return tables.resolve_columns(raw, NEWS_HEADERS)
+
+
 @query(
     "resolved_headers",
     sql("select doc_id, title, keywords, publisher, cast(strftime(d, '%Y%m%d') as varchar) as date from articles", "articles"),
@@ -128,10 +206,17 @@ AGG = """avg(score) as score_mean, coalesce(stddev_samp(score), 0) as score_std,
   avg(case when label = 'positive' then 1e0 else 0e0 end) as positive_ratio"""
 
 
+def _feed(spark, sf):
+    """Path and schema. A pattern matches the table whether it is one file or a folder of files; a stream takes no plain file path."""
+    return f"{sf}/events.parque[t]", table(spark, sf, "events").schema
+
+
 def _events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    # A pattern matches the table whether it is one file or a folder of files; a stream takes no plain file path.
-    return twins.read_stream(spark, f"{sf}/events.parque[t]", schema)
+    return twins.read_stream(spark, *_feed(spark, sf))
+
+
+def _closed(spark, sf, build, name):
+    return twins.run_closed(spark, *_feed(spark, sf), lambda feed: build(_items(feed)), name)
 
 
 def _items(df):
@@ -164,32 +249,30 @@ def _(spark, sf):
     return twins.run_available(out, "stream-clean")
 
 
-DAY_WINDOWS = f"""days as (select entity, w_start, {AGG} from (select *, cast(date_trunc('day', ts) as timestamp) as w_start from sitems)
-  where w_start + interval 1 day <= (select max(ts) - interval 1 day from events) group by 1, 2)"""
+DAY_WINDOWS = f"""days as (select entity, w_start, {AGG} from (select *, cast(date_trunc('day', ts) as timestamp) as w_start from sitems) group by 1, 2)"""
 OUT = """round(score_mean, 6) as score_mean, round(score_std, 6) as score_std, n_items, round(positive_ratio, 6) as positive_ratio"""
 
 
-def _windows(spark, sf, **options):
-    stats = twins.windowed_stats(_items(_events(spark, sf)), ["entity"], **options)
+def _windows(items, **options):
+    stats = twins.windowed_stats(items, ["entity"], **options)
     return stats.select("entity", F.col("w.start").alias("w_start"), "score_mean", "score_std", "n_items", "positive_ratio")
 
 
 @query("stream_daily_stats", sql(f"select entity, w_start, {OUT} from days", STREAM_ITEMS, DAY_WINDOWS))
 def _(spark, sf):
-    return rounded(twins.run_available(_windows(spark, sf), "stream-daily"))
+    return rounded(_closed(spark, sf, _windows, "stream-daily"))
 
 
 @query(
     "stream_sliding_mean",
     sql(
         f"""select entity, w_start, {OUT} from (select entity, w_start, {AGG} from (select *, cast(date_trunc('day', ts) - k * interval 1 day as timestamp) as w_start
-          from sitems, (select unnest(range(7)) as k)) group by 1, 2)
-        where w_start + interval 7 day <= (select max(ts) - interval 1 day from events)""",
+          from sitems, (select unnest(range(7)) as k)) group by 1, 2)""",
         STREAM_ITEMS,
     ),
 )
 def _(spark, sf):
-    return rounded(twins.run_available(_windows(spark, sf, length="7 days", slide="1 day"), "stream-sliding"))
+    return rounded(_closed(spark, sf, lambda items: _windows(items, length="7 days", slide="1 day"), "stream-sliding"))
 
 
 @query(
@@ -204,8 +287,8 @@ def _(spark, sf):
 
 @query("stream_threshold_alerts", sql("select entity, w_start, round(score_mean, 6) as score_mean from days where score_mean < 2.9", STREAM_ITEMS, DAY_WINDOWS))
 def _(spark, sf):
-    alerts = twins.threshold_alerts(_windows(spark, sf).select("entity", "w_start", "score_mean"), 2.9)
-    return rounded(twins.run_available(alerts, "stream-alerts"))
+    low = lambda items: twins.threshold_alerts(_windows(items).select("entity", "w_start", "score_mean"), 2.9)
+    return rounded(_closed(spark, sf, low, "stream-alerts"))
 
 
 @query(
@@ -218,7 +301,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return rounded(twins.run_available(twins.change_alerts(_items(_events(spark, sf)), ["entity"], 0.2), "stream-changes"))
+    return rounded(_closed(spark, sf, lambda items: twins.change_alerts(items, ["entity"], 0.2), "stream-changes"))
 
 
 @query(

@@ -13,7 +13,7 @@ from newstide.operators.dedupe import dedupe_first, duplicate_count
 from newstide.operators.sets import duplicated_keys
 from newstide.operators.similarity import bags, fold_bags, similar_losers, unit_vectors
 from newstide.operators.skew import stored
-from newstide.plans.news import NewsPrep, funnel, prepare_news, prepare_news_batch, tag_long, tag_short
+from newstide.plans.news import NewsPrep, funnel, prepare_news, prepare_news_batch, score_news, tag_long, tag_short
 
 SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 STRIP = rf"'^{SP}+|{SP}+$'"
@@ -320,6 +320,29 @@ def _(spark, sf):
     return rounded(entity_comparison(scored))
 
 
+SHORT_TAG = "case " + " ".join(f"when {s_any(['lower(t)'], ws)} then '{e}'" for e, ws in RULES) + " end"
+
+
+@query(
+    "scored_news",
+    sql(
+        """select entity, cast(year(date) as int) as year, label, count(*) as n, round(avg(score), 6) as mean_score, min(date) as first_day from (
+          select *, greatest(1e0, least(5e0, 3e0 + 2e0 * (p - n) / (p + n + 1))) as score,
+            case when p >= 1 and p >= n then 'positive' when n <= 1 then 'neutral' else 'negative' end as label from counted) group by 1, 2, 3""",
+        "articles",
+        f"tagged as (select *, d as date, {SHORT_TAG} as tag from (select *, title || ' 키워드:' || keywords as t from articles))",
+        f"""counted as (select tag as entity, date, cast(len(list_filter(ws, lambda w: w in {s_in(POSITIVE)})) as double) as p,
+          cast(len(list_filter(ws, lambda w: w in {s_in(NEGATIVE)})) as double) as n
+          from (select tag, date, {s_words('substring(t, 1, 512)')} as ws from tagged where tag is not null))""",
+    ),
+)
+def _(spark, sf):
+    """Tagged news with label and score, summed up as it would be written: by entity and year."""
+    rows = articles(spark, sf).select(F.col("d").cast("string").alias("date"), "title", "keywords")
+    scored = score_news(rows, _load_counter, RULES)
+    return rounded(scored.groupBy("entity", F.year("date").alias("year"), "label").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.min("date").alias("first_day")))
+
+
 @query(
     "tagged_short_text",
     sql(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,38 @@ def run_available(stream: DataFrame, name: str, base: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
+def run_closed(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    build: Callable[[DataFrame], DataFrame],
+    name: str,
+    ts: str = "ts",
+    base: str | None = None,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """The table of a feed that has ended: everything is processed, then windows that are still open are emitted too.
+
+    ``build`` turns the stream of ``path`` into the result. A second source beside it stays empty until the feed has been read;
+    then it gets one row without values that is later than any other. The watermark follows it, so the state store gives up
+    what it still holds. Rows that come after that are late: call this once no more will come. A run that was lost before the end
+    is resumed by the same ``base``.
+    """
+    base = base or scratch_path(spark, name)
+    closing = f"{base}/closing"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(closing)
+
+    def run() -> DataFrame:
+        feed = read_stream(spark, path, schema, files_per_batch).unionByName(read_stream(spark, closing, schema))
+        return run_available(build(feed), name, base)
+
+    run()
+    last = F.lit("9999-01-01 00:00:00").cast(schema[ts].dataType)
+    values = [(last if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*values).write.mode("append").parquet(closing)
+    return run()
+
+
 def windowed_stats(
     items: DataFrame,
     by: Sequence[str],

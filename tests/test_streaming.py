@@ -21,24 +21,18 @@ def feed(spark, tmp_path_factory):
     return str(path), df
 
 
-def closed(df, length):
-    last = df.agg(F.max("ts")).first()[0] - dt.timedelta(days=1)
-    return F.col("w_start") + F.expr(f"interval {length} days") <= F.lit(last)
-
-
 @pytest.mark.parametrize(("length", "slide"), [(1, None), (3, 1)])
 def test_windows_equal_batch(spark, feed, length, slide):
     path, df = feed
-    stream = twins.read_stream(spark, path, df.schema, files_per_batch=2)
     options = {"length": f"{length} days", "slide": f"{slide} day" if slide else None}
     pick = ["entity", F.col("w.start").alias("w_start"), "score_mean", "n_items", "positive_ratio"]
-    got = twins.run_available(twins.windowed_stats(stream, ["entity"], **options).select(*pick), "t-windows")
+    build = lambda feed: twins.windowed_stats(feed, ["entity"], **options).select(*pick)
+    got = twins.run_closed(spark, path, df.schema, build, "t-windows", files_per_batch=2)
     window = F.window("ts", options["length"], options["slide"]) if slide else F.window("ts", options["length"])
     want = (
         df.groupBy(window.alias("w"), "entity")
         .agg(F.avg("score").alias("score_mean"), F.count("*").alias("n_items"), F.avg((F.col("label") == "positive").cast("double")).alias("positive_ratio"))
         .select(*pick)
-        .where(closed(df, length))
     )
     rounded = [F.round(c, 9) if c.endswith(("mean", "ratio")) else F.col(c) for c in got.columns]
     assert sorted(map(tuple, got.select(*rounded).collect())) == sorted(map(tuple, want.select(*rounded).collect()))
@@ -54,8 +48,10 @@ def test_unique_equals_batch(spark, feed):
 def test_alerts(spark, feed):
     path, df = feed
     stream = twins.read_stream(spark, path, df.schema, files_per_batch=4)
-    got = twins.run_available(twins.change_alerts(stream, ["entity"], 0.05), "t-change").collect()
+    got = twins.run_closed(spark, path, df.schema, lambda feed: twins.change_alerts(feed, ["entity"], 0.05), "t-change").collect()
     daily = {(r["entity"], r["d"]): r["m"] for r in df.groupBy("entity", F.to_date("ts").alias("d")).agg(F.avg("score").alias("m")).collect()}
+    falls = {k for k, m in daily.items() if (before := daily.get((k[0], k[1] - dt.timedelta(days=1)))) is not None and m - before < -0.05}
+    assert {(r["entity"], r["w_start"].date()) for r in got} == falls
     for r in got:
         day = r["w_start"].date()
         change = daily[r["entity"], day] - daily[r["entity"], day - dt.timedelta(days=1)]
