@@ -3,16 +3,19 @@
 Meaning: for every pair of rows with cosine above the threshold the older one goes (the later one in input order on equal
 dates), and a row that goes still eliminates others. Seen from one row: it stays exactly when none of its neighbours
 precedes it in the order (newer date first, then input order). That order is total, which allows an exact answer without
-listing the pairs:
+listing the similar pairs:
 
 1. Rows with the same bag of words have cosine 1. Only the first of them in the order can stay, and it stands for all
    as an eliminator, so each bag is folded to that one row (map-side).
-2. Pruning: rows are put in MinHash buckets and compared with the first row of each bucket only. A row proven similar
-   to a row that precedes it is gone. One comparison per row and bucket, so large groups of near copies melt here.
+2. Pruning: rows are put in MinHash buckets and each is compared with one row only, the bucket leader it shares most
+   buckets with. Groups of near copies melt here, at one pair a row.
 3. Completion: two unit vectors above the threshold share a word within both of their prefixes, when words are ordered
-   from rare to frequent and a prefix ends where the norm of the rest drops to the threshold. The rows left by step 2
-   look for any preceding similar row among those sharing a prefix word: a semi join, which stops at the first hit and
-   returns row ids only.
+   from rare to frequent and a prefix ends where the norm of the rest drops to the threshold. Rows left by step 2 meet the
+   rows before them word by word. What their prefixes share is summed up; what may follow is bounded by the norms behind
+   the last shared word, of which one lies behind a prefix. Ids, weights and norms travel with the words, vectors never
+   do. Each row first tries its best candidate, and only rows that pass try the others.
+
+Vectors are fetched by id to check a pair, whatever their length.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ class Similarity:
     threshold: float = 0.8
     bands: int = 8
     rows_per_band: int = 2
-    carried_terms: int = 128  # longer vectors are fetched by id instead of travelling with each prefix word
 
 
 def _runs(words: str) -> Column:
@@ -87,12 +89,10 @@ def unit_vectors(folded: DataFrame) -> DataFrame:
         "scope", "id", "copies", "t.token", "t.tf"
     )
     rows_in_scope = folded.groupBy("scope").agg(F.sum("copies").alias("rows"))
-    words = terms.groupBy("scope", "token").agg(
-        F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n")
-    )
-    idf = words.join(rows_in_scope, "scope").select(
-        "scope", "token", "df", F.col("n").alias("bags"), (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+    words = stored(terms.groupBy("scope", "token").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n")), "words")
+    in_scope = words.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    counted = sliced_join(words, rows_in_scope, ["scope"], in_scope, "token")
+    idf = counted.select("scope", "token", "df", F.col("n").alias("bags"), (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = sliced_join(terms, idf, ["scope", "token"], words, "id")
     raw = weighted.groupBy("scope", "id").agg(
         F.sort_array(
@@ -110,16 +110,23 @@ def unit_vectors(folded: DataFrame) -> DataFrame:
 
 
 def _prefix(threshold: float) -> Column:
-    """Words up to where the rest's norm is at most the threshold, without those that no other bag has."""
+    """(token, w, rest, tail) of the words up to where the rest's norm is at most the threshold, without those that no other bag has.
+
+    ``rest`` is the norm of the words after this one, ``tail`` that of the words after the prefix.
+    """
     limit = threshold * threshold - MARGIN
-    length = F.aggregate(
-        "terms",
-        F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n")),
-        lambda a, t: F.struct(
-            (a["rest"] - t["w"] * t["w"]).alias("rest"), (a["n"] + (a["rest"] > limit).cast("int")).alias("n")
-        ),
-    )["n"]
-    return F.transform(F.filter(F.slice("terms", 1, length), lambda t: t["bags"] > 1), lambda t: t["token"])
+    start = F.struct(F.lit(1.0).alias("left"), F.array().cast("array<struct<token:string,bags:bigint,w:double,rest:double>>").alias("out"))
+
+    def longer(a: Column, t: Column) -> Column:
+        left = a["left"] - t["w"] * t["w"]
+        word = F.struct(t["token"].alias("token"), t["bags"].alias("bags"), t["w"].alias("w"), F.sqrt(F.greatest(left, F.lit(0.0))).alias("rest"))
+        return F.when(a["left"] <= limit, a).otherwise(F.struct(left.alias("left"), F.concat(a["out"], F.array(word)).alias("out")))
+
+    def shared(words: Column) -> Column:
+        tail = F.element_at(words, -1)["rest"]
+        return F.transform(F.filter(words, lambda t: t["bags"] > 1), lambda t: F.struct(t["token"].alias("token"), t["w"].alias("w"), t["rest"].alias("rest"), tail.alias("tail")))
+
+    return let(F.aggregate("terms", start, longer)["out"], shared)
 
 
 def _bands(cfg: Similarity) -> Column:
@@ -150,61 +157,49 @@ def _as_map(terms: str) -> Column:
     return F.map_from_entries(F.transform(terms, lambda t: F.struct(t["token"].alias("key"), t["w"].alias("value"))))
 
 
-def _beaten(cfg: Similarity) -> Column:
-    return (F.col("o_rank") > F.col("rank")) & (_dot(F.col("terms"), F.col("o_weights")) > cfg.threshold)
+def _beaten(pairs: DataFrame, vectors: DataFrame, cfg: Similarity) -> DataFrame:
+    """The ids of ``pairs`` (id, o_id) whose vectors are above the threshold; an ``o_id`` with many rows is cut in slices."""
+    pairs = stored(pairs, "candidates")
+    counts = pairs.groupBy("o_id").agg(F.count(F.lit(1)).alias("n"))
+    others = vectors.select(F.col("id").alias("o_id"), _as_map("terms").alias("weights")).join(counts.select("o_id"), "o_id", "left_semi")
+    rows = pairs.join(vectors.select("id", "terms"), "id")
+    close = _dot(F.col("terms"), F.col("weights")) > cfg.threshold
+    return sliced_join(rows, others, ["o_id"], counts, "id").where(close).select("id").distinct()
 
 
 def _prune(vectors: DataFrame, cfg: Similarity) -> DataFrame:
-    """Ids beaten by the first row of one of their buckets."""
-    rows = vectors.select("id", "rank", "terms", F.explode("bands").alias("bucket"))
-    tops = (
-        vectors.select("id", "rank", F.explode("bands").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.max(F.struct("rank", "id")).alias("top"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-    )
-    firsts = tops.select("bucket", F.col("top.id").alias("id"), F.col("top.rank").alias("o_rank")).join(
-        vectors.select("id", _as_map("terms").alias("o_weights")), "id"
-    ).drop("id")
-    return sliced_join(
-        rows, firsts, ["bucket"], tops.select("bucket", "n"), "id", "left_semi", _beaten(cfg)
-    ).select("id")
+    """Ids beaten by the bucket leader that they share most buckets with."""
+    rows = vectors.select("id", "rank", F.explode("bands").alias("bucket"))
+    leaders = rows.groupBy("bucket").agg(F.max(F.struct("rank", "id")).alias("top"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    leaders = stored(leaders.select("bucket", F.col("top.id").alias("o_id"), "n"), "leaders")
+    met = sliced_join(rows.select("id", "bucket"), leaders.drop("n"), ["bucket"], leaders.drop("o_id"), "id").where("id != o_id")
+    shared = met.groupBy("id", "o_id").agg(F.count(F.lit(1)).alias("n"))
+    return _beaten(shared.groupBy("id").agg(F.max(F.struct("n", "o_id"))["o_id"].alias("o_id")), vectors, cfg)
 
 
-def _complete(vectors: DataFrame, alive: DataFrame, cfg: Similarity) -> DataFrame:
-    """Ids among ``alive`` beaten by any vector sharing a prefix word."""
-    short = F.size("terms") <= cfg.carried_terms
-    word = F.explode("prefix").alias("token")
+def _candidates(alive: DataFrame, vectors: DataFrame, cfg: Similarity) -> DataFrame:
+    """id, o_id and an upper bound of their product, for pairs of a row of ``alive`` and one before it that may pass the threshold."""
     keys = ["scope", "token"]
+    words = vectors.select("scope", "id", "rank", F.inline("prefix"))
+    mine = words.join(alive.select("id"), "id", "left_semi")
+    cuts = grid_cuts(mine.select(*keys), words.select(*keys), keys)
+    a = grid_place(mine, cuts, keys, "id", True)
+    b = grid_place(words, cuts, keys, "id", False).select(*keys, *GRID_KEYS, *[F.col(c).alias(f"o_{c}") for c in ("id", "rank", "w", "rest", "tail")])
+    met = a.join(b, [*keys, *GRID_KEYS]).where(F.col("o_rank") > F.col("rank"))
+    shared = met.groupBy("id", "o_id").agg(
+        F.sum(F.col("w") * F.col("o_w")).alias("sum"),
+        F.greatest(F.min("o_rest") * F.first("tail"), F.min("rest") * F.first("o_tail")).alias("more"),
+    )
+    return shared.select("id", "o_id", (F.col("sum") + F.col("more")).alias("bound")).where(F.col("bound") > cfg.threshold - MARGIN)
 
-    cuts = grid_cuts(alive.select("scope", word), vectors.select("scope", word), keys)
 
-    victims = grid_place(alive.where(short).select("scope", "id", "rank", "terms", word), cuts, keys, "id", True)
-    others = grid_place(vectors.where(short).select("scope", "id", "rank", "terms", word), cuts, keys, "id", False).select(
-        *[F.col(k).alias(f"o_{k}") for k in (*keys, *GRID_KEYS)], F.col("rank").alias("o_rank"), _as_map("terms").alias("o_weights")
-    )
-    same_cell = F.lit(True)
-    for k in (*keys, *GRID_KEYS):
-        same_cell = same_cell & (F.col(k) == F.col(f"o_{k}"))
-    direct = victims.join(others, same_cell & _beaten(cfg), "left_semi").select("id")
-
-    # At least one long vector: only ids travel with the words, distinct pairs fetch their vectors once.
-    slim = ["scope", "id", "rank", "is_long", word]
-    a = grid_place(alive.withColumn("is_long", ~short).select(*slim), cuts, keys, "id", True)
-    b = grid_place(vectors.withColumn("is_long", ~short).select(*slim), cuts, keys, "id", False).select(*keys, *GRID_KEYS, F.col("id").alias("o_id"), F.col("rank").alias("o_rank"), F.col("is_long").alias("o_long"))
-    pairs = (
-        a.join(b, [*keys, *GRID_KEYS])
-        .where((F.col("is_long") | F.col("o_long")) & (F.col("o_rank") > F.col("rank")))
-        .select("id", "rank", "o_id", "o_rank")
-        .distinct()
-    )
-    fetched = (
-        pairs.join(vectors.select("id", "terms"), "id")
-        .join(vectors.select(F.col("id").alias("o_id"), _as_map("terms").alias("o_weights")), "o_id")
-        .where(_beaten(cfg))
-        .select("id")
-    )
-    return direct.unionByName(fetched)
+def _complete(vectors: DataFrame, alive: DataFrame, cfg: Similarity) -> DataFrame:
+    """Ids among ``alive`` beaten by any vector sharing a prefix word."""
+    found = stored(_candidates(alive, vectors, cfg), "bounds")
+    best = found.groupBy("id").agg(F.max(F.struct("bound", "o_id"))["o_id"].alias("o_id"))
+    beaten = stored(_beaten(best, vectors, cfg), "beaten")
+    others = found.select("id", "o_id").join(beaten, "id", "left_anti").join(best, ["id", "o_id"], "left_anti")
+    return beaten.unionByName(_beaten(others, vectors, cfg))
 
 
 def similar_survivors(
@@ -222,9 +217,9 @@ def similar_survivors(
         .withColumns({"prefix": _prefix(cfg.threshold), "bands": _bands(cfg)}),
         "vectors",
     )
-    alive = stored(vectors.join(_prune(vectors, cfg).distinct(), "id", "left_anti"), "alive")
-    beaten = _complete(vectors, alive, cfg).distinct()
-    kept = alive.select("id").join(beaten, "id", "left_anti")
+    alive = stored(vectors.select("id").join(_prune(vectors, cfg), "id", "left_anti"), "alive")
+    beaten = _complete(vectors, alive, cfg)
+    kept = alive.join(beaten, "id", "left_anti")
     wordless = df.where(~F.coalesce(F.col(text), F.lit("")).rlike(WORD)).select(F.col(row_id).alias("id"))
     return kept.unionByName(wordless).withColumnRenamed("id", row_id)
 

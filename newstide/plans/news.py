@@ -55,18 +55,23 @@ def unique_titles(df: DataFrame, cfg: NewsPrep) -> DataFrame:
     return dedupe_first(df, keys, [cfg.order])
 
 
+def _keys(cfg: NewsPrep) -> list[str]:
+    """What the first two stages look at; bodies are read once, by the last join."""
+    return [*([cfg.scope] if cfg.scope else []), cfg.order, cfg.title, cfg.date]
+
+
 def prepare_news(df: DataFrame, cfg: NewsPrep = NewsPrep()) -> DataFrame:
     """Unique titles, no near-duplicate titles, long enough, relevant; then dates and texts are cleaned.
 
     The order of the stages matters: a short article can eliminate a longer one with a similar title. With ``scope`` (a
     file) the first two stages look at one file at a time.
     """
-    unique = unique_titles(df, cfg)
-    keys = unique.select(*([cfg.scope] if cfg.scope else []), cfg.order, cfg.title, cfg.date)
-    kept = similar_survivors(keys, cfg.order, cfg.title, cfg.date, cfg.scope, cfg.similarity)
-    rows = unique.join(kept, cfg.order, "left_semi")
+    unique = stored(unique_titles(df.select(*_keys(cfg)), cfg), "titles")
+    kept = similar_survivors(unique, cfg.order, cfg.title, cfg.date, cfg.scope, cfg.similarity)
+    rows = df
     for test in _passes(cfg).values():
         rows = rows.where(test)
+    rows = rows.join(kept, cfg.order, "left_semi")
     return rows.withColumns(
         {
             cfg.keywords: F.coalesce(cfg.keywords, F.lit("")),
@@ -91,7 +96,7 @@ def funnel(df: DataFrame, cfg: NewsPrep) -> DataFrame:
 
     The two de-duplication stages mark rows by their unique number; everything is then counted in one aggregation.
     """
-    unique = stored(unique_titles(df, cfg).select(*([cfg.scope] if cfg.scope else []), cfg.order, cfg.title, cfg.date), "titles")
+    unique = stored(unique_titles(df.select(*_keys(cfg)), cfg), "titles")
     kept = similar_survivors(unique, cfg.order, cfg.title, cfg.date, cfg.scope, cfg.similarity)
     marks = df.join(unique.select(cfg.order, F.lit(True).alias("_u")), cfg.order, "left").join(
         kept.withColumn("_k", F.lit(True)), cfg.order, "left"
