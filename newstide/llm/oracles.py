@@ -37,15 +37,15 @@ def quality_rules(rules: Rules = Rules()) -> str:
         return f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {term}))))"
 
     none = f"list_concat(list_transform(range({len(VOCABULARY)}), lambda i: 0e0), [1e0])"
-    languages = ", ".join(literal(x) for x in rules.languages)
     return f"""with docs as (select doc_id, lang, coalesce(text, '') as t, {SPLIT.format('text')} as ws from documents),
 counts as (select doc_id, lang, t, ws, [{classes}] as c0, [{common}] as w0 from docs),
 hist as (select doc_id, lang, t, ws, list_transform(list_concat(c0, [length(t) - list_sum(c0)]), lambda v: cast(v as double)) as c,
     list_transform(list_concat(w0, [len(ws) - list_sum(w0)]), lambda v: cast(v as double)) as w from counts),
-sums as (select lang, {sums} from hist where lang in ({languages}) group by lang),
-refs as (select lang, {share('c')} as qc, {share('w')} as qw from sums where list_sum(w) > 0),
-near as (select doc_id, min(case when list_sum(c) > 0 then {distance(share('c'), 'qc')} else 0 end) as cd,
-    min(case when list_sum(w) > 0 then {distance(share('w'), 'qw')} else 0 end / {distance(none, 'qw')}) as wd from hist, refs group by doc_id),
+sums as (select lang, {sums} from hist where lang is not null group by lang),
+refs as (select lang, {share('c')} as qc, {share('w')} as qw from sums where list_sum(c) >= {rules.reference_chars} order by list_sum(c) desc, lang limit {rules.languages}),
+near as (select doc_id, case when list_sum(c) > 0 then {distance(share('c'), 'qc')} else 0 end as cd,
+    case when list_sum(w) > 0 and qw[{len(VOCABULARY) + 1}] <= 1 - {rules.reference_share} then {distance(share('w'), 'qw')} / {distance(none, 'qw')} else 0 end as wd
+  from hist join refs using (lang)),
 windows as (select doc_id, unnest(range(1, len(ws) - 1)) as k, ws from docs where len(ws) >= 3),
 grams as (select doc_id, k, count(*) over (partition by doc_id, ws[k], ws[k + 1], ws[k + 2]) as times from windows),
 places as (select doc_id, count(distinct p) as n from (select doc_id, unnest([k, k + 1, k + 2]) as p from grams where times > 1) group by doc_id),

@@ -1,7 +1,8 @@
 """Quality rules: divergence of a document's character classes and common words from those of its language.
 
-Everything is a column expression over the whole text, so a document is judged where it is read. The language references
-are the summed histograms of all documents of a language.
+Everything is a column expression over the whole text, so a document is judged where it is read. The reference of a language
+is the summed histogram of all its documents. A document is compared with its own language; without a reference of it, or with
+too short a text, the divergence rule has nothing to say and the document passes it.
 """
 
 from __future__ import annotations
@@ -33,14 +34,18 @@ SPACES = " \t\n\x0b\x0c\r"
 class Rules:
     """Distances above the limits reject. They are judged only where a text is long enough for a stable histogram.
 
-    The distance of common words is taken as a share of that of a text without any.
+    The distance of common words is taken as a share of that of a text without any. A language has a reference if its documents
+    have ``reference_chars`` characters together, and one of common words if these are ``reference_share`` of its words; of more
+    than ``languages`` such languages those with the most text have one.
     """
 
-    class_limit: float = 0.28
+    class_limit: float = 0.3
     class_chars: int = 200
     common_limit: float = 0.975
     common_words: int = 200
-    languages: tuple[str, ...] = ("en", "de", "fr", "es")
+    reference_chars: int = 20_000
+    reference_share: float = 0.01
+    languages: int = 256
 
 
 def _once(value: Column, use) -> Column:
@@ -84,27 +89,30 @@ def common_counts(tokens: Column) -> Column:
     return _once(known, lambda a: F.concat(a, F.array(F.size(tokens) - F.aggregate(a, F.lit(0.0), lambda s, x: s + x))))
 
 
-def js_distances(counts: Column, references: Sequence[Sequence[float]]) -> Column:
-    """Jensen-Shannon distances, from 0 to 1, of a histogram from references, as an array; 0 for an empty histogram.
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
-    The divergence is the entropy of the mean less the mean of the entropies, so each bin costs one logarithm a reference.
+
+def _entropy(shares: Column) -> Column:
+    """The sum of p log2 p."""
+    return F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+
+
+def _shares(counts: Column) -> Column:
+    return _once(_total(counts), lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))
+
+
+def js_distance(counts: Column, reference: Column, entropy: Column) -> Column:
+    """Jensen-Shannon distance, from 0 to 1, of a histogram from the shares ``reference`` with their ``entropy``; null without either.
+
+    The divergence is the entropy of the mean less the mean of the entropies, so each bin costs two logarithms.
     """
-    terms = lambda shares: F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
     def of(shares: Column) -> Column:
-        def gaps(entropy: Column) -> Column:
-            out = []
-            for reference in references:
-                own = sum(q * math.log2(q) for q in reference if q > 0)
-                means = F.zip_with(shares, F.array(*[F.lit(float(q)) for q in reference]), lambda p, q: (p + q) / 2)
-                out.append(F.sqrt(F.greatest((entropy + F.lit(own)) / 2 - terms(means), F.lit(0.0))))
-            return F.array(*out)
+        mean = F.zip_with(shares, reference, lambda p, q: (p + q) / 2)
+        return F.sqrt(F.greatest((_entropy(shares) + entropy) / 2 - _entropy(mean), F.lit(0.0)))
 
-        return _once(terms(shares), gaps)
-
-    total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
-    shared = _once(total, lambda t: F.when(t > 0, F.transform(counts, lambda x: x / t)))
-    return F.coalesce(_once(shared, of), F.array(*[F.lit(0.0) for _ in references]))
+    return F.when(reference.isNotNull(), _once(_shares(counts), of))
 
 
 def plain_js_distance(counts: Sequence[float], reference: Sequence[float]) -> float:
@@ -117,20 +125,24 @@ def plain_js_distance(counts: Sequence[float], reference: Sequence[float]) -> fl
     return math.sqrt(max(0.0, sum((part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2 for p, q in shares)))
 
 
-def references(counted: DataFrame, rules: Rules = Rules(), lang: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """By language the shares of the character classes and of the common words over all its documents, from ``histograms``.
+def references(counted: DataFrame, rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
+    """By language the shares of classes and common words over all its documents, with their entropies, from ``histograms``.
 
-    One row for each language of ``rules`` comes back to the driver, whatever the size of the corpus. A language without
-    words is left out.
+    At most ``rules.languages`` rows. ``common`` is null for a language that uses too few of the words; ``scale`` is the distance of
+    a text without any of them. Documents without a language count for none.
     """
     sizes = {"classes": len(CLASSES) + 1, "common": len(VOCABULARY) + 1}
-    sums = [F.sum(F.col(k)[i]).alias(f"{k}{i}") for k, n in sizes.items() for i in range(n)]
-    out = {}
-    for row in counted.where(F.col(lang).isin(list(rules.languages))).groupBy(F.col(lang).alias("lang")).agg(*sums).collect():
-        shares = {k: [row[f"{k}{i}"] / max(sum(row[f"{k}{j}"] for j in range(n)), 1) for i in range(n)] for k, n in sizes.items()}
-        if sum(shares["common"]) > 0:
-            out[row["lang"]] = shares
-    return out
+    sums = counted.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(
+        *[F.array(*[F.sum(F.col(k)[i]) for i in range(n)]).alias(k) for k, n in sizes.items()]
+    )
+    enough = sums.withColumn("chars", _total(F.col("classes"))).where(F.col("chars") >= rules.reference_chars)
+    top = enough.orderBy(F.col("chars").desc(), "lang").limit(rules.languages)
+    shares = top.select("lang", _shares(F.col("classes")).alias("classes"), _shares(F.col("common")).alias("common"))
+    known = F.col("common")[len(VOCABULARY)] <= 1 - rules.reference_share
+    some = shares.withColumn("common", F.when(known, F.col("common")))
+    entropies = some.withColumns({"classes_entropy": _entropy(F.col("classes")), "common_entropy": _entropy(F.col("common"))})
+    wordless = F.array(*[F.lit(0.0)] * len(VOCABULARY), F.lit(1.0))
+    return entropies.withColumn("scale", js_distance(wordless, F.col("common"), F.col("common_entropy")))
 
 
 def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -158,46 +170,54 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             common_counts(tokens).alias("common"),
         )
 
-    m = docs.withColumn("_m", _once(words(whole), measures)).withColumn("_c", class_counts(whole))
-    chars = F.aggregate("_c", F.lit(0.0), lambda s, x: s + x)
-    more = {"word_chars": (chars - F.col("_c")[SPACE]).cast("long"), "n_symbols": F.col("_c")[SYMBOL].cast("long"), "classes": F.col("_c"), "common": F.col("_m.common")}
-    return m.withColumns({n: more.get(n, F.col(f"_m.{n}")) for n in (*MEASURES, "classes", "common")}).drop("_m", "_c")
+    m = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _once(words(whole), measures).alias("m"), class_counts(whole).alias("c"))
+    found = {n: F.col(f"m.{n}") for n in (*MEASURES, "common") if n not in ("word_chars", "n_symbols")}
+    found |= {"word_chars": (_total(F.col("c")) - F.col("c")[SPACE]).cast("long"), "n_symbols": F.col("c")[SYMBOL].cast("long"), "classes": F.col("c")}
+    both = m.select("row", F.struct(*[found[n].alias(n) for n in (*MEASURES, "classes", "common")]).alias("new"))
+    return both.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in found], "new.*")
 
 
-def judge(measured: DataFrame, refs: dict[str, dict[str, list[float]]], rules: Rules = Rules()) -> DataFrame:
+def judge(measured: DataFrame, refs: DataFrame, rules: Rules = Rules(), lang: str = "lang") -> DataFrame:
     """Add base_failed, class_distance, common_distance and kept to what ``measure`` gives, and drop its histograms.
 
-    Distances are those to the nearest reference; without references they are 0. ``common_distance`` is a share of the
-    distance of a text without common words. A text without words fails the base rule. Rows are independent of each
-    other but for the references, so repeated rows get the same verdict.
+    Distances are those to the reference of the document's language; they are 0 without one, for a text without characters
+    or words, and in a column ``lang`` of nulls. ``common_distance`` is a share of the distance of a text without common words.
+    A text without words fails the base rule. Rows are independent of each other but for the references, so repeated rows get
+    the same verdict.
     """
-    wordless = [0] * len(VOCABULARY) + [1]
-    scale = lambda r, k: plain_js_distance(wordless, r[k]) or 1.0 if k == "common" else 1.0
-
-    def nearest(kind: str) -> Column:
-        if not refs:
-            return F.lit(0.0)
-        scales = F.array(*[F.lit(float(scale(r, kind))) for r in refs.values()])
-        return F.array_min(F.zip_with(js_distances(F.col(kind), [r[kind] for r in refs.values()]), scales, lambda d, s: d / s))
-
-    chars = F.aggregate("classes", F.lit(0.0), lambda s, x: s + x)
-    far = ((chars >= rules.class_chars) & (F.col("class_distance") > rules.class_limit)) | ((F.col("n_words") >= rules.common_words) & (F.col("common_distance") > rules.common_limit))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = measured.withColumns({"base_failed": failed, "class_distance": nearest("classes"), "common_distance": nearest("common")})
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("classes", "common")
+    few = F.broadcast(refs.select(F.struct("*").alias("r")))  # bounded by Rules.languages
+    rows = measured.select(F.struct(*[F.col(f"`{c}`") for c in measured.columns]).alias("row")).join(few, F.col(f"row.`{lang}`") == F.col("r.lang"), "left")
+    row = lambda c: F.col(f"row.{c}")
+    distances = rows.select(
+        "row",
+        F.coalesce(js_distance(row("classes"), F.col("r.classes"), F.col("r.classes_entropy")), F.lit(0.0)).alias("class_distance"),
+        F.coalesce(js_distance(row("common"), F.col("r.common"), F.col("r.common_entropy")) / F.col("r.scale"), F.lit(0.0)).alias("common_distance"),
+        ((row("n_words") < 50) | (100 * row("n_repeat_words") > 50 * row("n_words"))).alias("base_failed"),
+    )
+    far = ((_total(row("classes")) >= rules.class_chars) & (F.col("class_distance") > rules.class_limit)) | (
+        (row("n_words") >= rules.common_words) & (F.col("common_distance") > rules.common_limit)
+    )
+    judged = distances.select("row", F.struct("base_failed", "class_distance", "common_distance", (~F.col("base_failed") & ~far).alias("kept")).alias("new"))
+    gone = ("classes", "common", "base_failed", "class_distance", "common_distance", "kept")
+    return judged.select(*[F.col(f"row.`{c}`") for c in measured.columns if c not in gone], "new.*")
 
 
 def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """Measures and verdicts with references from the same documents, with their columns but the text.
 
-    The measures are written once to the shared folder; references and verdicts both read them.
+    The measures are written once to the shared folder; references and verdicts both read them. Columns called like a measure or
+    a verdict are replaced, all others stay; an empty table gives an empty result.
     """
     measured = stored(measure(docs, text).drop(text), "measured")
-    return judge(measured, references(measured, rules, lang), rules)
+    return judge(measured, references(measured, rules, lang), rules, lang)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that ``assess`` would keep, with their own columns; texts are read twice and written nowhere."""
+    """The rows that ``assess`` would keep, with their own columns, whatever they are called.
+
+    Repeated rows all stay or all go, a null or empty text goes (it fails the base rules), an empty table stays empty. Texts are
+    read twice and written nowhere.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     refs = references(histograms(whole), rules)
     return judge(measure(whole), refs, rules).where("kept").select("_row.*")
