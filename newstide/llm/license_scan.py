@@ -1,6 +1,6 @@
 """License scan: ordered signature rules over whole texts, as column expressions.
 
-A rule is a regular expression with a priority, a label and a weight. What a match of it must hold is read off the
+Rules stand for the wording of licences and their notices, for identifiers in tags and addresses, and for names. A rule is a regular expression with a priority, a label and a weight. What a match of it must hold is read off the
 expression; in a text only the rules run whose needs the text meets. Texts that ``GATE`` does not match are passed over.
 Detections that overlap compete: by priority, then length, then place each is kept that overlaps none already kept, so
 that a detection inside a stronger one is suppressed, and one that only overlaps a suppressed one stays.
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _constants as kinds
-from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +76,43 @@ FORMS = (
     ("name", r"(?<![a-z0-9])(?:{name})", "", 0.7),
 )
 
+#: Label and wording of licence texts and of the headers that grant them. A space stands for space and marks of comments.
+BODIES = (
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("boost", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("0bsd", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\."),
+    ("isc", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("bsd-3-clause", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met[\s\S]{0,1500}?neither the names? of"),
+    ("bsd-2-clause", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("zlib", r"provided ['`\"]?as-is['`\"]?, without any express or implied warranty\. in no event will the authors? be held liable"),
+    ("apache-2.0", r"licensed under the apache licen[cs]e,? version 2\.0 \(the \"?licen[cs]e\"?\); you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", r"licensed to the apache software foundation \(asf\) under one or more contributor licen[cs]e agreements"),
+    ("agpl-3.0", r"free software[:;,] you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e as published by the free software foundation"),
+    ("lgpl-2.1", r"free software[:;,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 2(?:\.1)?"),
+    ("lgpl-3.0", r"free software[:;,] you can redistribute it and/or modify it under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 3"),
+    ("gpl-2.0", r"free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 2"),
+    ("gpl-3.0", r"free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation[;,] (?:either )?version 3"),
+    ("gpl", r"free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gfdl", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. 2\.0"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    ("epl-2.0", r"the accompanying materials are made available under the terms of the eclipse public licen[cs]e,? (?:v\.? ?|version )?2\.0"),
+    ("epl-1.0", r"the accompanying materials are made available under the terms of the eclipse public licen[cs]e,? (?:v\.? ?|version )?1\.0"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cc-by-nc-nd", r"licensed under (?:a|the) creative commons attribution[-\s]non-?commercial[-\s]no ?deriv(?:ative)?s?"),
+    ("cc-by-nc-sa", r"licensed under (?:a|the) creative commons attribution[-\s]non-?commercial[-\s]share ?-?alike"),
+    ("cc-by-nc", r"licensed under (?:a|the) creative commons attribution[-\s]non-?commercial"),
+    ("cc-by-nd", r"licensed under (?:a|the) creative commons attribution[-\s]no ?deriv(?:ative)?s?"),
+    ("cc-by-sa", r"licensed under (?:a|the) creative commons attribution[-\s]share ?-?alike"),
+    ("cc-by", r"licensed under (?:a|the) creative commons attribution"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("unlicense", r"free and unencumbered software released into the public domain"),
+    ("wtfpl", r"do what the fuck you want to public licen[cs]e"),
+    ("ofl", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("python", r"python software foundation licen[cs]e version 2"),
+    ("openrail", r"use-based restrictions as referenced in paragraph 5 must be included"),
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,28 +127,72 @@ class Rule:
 
 
 def needs(pattern: str, most: int = 16) -> tuple[tuple[str, ...], ...]:
-    """Literals of which every match of a pattern holds all of at least one tuple; a part with too many ways asks for nothing."""
+    """Literals of which every match of a pattern holds all of at least one tuple; a part with too many ways asks for nothing.
 
-    def of(items) -> list[frozenset[str]]:
+    It reads what the rules above are made of: characters, escapes, sets, groups, alternatives, repeats and look-arounds.
+    """
+    at = 0
+
+    def alternatives() -> list[frozenset[str]]:
+        nonlocal at
+        ways = sequence()
+        while at < len(pattern) and pattern[at] == "|":
+            at += 1
+            ways = ways + sequence()
+        return [w for w in ways if not any(v < w for v in ways)]
+
+    def atom() -> tuple[str, list[frozenset[str]] | None]:
+        """A literal character, or nothing and the ways of a group."""
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c == "(":
+            ahead = re.compile(r"\?(?::|[!=]|<[!=])").match(pattern, at)
+            at = ahead.end() if ahead else at
+            ways = alternatives()
+            at += 1
+            return "", ways if not ahead or ahead.group() == "?:" else None
+        if c == "[":
+            at = re.compile(r"\^?\]?(?:\\.|[^\]\\])*\]").match(pattern, at).end()
+            return "", None
+        if c == "\\":
+            c = pattern[at]
+            at += 1
+            return ("" if c.isalnum() else c), None
+        return ("" if c in ".^$" else c), None
+
+    def sequence() -> list[frozenset[str]]:
+        nonlocal at
         out, run = [frozenset()], ""
-        for kind, arg in [*items, (None, None)]:
-            if kind is kinds.LITERAL:
-                run += chr(arg)
-                continue
-            ways = [[frozenset({run})]] if len(run) > 1 or run.isdigit() else []
-            if kind is kinds.SUBPATTERN:
-                ways.append(of(arg[-1]))
-            elif kind is kinds.BRANCH:  # the parser has put what all branches begin with before them
-                ways = [[w for x in arg[1] for w in of([*((kinds.LITERAL, ord(c)) for c in run), *x])]]
-            elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT) and arg[0] > 0:
-                ways.append(of(arg[2]))
+
+        def add(ways: list[frozenset[str]]) -> None:
+            nonlocal out
+            both = list(dict.fromkeys(a | b for a in out for b in ways))
+            out = both if len(both) <= most else out
+
+        def end() -> None:
+            nonlocal run
+            if len(run) > 1 or run.isdigit():
+                add([frozenset({run})])
             run = ""
-            for more in ways:
-                both = {a | b for a in out for b in more}
-                out = list(both) if len(both) <= most else out
-        return [w for w in out if not any(v < w for v in out)]
 
-    return tuple(sorted({tuple(sorted(w)) for w in of(parser.parse(pattern))}))
+        while at < len(pattern) and pattern[at] not in "|)":
+            literal, ways = atom()
+            repeat = re.compile(r"(?:[?*+]|\{(\d+)(?:,\d*)?\})\??").match(pattern, at)
+            if repeat:
+                at = repeat.end()
+            some = not repeat or repeat.group()[0] == "+" or (repeat.group(1) or "0") != "0"
+            if literal and not repeat:
+                run += literal
+                continue
+            run += literal if some else ""
+            end()
+            if ways and some:
+                add(ways)
+        end()
+        return out
+
+    return tuple(sorted({tuple(sorted(w)) for w in alternatives()}))
 
 
 def _common(ways: tuple[tuple[str, ...], ...]) -> str:
@@ -121,8 +200,12 @@ def _common(ways: tuple[tuple[str, ...], ...]) -> str:
 
 
 def rules() -> list[Rule]:
-    """All forms of all families, best first, then notices that name no licence."""
+    """Wordings, then all forms of all families, best first, then notices that name no licence."""
     out = []
+    for k, (label, wording) in enumerate(BODIES):
+        pattern = wording.replace(" ?", r"\s*").replace(" ", r"[\s#*/]+")
+        ways = tuple(tuple(x for x in w if len(x) > 8 or x == "licen") for w in needs(pattern))  # short words stand in most texts
+        out.append(Rule(f"body:{label}:{k}", label, _common(ways), "", pattern, len(out), 1.0, ways))
     for form, pattern, keyword, weight in FORMS:
         for label, tag, name in FAMILIES:
             spaced = pattern.format(tag=f"(?:{tag})", name=name).replace(" ", r"\s+").replace(r"\s+?", r"\s*")
@@ -165,21 +248,44 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+CHUNK = 256  # folds that lengthen an array copy it at each step, so they go over pieces of this size
+
+
+def _pieces(items: Column) -> Column:
+    """An array in pieces of at most ``CHUNK``."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    return F.when(F.size(items) > 0, F.transform(starts, lambda k: F.slice(items, k * CHUNK + 1, CHUNK))).otherwise(F.array())
+
+
 def _spans(text: Column, r: Column) -> Column:
-    """Where a rule's pattern stands in a text: gaps and hits take turns."""
+    """Where a rule's pattern stands in a text: gaps and hits take turns, so the ends are running sums of their lengths."""
+    ends = "struct<begin:int,end:int>"
 
-    def of(hits: Column) -> Column:
-        gaps = F.transform(F.split(text, r["pattern"], -1), lambda g: F.length(g))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    def within(piece: Column) -> Column:
+        """Places counted from the start of a piece."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{ends}>").alias("found"))
 
         def step(s: Column, x: Column) -> Column:
             begin = s["at"] + x["g"]
             end = begin + x["h"]
-            span = F.struct(begin.alias("start"), end.alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["rule"].alias("rule"), r["weight"].alias("weight"))
-            return F.struct(end.alias("at"), F.concat(s["found"], F.array(span)).alias("found"))
+            return F.struct(end.alias("at"), F.concat(s["found"], F.array(F.struct(begin.alias("begin"), end.alias("end")))).alias("found"))
+
+        return F.aggregate(piece, start, step)
+
+    def placed(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{ends}>>").alias("found"))
 
+        def step(s: Column, p: Column) -> Column:
+            moved = F.transform(p["found"], lambda x: F.struct((x["begin"] + s["at"]).alias("begin"), (x["end"] + s["at"]).alias("end")))
+            return F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["found"], F.array(moved)).alias("found"))
+
+        return F.flatten(F.aggregate(pieces, start, step, lambda s: s["found"]))
+
+    def of(hits: Column) -> Column:
+        gaps = F.transform(F.split(text, r["pattern"], -1), lambda g: F.length(g))
         both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), F.length(h).alias("h")))
-        return F.aggregate(both, start, step, lambda s: s["found"])
+        places = placed(_once(both, lambda b: F.transform(_pieces(b), within)))
+        return F.transform(places, lambda x: F.struct(x["begin"].alias("start"), x["end"].alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["rule"].alias("rule"), r["weight"].alias("weight")))
 
     return _once(F.regexp_extract_all(text, r["pattern"], F.lit(0)), of)
 
@@ -187,10 +293,11 @@ def _spans(text: Column, r: Column) -> Column:
 def _resolve(spans: Column) -> Column:
     """By priority, then length, then place, each detection that overlaps none already kept; in order of place.
 
-    Only detections that hang together by overlaps compete, so each such run is resolved apart.
+    Only detections that hang together by overlaps compete, so each such run is resolved apart, and a run ends where the next
+    detection overlaps none before it.
     """
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(f"array<array<{SPAN}>>").alias("done"), none.alias("run"))
+    runs_type = f"array<array<{SPAN}>>"
 
     def step(s: Column, x: Column) -> Column:
         apart = x["start"] >= s["reach"]
@@ -200,12 +307,19 @@ def _resolve(spans: Column) -> Column:
             F.when(apart, F.array(x)).otherwise(F.concat(s["run"], F.array(x))).alias("run"),
         )
 
+    def over(s: Column, piece: Column) -> Column:
+        """One piece: its finished runs are put behind those of the pieces before it, the open run is carried on."""
+        begin = F.struct(s["reach"].alias("reach"), F.array().cast(runs_type).alias("done"), s["run"].alias("run"))
+        return _once(F.aggregate(piece, begin, step), lambda e: F.struct(e["reach"].alias("reach"), F.concat(s["done"], F.array(e["done"])).alias("done"), e["run"].alias("run")))
+
     def best(run: Column) -> Column:
         ranked = F.array_sort(F.transform(run, lambda x: F.struct(x["priority"].alias("p"), (x["start"] - x["stop"]).alias("l"), x["start"].alias("at"), x.alias("x"))))
         free = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"]))
         return F.aggregate(ranked, none, lambda kept, r: F.when(free(kept, r["x"]), F.concat(kept, F.array(r["x"]))).otherwise(kept), lambda kept: F.array_sort(kept))
 
-    runs = F.aggregate(F.array_sort(spans), start, step, lambda s: F.concat(s["done"], F.array(s["run"])))
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(f"array<{runs_type}>").alias("done"), none.alias("run"))
+    last = lambda s: F.concat(F.flatten(s["done"]), F.when(F.size(s["run"]) > 0, F.array(s["run"])).otherwise(F.array().cast(runs_type)))
+    runs = F.aggregate(_once(F.array_sort(spans), _pieces), start, over, last)
     return F.flatten(F.transform(runs, lambda run: F.when(F.size(run) > 1, best(run)).otherwise(run)))
 
 
@@ -262,11 +376,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     so are replaced, all others stay. Rows are independent of each other.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn("_s", F.struct(F.regexp_count(whole, F.lit(EITHER_CASE)).cast("long").alias("n_words"), base_places(whole).alias("base"), detections(whole).alias("detections")))
-    out = found.withColumns({n: F.col(f"_s.{n}") for n in ("n_words", "base", "detections")})
-    return out.withColumns(
-        {
-            "labels": F.array_sort(F.array_union("_s.base.label", "_s.detections.label")),
-            "score": F.greatest(F.coalesce(F.array_max("_s.detections.weight"), F.lit(0.0)), F.when(F.size("_s.base") > 0, 0.5).otherwise(0.0)),
-        }
-    ).drop("_s")
+    found = F.struct(F.regexp_count(whole, F.lit(EITHER_CASE)).cast("long").alias("n_words"), base_places(whole).alias("base"), detections(whole).alias("detections"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), found.alias("s"))
+    score = F.greatest(F.coalesce(F.array_max("s.detections.weight"), F.lit(0.0)), F.when(F.size("s.base") > 0, 0.5).otherwise(0.0))
+    labels = F.array_sort(F.array_union("s.base.label", "s.detections.label"))
+    made = rows.select("row", F.struct("s.*", labels.alias("labels"), score.alias("score")).alias("new"))
+    gone = ("n_words", "base", "detections", "labels", "score")
+    return made.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in gone], "new.*")

@@ -111,6 +111,59 @@ def test_keywords_lose_nothing(spark):
     assert sum(not r["all"] for r in same_without_gates(spark, texts)) < 0.05 * len(texts)
 
 
+WORDINGS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+# purpose with or without fee is hereby granted, provided that the above
+# copyright notice and this permission notice appear in all copies.""",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above notice. 2. Redistributions in binary form must reproduce it.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. x 2. y 3. Neither the name of the holder nor the names of its contributors may be used""",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages",
+    "apache-2.0": """// Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.
+// Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+// in compliance with the License.""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or later.""",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1",
+    "agpl-3.0": "it is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights",
+}
+
+
+def test_wordings_of_licences(spark):
+    df = spark.createDataFrame([(k, f"Intro text.\n{t}\nMore text.") for k, t in WORDINGS.items()], "want string, text string")
+    for r in ls.scan(df).collect():
+        found = [x.label for x in r.detections]
+        assert found and set(found) == {r.want} and r.score == 1.0, (r.want, r.detections)
+        assert all(x.rule.startswith("body:") for x in r.detections)
+    same_without_gates(spark, [t for w in WORDINGS.values() for t in (w, w.upper(), " ".join(w.split()))])
+
+
+def test_many_notices_take_seconds(spark):
+    import time
+
+    n = 50_000
+    df = spark.createDataFrame([(1, "released under the mit license.\n" * n, "kept")], "doc_id int, text string, _s string")
+    start = time.perf_counter()
+    r = ls.scan(df).first()
+    assert len(r.detections) == n and (r.detections[-1].start, r.detections[-1].stop) == (32 * (n - 1), 32 * n - 2) and r["_s"] == "kept"
+    assert len(r.base) == n and r.labels == ["mit"]
+    assert time.perf_counter() - start < 60
+
+
 def test_identifiers_and_prose_names(spark):
     want = {
         "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "License: EPL-2.0": "epl-2.0", "https://opensource.org/licenses/MPL-2.0": "mpl-2.0", "license = ODbL-1.0": "odbl",
