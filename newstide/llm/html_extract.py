@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,24 +28,42 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({NAME})((?:[^>\"']|\"[^\"]*\"|'[^'
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 #: Elements without text of their own, elements that stand inside a line, and those without an end tag.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head".split())
+RAW = frozenset("script style noscript template iframe object svg canvas audio video select textarea title head annotation annotation-xml".split())
 #: Those of RAW whose content is not markup, and the marks that decide where a script ends.
 PLAIN = frozenset("script style noscript iframe textarea title".split())
 CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in PLAIN}
 SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>]|\Z)", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img input button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img input button math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom merror menclose mfenced msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element and those that its start tag closes.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SECTIONS = frozenset("article main section nav aside header footer form ul ol table figure dialog".split())
+NAMES = 64  # so many distinct tags, and marks, of the ancestors nearest to a block are features of it
+
+
+@dataclass(frozen=True)
+class Place:
+    """An open element with what its blocks know of their ancestors; equal parts are shared with the parent."""
+
+    name: str
+    tags: tuple[str, ...] = ()  # distinct tags, outermost first
+    marks: tuple[str, ...] = ()  # distinct words of classes, ids and roles
+    nearest: tuple[str, ...] = ("",)  # the tag, and the marks, of the innermost section or marked ancestor
+    above: str = ""  # the tag of the parent
+
+    def inner(self, name: str, marks: tuple[str, ...]) -> Place:
+        more = lambda known, new: known if not (fresh := tuple(x for x in dict.fromkeys(new) if x not in known)) else (known + fresh)[-NAMES:]
+        nearest = (name, *marks) if marks or name in SECTIONS else self.nearest
+        return Place(name, more(self.tags, (name,)), more(self.marks, marks), nearest, self.name)
+
+
+ROOT = Place("")
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # tags of the ancestors, outermost first
-    marks: tuple[str, ...]  # words of their classes, ids and roles
-    nearest: tuple[str, ...]  # the tag, and the marks, of the innermost section or marked ancestor
+    place: Place
     linked: int  # characters inside links
 
 
@@ -77,20 +96,37 @@ def _after(page: str, name: str, at: int) -> int | None:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = []
+    held: Counter[str] = Counter()  # open elements by name
     parts: list[str] = []
-    linked, in_link, skip = 0, False, ""
+    linked, in_link = 0, False
+    skip, inside = "", Counter()  # the element that is passed over and the elements opened in it
 
     def flush() -> None:
         nonlocal linked, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                near = next(((t, *m) for t, m in reversed(stack) if m or t in SECTIONS), ("",))
-                out.append(Block(text, tuple(t for t, _ in stack), tuple(w for _, m in stack for w in m), near, min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else ROOT, min(linked, len(text))))
             parts.clear()
         linked, in_link = 0, False
 
+    def close(name: str) -> None:
+        """Everything down to the innermost open element of that name, which is open."""
+        while True:
+            gone = stack.pop().name
+            held[gone] -= 1
+            if gone == name:
+                return
+
+    ends: dict[str, int] = {}  # by element, the last end tag of it that was looked up
+
+    def has_end(name: str, at: int) -> bool:
+        if ends.get(name, -1) < at and ends.get(name) != len(page):
+            found = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+            ends[name] = found.start() if found else len(page)
+        return ends[name] < len(page)
+
     at = 0
     endless: set[str] = set()  # elements of PLAIN without an end tag in the rest of the page
     while at < len(page):
@@ -106,14 +142,22 @@ def blocks(page: str) -> list[Block]:
                     linked += len(text.strip())
             continue
         name, end = name.lower(), token.group(1)
+        if skip and end:
+            if inside[name] > 0:
+                inside[name] -= 1
+                continue
+            if name == skip or not held[name]:
+                skip = "" if name == skip else skip
+                continue
+            skip = ""  # the end of an element around it
         if skip:
-            if end and name == skip:
-                skip = ""
-            elif name in ("script", "style") and not end and not token.group(3).endswith("/") and name not in endless:
+            if name in ("script", "style") and not end and not token.group(3).endswith("/") and name not in endless:
                 if (after := _after(page, name, at)) is None:
                     endless.add(name)
                 else:
                     at = after
+            elif name not in VOID and not token.group(3).endswith("/"):
+                inside[name] += 1
             continue
         if name in RAW:
             if not end and not token.group(3).endswith("/"):
@@ -122,8 +166,9 @@ def blocks(page: str) -> list[Block]:
                     after = _after(page, name, at)
                     at = len(page) if after is None else after
                 elif name != "head":
-                    skip = name
                     parts.append(" ")
+                    if has_end(name, at):
+                        skip, inside = name, Counter()
                 else:
                     flush()
             continue
@@ -135,15 +180,15 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if end:
-            names = [t for t, _ in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+            if held[name] > 0:
+                close(name)
         elif name not in VOID:
             closes = CLOSES.get(name, {"p"})
-            while stack and stack[-1][0] in closes:
-                stack.pop()
+            while stack and stack[-1].name in closes:
+                held[stack.pop().name] -= 1
             found = tuple(w for m in MARKS.findall(token.group(3)) for w in WORDS.findall("".join(m).lower())) if token.group(3) else ()
-            stack.append((name, found))
+            stack.append((stack[-1] if stack else ROOT).inner(name, found))
+            held[name] += 1
     flush()
     return out
 
@@ -153,10 +198,11 @@ def block_features(block: Block, at: int, n: int) -> list[str]:
     size = len(text)
     words = text.count(" ") + 1
     share = block.linked / size if size else 0.0
-    last = block.path[-1] if block.path else ""
-    out = ["a:" + t for t in set(block.path)] + ["m:" + w for w in set(block.marks)]
-    return out + ["i:" + w for w in block.nearest] + [
-        "b:" + ">".join(block.path[-2:]), "t:" + last, "l:" + str(min(size.bit_length(), 10)), "k:" + str(int(share * 4)), "w:" + str(min(words.bit_length(), 6)),
+    place = block.place
+    last = place.name
+    out = ["a:" + t for t in place.tags] + ["m:" + w for w in place.marks]
+    return out + ["i:" + w for w in place.nearest] + [
+        "b:" + (f"{place.above}>{last}" if place.above else last), "t:" + last, "l:" + str(min(size.bit_length(), 10)), "k:" + str(int(share * 4)), "w:" + str(min(words.bit_length(), 6)),
         "e:" + (text[-1] if not text[-1].isalnum() else "x"), "c:" + str(min(sum(map(text.count, ".,;:")), 4)), "r:" + str("©" in text or "copyright" in text.lower()),
         "f:" + str(at == 0), "z:" + str(at == n - 1),
     ]

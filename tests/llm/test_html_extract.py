@@ -27,8 +27,8 @@ def test_blocks():
     <script>var t = "</p>";</script><style>p{}</style><!-- <p>no</p> --><ul><li>one<li>two <a href="/x">link</a></ul>tail &copy &#233;</body> <"""
     got = he.blocks(page)
     assert [b.text for b in got] == ["a & b cd e", "f <i> g", "one", "two link", "tail © é <"] or [b.text for b in got] == ["a & b cd e", "f <i> g", "one", "two link", "tail © é", "<"]
-    assert [b.path[-1] for b in got[:4]] == ["p", "p", "li", "li"] and got[0].marks == ("x",)
-    assert got[3].linked == 4 and got[2].path.count("li") == 1
+    assert [b.place.name for b in got[:4]] == ["p", "p", "li", "li"] and got[0].place.marks == ("x",)
+    assert got[3].linked == 4 and (got[3].place.tags, got[3].place.above) == (("body", "ul", "li"), "ul")
 
 
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>", "</p></div>", "<script>never closed <p>x", "<!-- never closed <p>x", "<a href='x", "text only", "&", "<p>" * 3000 + "x", "\x00<p>퟿"])
@@ -81,3 +81,32 @@ def test_scripts_end_at_their_own_tag(chain, raw):
 def test_many_raw_elements_take_one_pass():
     assert he.blocks("<svg><style>" * 20_000 + "x") == [] and he.blocks("<script><!--" * 20_000 + "x") == []
     assert [b.text for b in he.blocks("<script><!-- <script></script>--></script>" * 20_000 + "x")] == ["x"]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<article><p>one</p><svg><svg><text>no</text></svg>no</svg><p>two</p></article>", ["one", "two"]),
+        ("<article><p>one</p><object data=x><object><p>no</p></object>no</object><p>two</p></article>", ["one", "two"]),
+        ("<article><p>one</p><video src=a><p>two</p></article><p>three", ["one", "two", "three"]),
+        ("<article><p>one <select><option>no</p><p>two</p></article>", ["one", "no", "two"]),
+        ("<div><p>one</p><audio>no</div><p>two</p><audio></audio>three", ["one", "two", "three"]),
+        ("<p>if <math><mi>x</mi><mo>&lt;</mo><msup><mi>y</mi><mn>2</mn></msup></math> holds</p>", ["if x<y2 holds"]),
+        ("<p>a <math><semantics><mi>x</mi><annotation encoding='tex'>no</annotation></semantics></math> b</p>", ["a x b"]),
+        ("<div><section><p>one</section></p></div></div></p>two", ["one", "two"]),
+    ],
+)
+def test_passed_over_elements(page, texts):
+    assert [b.text for b in he.blocks(page)] == texts
+
+
+def test_deep_pages_take_seconds(chain):
+    import time
+
+    start = time.perf_counter()
+    n = 50_000
+    for page in ("<div>x" * n, "<div>x" * n + "</div>" * n, "<div class='a b'>x" * n + "</p></span>" * n, "".join(f"<t{k % 5000} id=w{'abcdefghij'[k % 10]}>x" for k in range(n)), "<svg>x" * n, "<p>x<video>" * n):
+        assert len(he.blocks(page)) >= 1
+    deep = "<article><p>Some words here, in a row.</p>" + "<div>" * n + "<p>Some words here, in a row.</p>"
+    assert he.main_text([deep], chain, he.Features()) == ["Some words here, in a row.\nSome words here, in a row."]
+    assert time.perf_counter() - start < 30
