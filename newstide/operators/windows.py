@@ -116,13 +116,14 @@ def with_filled(df: DataFrame, columns: dict[str, Column], w: WindowSpec) -> Dat
     return df.withColumns(columns).withColumns({name: fill_both(name, w) for name in columns})
 
 
-def volume_features(df: DataFrame, count: str, by: Sequence[str], d: str = "d", q: float = 0.9) -> DataFrame:
+def volume_columns(count: str, w: WindowSpec, by: Sequence[str], q: float = 0.9) -> dict[str, Column]:
     """One-row change of the count, and 1 where it exceeds the entity's ``q`` quantile (of its days)."""
-    w = series(by, d)
     cut = F.percentile(count, q).over(Window.partitionBy(*by))
-    return df.withColumns(
-        {"volume_momentum": momentum(count, 1, w), "volume_spike": (F.col(count) > cut).cast("int")}
-    )
+    return {"volume_momentum": momentum(count, 1, w), "volume_spike": (F.col(count) > cut).cast("int")}
+
+
+def volume_features(df: DataFrame, count: str, by: Sequence[str], d: str = "d", q: float = 0.9) -> DataFrame:
+    return df.withColumns(volume_columns(count, series(by, d), by, q))
 
 
 def risk_ratios(df: DataFrame, price: str, by: Sequence[str], d: str = "d", periods: int = 252) -> DataFrame:
