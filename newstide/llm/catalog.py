@@ -71,7 +71,7 @@ def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     scored = toxicity.assess(docs, _table(spark, sf, "labels"))
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "expected", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "expected", F.size("spans").alias("n_spans"), "spans")
 
 
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,8 @@ def score(docs: DataFrame, chain: crf.Chain, text: str = "text", span: float = 0
                 out.append({"score": scorer.score(p), "expected": float(p.sum()), "spans": spans})
             yield pa.array(out, typed)
 
-    return docs.withColumn("_t", run(F.col(text))).withColumns({n: F.col(f"_t.{n}") for n in ("score", "expected", "spans")}).drop("_t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), run(F.col(text)).alias("new"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("score", "expected", "spans")], "new.*")
 
 
 def held_out(id: str = "doc_id") -> Column:
@@ -216,14 +218,18 @@ def held_out(id: str = "doc_id") -> Column:
 def sample(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
     """A bounded sample of labelled documents that are not held out: at most ``docs_per_class`` ids of each label.
 
-    Which ids are taken depends on a hash of the id alone. A null label or id, an empty text and one above ``longest``
-    characters take no part, and of rows that repeat an id one.
+    Ids are counted among documents that can be learnt from, and which are taken depends on a hash of the id alone. A null label
+    or id, an empty text and one above ``longest`` characters take no part. An id with several labels is toxic if one of them
+    says so; of several texts of an id the one with the least hash is taken, so the layout of the tables does not matter.
     """
-    open_ = labels.select(id, F.col(label).cast("int").alias("_y")).where(~held_out(id) & F.col(id).isNotNull()).dropDuplicates([id])
-    order = (F.xxhash64(id), F.col(id))
-    ids = open_.where("_y = 1").orderBy(*order).limit(how.docs_per_class).union(open_.where("_y = 0").orderBy(*order).limit(how.docs_per_class))
-    found = docs.select(id, F.col(text).alias("_text")).join(F.broadcast(ids), id).where(F.length("_text").between(1, how.longest))
-    rows = found.dropDuplicates([id]).orderBy(*order).select("_text", "_y").collect()  # two bounded classes
+    usable = docs.where(F.length(F.col(text)).between(1, how.longest) & ~held_out(id)).select(F.col(id).alias("_id"))
+    marks = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
+    open_ = marks.join(usable, "_id", "left_semi")
+    order = (F.xxhash64("_id"), F.col("_id"))
+    ids = reduce(DataFrame.union, [open_.where(F.col("_y") == y).orderBy(*order).limit(how.docs_per_class) for y in (1, 0)])
+    found = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id").where(F.length("_text").between(1, how.longest))
+    first = found.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text"), F.max("_y").alias("_y"))
+    rows = first.orderBy(*order).select("_text", "_y").collect()  # two bounded classes
     return [r["_text"] for r in rows], [r["_y"] for r in rows]
 
 
@@ -233,6 +239,9 @@ def assess(docs: DataFrame, labels: DataFrame, how: Training = Training(), id: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.7, how: Training = Training(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose score is below ``limit``, with their own columns."""
+    """The rows whose score is below ``limit``, with their own columns, whatever they are called.
+
+    Rows with a null or empty text have the score of a text without tokens; repeated rows all stay or all go.
+    """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id).alias("doc_id"), F.col(text).alias("text"))
     return assess(whole, labels.withColumnRenamed(id, "doc_id"), how, "doc_id", "text").where(F.col("score") < limit).select("_row.*")

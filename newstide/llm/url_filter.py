@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 GRAMS = (3, 4, 5)
 #: Words of unwanted and of ordinary hosts and paths, from which the labelled table is made.
-UNWANTED = "adult casino porn xxx sex escort viagra pills poker bets slots lottery warez torrent cracked malware phishing spam ads track".split()
-ORDINARY = "news blog wiki school museum library recipes garden travel science history weather sports music theatre bridge river market people work".split()
+UNWANTED = """adult casino porn xxx sex escort viagra pills poker bets slots lottery warez torrent cracked malware phishing spam ads track
+    meds pharmacy xanax tramadol cialis nude erotic hentai camgirls stripper gambling roulette blackjack jackpot betting keygen serials piracy trojan botnet
+    replica counterfeit payday quickloan clickbait popunder adserver banners hookup milf fetish""".split()
+ORDINARY = """news blog wiki school museum library recipes garden travel science history weather sports music theatre bridge river market people work
+    essex sussex middlesex classic adsl cocktail therapist analysis assets passage specialist socialism shuttle medieval bettany lotus pokemon torrens crackle
+    adventure addition broadsheet trackless sextant escorial slotted betaversion pillow casing spamalot lotto1900 nudge pharos""".split()
 ENDINGS = "com net org".split()
 SYLLABLES = "an at ber da el en er ha in is ka la li lo ma mo na no on or ra re ri sa ser sh st ta ter th ti to un ver".split()
 
@@ -55,11 +59,12 @@ def labelled_urls() -> list[tuple[str, int]]:
     """The default training table, made from the word lists: 1 is unwanted. Hosts of mere syllables are ordinary."""
     name = lambda k: "".join(SYLLABLES[(k * step + k // 7) % len(SYLLABLES)] for step in (1, 5, 11)[: 2 + k % 2])
     out = []
-    for k, (bad, good) in enumerate(zip(UNWANTED, ORDINARY, strict=True)):
+    for k in range(max(len(UNWANTED), len(ORDINARY))):
+        bad, good = UNWANTED[k % len(UNWANTED)], ORDINARY[k % len(ORDINARY)]
         for j, form in enumerate(FORMS):
             at = 7 * k + j
             filled = {"e": ENDINGS[at % 3], "l": ("en", "de", "fr", "es")[at % 4], "n": 977 * at % 49999, "x": name(at + 500), "sub": ("", "www.", "m.", "blog.")[at // 3 % 4]}
-            out += [(form.format(w=w, **filled), y) for w, y in ((bad, 1), (good, 0), (name(at), 0))]
+            out += [(form.format(w=w, **filled), y) for w, y in ((bad, 1), (good, 0), (name(at), 0), (name(5 * at + 3), 0))]
     return out
 
 
@@ -95,7 +100,7 @@ def fit(spark: SparkSession, labelled: Sequence[tuple[str, int]] | DataFrame | N
     """
     if labelled is None:
         labelled = labelled_urls()
-    table = labelled if isinstance(labelled, DataFrame) else spark.sql("select col1 as url, col2 as label from values " + ", ".join(f"('{u}', {y})" for u, y in labelled))
+    table = labelled if isinstance(labelled, DataFrame) else spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled])))
     table = table.where("url is not null and label is not null")
     host, path = host_and_path(F.col("url"))
     dense = lambda g: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.array_contains(g, k).cast("double"))

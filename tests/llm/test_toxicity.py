@@ -87,3 +87,18 @@ def test_edges(spark):
     assert left.columns == docs.columns and left.where("doc_id = 903").count() == 1 and left.where("doc_id = 900").count() == 1
     assert toxicity.assess(docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.assess(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_sample_is_the_same_for_any_layout(spark):
+    """Labels without documents use up no place; repeated ids and labels have one meaning."""
+    how = toxicity.Training(docs_per_class=5)
+    docs = [(k, f"text {k} of a document") for k in range(60)] + [(3, "another text of 3"), (3, "a third"), (None, "no id"), (61, ""), (62, None)]
+    labels = [(k, int(k % 2)) for k in range(60)] + [(k, 1) for k in range(1000, 3000)] + [(4, 1), (4, None), (None, 1), (61, 1), (62, 1)]
+    seen = set()
+    for order in (1, -1):
+        d = spark.createDataFrame(docs[::order], "doc_id long, text string").repartition(3 + order)
+        texts, ys = toxicity.sample(d, spark.createDataFrame(labels[::order], "doc_id long, toxic int"), how)
+        assert sorted(ys) == [0] * 5 + [1] * 5
+        assert all(not (zlib.crc32(t.split()[1].encode()) % 3 == 1) for t in texts if t.startswith("text"))
+        seen.add(tuple(zip(texts, ys, strict=True)))
+    assert len(seen) == 1

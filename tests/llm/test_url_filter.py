@@ -50,6 +50,26 @@ def test_hosts_it_has_not_seen(spark, model):
     assert sum((got[u] >= 0.5) == bad for u, bad in urls) >= 0.9 * len(urls)
 
 
+#: Words that neither list has, by whether they are unwanted.
+HELD_OUT = {
+    True: "casinobonus pornstars sexchat viagraonline pokerroom slotsgame xxxvideos onlinepharmacy cheappills malwarekit phishingsite escorts torrents gamblingtips erotica lotteryresults".split(),
+    False: "sciencefair essexcounty newsroom gardening classical travelguide musical weatherman historic libraries schools rivers recipebook sportsman museums wessex adslguide analyst".split(),
+}
+
+
+def test_words_it_has_not_seen(spark, model):
+    assert not {w for ws in HELD_OUT.values() for w in ws} & {*uf.UNWANTED, *uf.ORDINARY}
+    urls = [(f"https://{p}{w}{s}", bad) for bad, ws in HELD_OUT.items() for w in ws for p, s in (("www.", ".com/"), ("", ".org/index.html"), ("my-", ".io/en/4"))]
+    got = {r.url: r.score for r in uf.judge(spark.createDataFrame([(u,) for u, _ in urls], "url string"), model).collect()}
+    right = [(got[u] >= 0.5) == bad for u, bad in urls]
+    assert sum(right) >= 0.85 * len(urls), [(u, round(got[u], 2)) for (u, _), ok in zip(urls, right, strict=True) if not ok]
+
+
+def test_labels_with_quotes(spark):
+    urls = [("http://a.b/it's\\", 0), ('http://c.d/"x"', 1), ("http://é.f/'; drop", 0), ("http://g.h/\n", 1)]
+    assert len(uf.fit(spark, urls).weights) == uf.BUCKETS
+
+
 def test_score_is_the_sum_of_weights(spark, model):
     df = spark.createDataFrame([("https://adult-x.example.com/en/22038",)], "url string")
     r = uf.judge(df, model).select("score", uf.grams(*map(lambda c: c, uf.host_and_path(df["url"]))).alias("g")).first()
