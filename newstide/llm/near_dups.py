@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newstide.llm.shingles import GOLDEN, fingerprint, mix, shingle_sets
-from newstide.operators.skew import stored
+from newstide.operators.skew import sliced_join, stored
 
 LENGTH = 128  # of a signature
 BANDS = 32  # of four components: a pair at 0.75 shares no band with a chance of 5e-6
@@ -154,29 +154,37 @@ def components(links: DataFrame) -> DataFrame:
     """
     few = _local(links)
     both = stored(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    degrees = stored(_counts(both, "b"), "degrees")  # a root has the links of all that a task joined to it
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = sliced_join(both, labels.select(F.col("node").alias("b"), "label"), ["b"], degrees, "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "step")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("over"))
-        new = stored(step.join(jump, "label", "left").select("node", "old", F.least("label", "over").alias("label")), "labels")
+        new = stored(sliced_join(step, jump, ["label"], stored(_counts(step, "label"), "held"), "node", "left").select("node", "old", F.least("label", "over").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels
 
 
-def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that still hold different components, with their label."""
+def _counts(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _split(members: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+    """The members of buckets that still hold different components, with their label and ``p``, one node of the bucket.
+
+    Buckets come as partial aggregates, and their members meet them in slices: a bucket may hold a large part of all rows.
+    """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return named.join(mixed, "bucket")
+    order = F.xxhash64("node", F.lit(salt))
+    picked = F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p")
+    buckets = stored(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked), "buckets")
+    return sliced_join(named, buckets.where("lo <> hi").select("bucket", "p"), ["bucket"], buckets.select("bucket", F.col("c").alias("n")), "node")
 
 
-def _star(members: DataFrame, salt: int, percent: int) -> DataFrame:
+def _star(members: DataFrame, percent: int) -> DataFrame:
     """For each node the pair with the one node picked in most of its buckets, if that is of another component."""
-    order = F.xxhash64("node", F.lit(salt))
-    picked = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p"))
-    pairs = members.join(picked, "bucket").where("label <> p.label").where(_sizes("n", "p.n", percent))
+    pairs = members.where("label <> p.label").where(_sizes("n", "p.n", percent))
     return (
         pairs.groupBy("node", F.col("p.node").alias("other")).agg(F.count(F.lit(1)).alias("times"))
         .groupBy("node").agg(F.max(F.struct("times", "other")).alias("m"))
@@ -188,10 +196,13 @@ def _sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _meetings(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of a group dealt into cells of about ``size``; each row is repeated for every pair of cells it is in, (x, y)."""
-    cells = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cells"))
-    placed = rows.join(cells, key).withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
+def _meetings(rows: DataFrame, key: str, size: int, counts: DataFrame) -> DataFrame:
+    """Rows of a group dealt into cells of about ``size``; each row is repeated for every pair of cells it is in, (x, y).
+
+    ``counts`` has the stored number of rows of each group, ``n``.
+    """
+    cells = counts.select(key, F.ceil(F.col("n") / size).cast("int").alias("cells"))
+    placed = sliced_join(rows, cells, [key], counts, "node").withColumn("cell", F.pmod(F.xxhash64("node"), "cells").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda k: F.struct(F.least(k, "cell").alias("x"), F.greatest(k, "cell").alias("y")))
     return placed.withColumn("meet", F.explode(meets)).drop("cells")
 
@@ -238,7 +249,7 @@ def _families(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                     b.append(cell.node[o])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    met = _meetings(members.join(sigs, "node"), "bucket", CELL)
+    met = _meetings(members.join(sigs, "node"), "bucket", CELL, stored(_counts(members, "bucket"), "sizes"))
     stars = stored(met.select("bucket", "node", F.col("node").alias("label"), "n", "sig", "cell", "meet").groupBy("bucket", "meet.x", "meet.y").applyInArrow(run, "a binary, b binary").distinct(), "stars")
     return components(stars).select("node", F.col("label").alias("family"))
 
@@ -246,9 +257,11 @@ def _families(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 def _rest(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links between the different components that are left, at most one for each two of them in a cell."""
     families = _families(members, sigs, percent)
-    named = members.select("node", "label", "n").distinct().join(families, "node")
-    mixed = named.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family")
-    full = named.join(mixed, "family").join(sigs, "node").join(sets, "node")
+    named = stored(members.select("node", "label", "n").distinct().join(families, "node"), "families")
+    sizes = stored(named.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")), "sizes")
+    counts = sizes.select("family", "n")
+    mixed = sizes.where("lo <> hi").select("family")
+    full = sliced_join(named, mixed, ["family"], counts, "node").join(sigs, "node").join(sets, "node")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         cell = _Cell(key, rows, percent)
@@ -262,7 +275,7 @@ def _rest(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
                     b.append(cell.node[o])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    met = _meetings(full, "family", FAMILY_CELL)
+    met = _meetings(full, "family", FAMILY_CELL, counts)
     return met.select("family", "node", "label", "n", "sig", "items", "cell", "meet").groupBy("family", "meet.x", "meet.y").applyInArrow(run, "a binary, b binary")
 
 
@@ -276,13 +289,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     judged each by its own text and share the component if their texts do. Columns other than ``id`` and ``text`` are dropped.
     """
     marked = stored(signed(docs, id, text, width), "signed")
-    nodes = stored(marked.where(F.col(id).isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min(id).alias("first"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "nodes")
+    nodes = stored(marked.where(F.col(id).isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min(id).alias("first"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "nodes")
     labels = stored(_labels(docs, nodes, id, text, percent, width), "components")
     groups = nodes.select("node", "first").join(labels, "node")
-    lowest = groups.groupBy("label").agg(F.min("first").alias("lowest"))
-    linked = groups.join(lowest, "label").select("node", "lowest")
+    lowest = stored(groups.groupBy("label").agg(F.min("first").alias("lowest"), F.count(F.lit(1)).alias("n")), "groups")
+    linked = sliced_join(groups, lowest.select("label", "lowest"), ["label"], lowest.select("label", "n"), "node").select("node", "lowest")
     rest = nodes.select("node", F.col("first").alias("alone")).join(linked, "node", "left").select("node", F.coalesce("lowest", "alone").alias("component_id"))
-    out = marked.select(id, "n_shingles", "node").join(stored(rest, "lowest"), "node", "left")
+    own = marked.select(id, "n_shingles", "node")
+    out = sliced_join(own.where(F.col("node").isNotNull()), stored(rest, "lowest"), ["node"], nodes.select("node", F.col("rows").alias("n")), id, "left")
+    out = out.unionByName(own.where(F.col("node").isNull()).withColumn("component_id", F.lit(None).cast(marked.schema[id].dataType)))
     component = F.when(F.col(id).isNotNull(), F.coalesce("component_id", id))
     return out.select(id, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id) == component, F.lit(True)).alias("kept"))
 
@@ -298,10 +313,10 @@ def _labels(docs: DataFrame, nodes: DataFrame, id: str, text: str, percent: int,
     sets = stored(_sets(docs.select(id, text).join(small_or_shuffled(ids), id, "left_semi"), text, width).dropDuplicates(["node"]), "sets")
     links, labels = None, nodes.select("node", F.col("node").alias("label")).limit(0)
     for turn in range(STARS + 1):
-        left = stored(_split(members, labels), "left")
+        left = stored(_split(members, labels, turn), "left")
         if left.isEmpty():
             break
-        links_now = verified(_star(left, turn, percent), sets, percent) if turn < STARS else _rest(left, nodes.select("node", "sig"), sets, percent)
+        links_now = verified(_star(left, percent), sets, percent) if turn < STARS else _rest(left, nodes.select("node", "sig"), sets, percent)
         found = stored(links_now, "verified")
         if found.isEmpty():
             continue
