@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Each starts in a shard drawn from its id, and the counts are made equal to within
-one; then rounds of joins move documents towards the shards of their group. Groups that matter for a shard's room get
+Documents with equal texts are linked. Each starts in a shard drawn from its id and text, and the counts are made equal
+to within one; then rounds of joins move documents towards the shards of their group. Groups that matter for a shard's room get
 as many shards as their size needs, planned for all of them together; a smaller one gathers where most of it is. A move
 needs room: shards take in as many as they give away, within quotas for every pair of shards, so sizes stay what they were.
 
@@ -15,13 +15,14 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newstide.operators.skew import stored
+from newstide.operators.skew import sliced_join, stored
 
 SLICES = 64  # hash slices that a shard is numbered in, at least
 SLICE_ROWS = 200_000  # wanted rows of a slice
+TURN = ["turn", "key"]  # order of documents: by a hash of what they are; rows that agree in it by their place in the input
 
 
-def _numbered(rows: DataFrame, group: str, order: list[Column], out: str, of: Column | None = None) -> DataFrame:
+def _numbered(rows: DataFrame, group: str, order: list[Column | str], out: str, of: Column | None = None) -> DataFrame:
     """Number the rows of each group from 0, gapless, without bringing a group into one task.
 
     Groups are cut into slices by a hash; slices are numbered apart and start where the slices before them end. The
@@ -45,13 +46,13 @@ def _quotas(wishes: DataFrame) -> DataFrame:
 PART = 4  # groups of more than this part of a shard are planned for; there are fewer than PART for each shard
 
 
-def _plan(held: list[tuple[int, int, int]], counts: dict[int, int]) -> tuple[dict[tuple[int, int], int], set[int]]:
+def _plan(held: list[tuple[str, int, int]], counts: dict[int, int]) -> tuple[dict[tuple[str, int], int], set[int]]:
     """How many documents of each group (group, shard, number held) each shard shall have, and the shards with room left.
 
     Largest groups first; one that no shard has room for fills the emptiest, and the rest of it goes where it fits, to
     the shard that holds most of it.
     """
-    have: dict[int, dict[int, int]] = {}
+    have: dict[str, dict[int, int]] = {}
     for group, shard, n in held:
         have.setdefault(group, {})[shard] = n
     left, takes = dict(counts), {}
@@ -83,7 +84,7 @@ def _wishes(rows: DataFrame, takes: DataFrame, shards: int, room: set[int], shut
     both = both.withColumn("_over", F.greatest(F.col("n") - F.col("take"), F.lit(0))).withColumn("_lack", F.greatest(F.col("take") - F.col("n"), F.lit(0)))
     both = stored(both.withColumn("_from", F.coalesce(F.sum("_over").over(up), F.lit(0))).withColumn("_lo", F.coalesce(F.sum("_lack").over(up), F.lit(0))), "plan")
     given = linked.join(F.broadcast(both.where("_over > 0").select("group", "shard", "take", "_from")), ["group", "shard"])
-    given = _numbered(given.withColumn("_cell", F.xxhash64("group", "shard")), "_cell", [F.col("key")], "_in_cell").where("_in_cell >= take")
+    given = _numbered(given.withColumn("_cell", F.xxhash64("group", "shard")), "_cell", TURN, "_in_cell").where("_in_cell >= take")
     lacking = F.broadcast(both.where("_lack > 0").select(F.col("group").alias("_g"), F.col("shard").alias("to"), "_lo", (F.col("_lo") + F.col("_lack")).alias("_hi")))
     seat = F.col("_in_cell") - F.col("take") + F.col("_from")
     big = given.join(lacking, (F.col("group") == F.col("_g")) & (seat >= F.col("_lo")) & (seat < F.col("_hi"))).select(*rows.columns, "to")
@@ -95,26 +96,28 @@ def _wishes(rows: DataFrame, takes: DataFrame, shards: int, room: set[int], shut
     return big.unionByName(linked.join(planned, "group", "left_anti").join(best, "group").where("shard <> to and shard <> _home").select(*rows.columns, "to"))
 
 
-def propagate(rows: DataFrame, shards: int, gain: float) -> DataFrame:
-    """``rows`` (key, group, size_of_group, shard) after moves; groups of one document have no links and may be swapped in.
+def propagate(rows: DataFrame, shards: int, gain: float, rounds: int) -> DataFrame:
+    """``rows`` (key, turn, group, size_of_group, shard) after moves; groups of one document have no links and may be swapped in.
 
     Lonely documents stand in for room: those of a shard may move anywhere, and follow a group's members the other way, so
     that every swap keeps both sizes. Rounds end when nobody wishes to move or when a round moves at most the share
-    ``gain`` of the linked documents.
+    ``gain`` of the linked documents, and after ``rounds`` of them.
     """
     spark = rows.sparkSession
     counts = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
     many = (F.col("size_of_group") > 1) & (F.col("size_of_group") * PART * shards > sum(counts.values()))
     large = rows.where(many)
     takes, open_shards = _plan([(r["group"], r["shard"], r["n"]) for r in large.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")).collect()], counts)
-    listed = F.from_json(F.lit(json.dumps([{"group": g, "shard": s, "take": n} for (g, s), n in takes.items()])), "array<struct<`group`:bigint,shard:int,take:bigint>>")
+    listed = F.from_json(F.lit(json.dumps([{"group": g, "shard": s, "take": n} for (g, s), n in takes.items()])), "array<struct<`group`:string,shard:int,take:bigint>>")
     takes = spark.range(1).select(F.inline(listed))
     linked = rows.where("size_of_group > 1").count()
     shut: set[int] = set()
     moves = linked
-    while moves > gain * linked:
+    for _ in range(rounds):
+        if moves <= gain * linked:
+            break
         wanting = _wishes(rows, takes, shards, open_shards, shut)
-        wanting = stored(_numbered(stored(wanting.withColumn("_pair", F.col("shard") * shards + F.col("to")), "wishing"), "_pair", [F.col("group"), F.col("key")], "_place", F.when(many, F.col("key")).otherwise(F.col("group"))), "wanting")
+        wanting = stored(_numbered(stored(wanting.withColumn("_pair", F.col("shard") * shards + F.col("to")), "wishing"), "_pair", [F.col("group"), *TURN], "_place", F.when(many, F.col("turn")).otherwise(F.xxhash64("group"))), "wanting")
         wishes = stored(wanting.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("wish")), "wishes")  # shards x shards rows
         direct = _quotas(wishes)
         open_ = wishes.join(direct, ["shard", "to"], "left").select("shard", "to", "wish", F.coalesce("quota", F.lit(0)).alias("direct"), (F.col("wish") - F.coalesce("quota", F.lit(0))).alias("rest"))
@@ -126,7 +129,7 @@ def propagate(rows: DataFrame, shards: int, gain: float) -> DataFrame:
         swaps = stored(swaps.withColumn("swap", F.least("rest", room)), "swaps")
         moved = wanting.join(F.broadcast(swaps.select("shard", "to", (F.col("direct") + F.col("swap")).alias("quota"))), ["shard", "to"]).where("_place < quota").select("key", F.col("to").alias("moved"))
         # the lonely documents of a shard that go to where its new members came from
-        places = _numbered(lonely.select("key", "shard"), "shard", [F.col("key")], "_place")
+        places = _numbered(lonely.select("key", "turn", "shard"), "shard", TURN, "_place")
         ranges = F.broadcast(swaps.where("swap > 0").select(F.col("to").alias("shard"), F.col("_before").alias("_lo"), (F.col("_before") + F.col("swap")).alias("_hi"), F.col("shard").alias("moved")))
         out = places.join(ranges, "shard").where("_place >= _lo and _place < _hi").select("key", "moved")
         ends = swaps.groupBy("to").agg(F.sum(F.col("direct") + F.col("swap")).alias("moves"), F.sum(F.col("rest") - F.col("swap")).alias("unmet")).collect()  # a row for each shard
@@ -161,7 +164,7 @@ def _level(rows: DataFrame, shards: int) -> DataFrame:
     ranked = rows.join(F.broadcast(full.where("over > 0").select("shard")), "shard").join(there, ["group", "shard"])
     # of every shard the documents whose group is smallest there: a bucket of sizes is taken whole, the last one in part
     ranked = ranked.withColumn("_bucket", F.col("shard").cast("long") * 64 + F.least(F.floor(F.log2("_here")), F.lit(63)).cast("long"))
-    ranked = _numbered(ranked.select("key", "shard", "_bucket"), "_bucket", [F.col("key")], "_in_bucket")
+    ranked = _numbered(ranked.select("key", "turn", "shard", "_bucket"), "_bucket", TURN, "_in_bucket")
     sizes = ranked.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     leaving = ranked.join(F.broadcast(before.select("_bucket", "_b")), "_bucket").withColumn("_place", F.col("_b") + F.col("_in_bucket"))
@@ -171,14 +174,15 @@ def _level(rows: DataFrame, shards: int) -> DataFrame:
     return rows.join(moved, "key", "left").withColumn("shard", F.coalesce("moved", "shard")).drop("moved")
 
 
-def assign(docs: DataFrame, shards: int = 24, gain: float = 0.001, id: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, gain: float = 0.001, rounds: int = 50, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, size (UTF-8 bytes of the text and 8), text_crc32, shard (from 0) and slot (from 0 in its shard, gapless).
 
     The law is ``rows``: the counts of any two shards differ by one at most. Documents with equal texts are held
     together as far as that leaves room: a group larger than a shard spans as few as hold it. Rounds of moves go on until
-    one moves at most the share ``gain`` of the linked documents. A null text has no bytes and is
+    one moves at most the share ``gain`` of the linked documents, ``rounds`` at most. A null text has no bytes and is
     a text of its own kind, equal to other nulls. Null and repeated ids are placed like others, row by row. Other
-    columns are dropped. Which of several rows that agree in id and text gets which place is not defined.
+    columns are dropped. Places follow from ids and texts alone, not from the order or the files that rows come in; which
+    of several rows that agree in id and text gets which place is not defined.
     """
     raw = docs.select(
         F.col(id).alias("id"),
@@ -187,12 +191,20 @@ def assign(docs: DataFrame, shards: int = 24, gain: float = 0.001, id: str = "do
         F.when(F.col(text).isNotNull(), F.md5(F.col(text).cast("binary"))).alias("digest"),
     )
     rows = stored(raw.withColumn("key", F.monotonically_increasing_id()), "sharding")
-    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("size_of_group"), F.min("key").alias("group"))
-    known = rows.join(groups, rows["digest"].eqNullSafe(groups["digest"])).drop("digest")
-    start = stored(known.select("key", "group", "size_of_group", F.pmod(F.xxhash64("id", "key"), F.lit(shards)).cast("int").alias("shard")), "start")
-    placed = propagate(stored(_level(start, shards), "levelled"), shards, gain)
-    named = rows.drop("digest").join(placed.select("key", "shard"), "key")
-    out = _numbered(named, "shard", [F.col("key")], "slot")
+    # equal rows are told apart by a number, so that they don't all start in one shard
+    own = [F.col("id").isNull(), F.col("id"), F.coalesce("digest", F.lit(""))]
+    twins = rows.withColumn("twin", F.xxhash64(*own))
+    same = stored(twins.groupBy("twin").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "same")
+    again = stored(sliced_join(twins.select("key", "twin"), same.select("twin"), ["twin"], same, "key"), "again")
+    numbers = _numbered(again, "twin", ["key"], "number").select("key", "number")
+    turn = F.xxhash64(*own, F.coalesce("number", F.lit(0).cast("long")))
+    marked = rows.join(numbers, "key", "left").select("key", turn.alias("turn"), F.coalesce("digest", F.lit("")).alias("group"))
+    groups = stored(marked.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "groups")
+    known = sliced_join(marked, groups.select("group", F.col("n").alias("size_of_group")), ["group"], groups, "key")
+    start = stored(known.select("key", "turn", "group", "size_of_group", F.pmod("turn", F.lit(shards)).cast("int").alias("shard")), "start")
+    placed = propagate(stored(_level(start, shards), "levelled"), shards, gain, rounds)
+    named = rows.drop("digest").join(placed.select("key", "turn", "shard"), "key")
+    out = _numbered(named, "shard", TURN, "slot")
     return out.select(F.col("id").alias(id), "size", "text_crc32", "shard", "slot")
 
 

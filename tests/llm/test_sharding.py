@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from newstide.llm import sharding
 
@@ -70,3 +71,17 @@ def test_rounds_go_on_while_they_gain(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     cut = [sharding.cut_links(sharding.assign(df, shards=6, gain=gain)).first().cut for gain in (0.4, 0.001)]
     assert cut[1] < 0.5 * cut[0] and cut[1] <= 0.1 * 580
+
+
+def test_places_do_not_depend_on_the_layout(spark):
+    rows = [(k, f"copy of {k % 7}" if k % 3 == 0 else f"own text {k}", "x") for k in range(900)] + [(None, "same", "x")] * 50 + [(5, None, "x")] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    layouts = [df.repartition(2), df.repartition(7, "text").sortWithinPartitions(F.desc("doc_id"))]
+    one, other = ([tuple(r) for r in sharding.assign(d, shards=6).collect()] for d in layouts)
+    assert Counter(one) == Counter(other)
+    check(rows, sharding.assign(layouts[1], shards=6).collect(), 6)
+
+
+def test_rounds_are_bounded(spark):
+    rows = [(k, f"pair {k // 2}", "x") for k in range(120)]
+    check(rows, sharding.assign(spark.createDataFrame(rows, SCHEMA), shards=6, rounds=0).collect(), 6)
