@@ -21,26 +21,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLDEN)
 BYTE[ord("A") : ord("Z") + 1] = BYTE[ord("a") : ord("z") + 1]  # A-Z count as a-z
+KEPT_POWERS = 1 << 21  # chunks of texts end a little above 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of ``BASE`` and of its inverse, kept at a power of two above n."""
-    size = 1 << max(20, (n - 1).bit_length())
+    """The first n powers of ``BASE`` and of its inverse, at least; a worker keeps the tables for texts of common length only."""
+    size = max(KEPT_POWERS, n)
 
     def build() -> tuple[np.ndarray, np.ndarray]:
         def powers(base: int) -> np.ndarray:
             out = np.ones(size, np.uint64)
             done = 1
             while done < size:
-                out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
+                out[done : 2 * done] = out[: min(done, size - done)] * np.uint64(pow(base, done, 1 << 64))
                 done *= 2
             return out
 
         return powers(BASE), powers(pow(BASE, -1, 1 << 64))
 
-    return kept(("powers", size), build)
+    return kept(("powers", size), build) if size == KEPT_POWERS else build()
 
 
 def shingle_sets(texts: Sequence[str | None], width: int = 5, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
