@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newstide.llm.units import UnitCache
-from newstide.llm.worker import kept
+from newstide.llm.worker import kept, release
 
 NONE = np.int32(2**31 - 1)
 MATRIX_LONGEST = 1024  # longer pieces are merged with a heap: a matrix takes as many rounds as a row has merges
@@ -197,6 +197,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     @F.arrow_udf(kind)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release("ranks", "bpe")
         ranks = kept(("ranks", path), lambda: Ranks(path))
         cache = kept(("bpe", path, pattern), lambda: UnitCache(unit_encoder(ranks, pattern)))
         for part in parts:

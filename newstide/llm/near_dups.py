@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newstide.llm.shingles import GOLDEN, fingerprint, mix, shingle_sets
+from newstide.llm.worker import release
 from newstide.operators.skew import sliced_join, stored
 
 LENGTH = 128  # of a signature
@@ -72,6 +73,7 @@ def signed(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release("powers")
             n, node, sig = [], [], []
             for items in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(items))
@@ -88,6 +90,7 @@ def _sets(docs: DataFrame, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release("powers")
             sets = [s for s in shingle_sets(batch.column(0).to_pylist(), width) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(map(fingerprint, sets), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "items"])
 

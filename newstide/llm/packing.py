@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from newstide.llm.units import UnitCache
-from newstide.llm.worker import kept
+from newstide.llm.worker import kept, release
 
 WINDOW = 2048
 
@@ -135,6 +135,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("hf")
         cache = kept(("hf", path), lambda: UnitCache(hf_encoder(path)))
         sequence = TaskContext.get().partitionId() << 40
         levels, stop = LevelArray(window), np.array([end], "<u4").tobytes()
@@ -168,6 +169,8 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
                         out(held)
                 if len(rows) > 500:
                     yield flush()
+            batch = texts = None  # not while the next batch comes in
+            release("hf")
         if types:
             for held in levels.pour():
                 out(held)

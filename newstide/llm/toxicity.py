@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newstide.llm import crf
-from newstide.llm.worker import kept
+from newstide.llm.worker import release
 
 SIZE = 1 << 17
 STRIP = ".,;:!?\"'()[]«»"
@@ -193,6 +193,7 @@ def score(docs: DataFrame, chain: crf.Chain, text: str = "text", span: float = 0
 
     @F.arrow_udf(kind)
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         scorer = Scorer(chain)
         for part in parts:
             out = []
@@ -205,6 +206,10 @@ def score(docs: DataFrame, chain: crf.Chain, text: str = "text", span: float = 0
                     spans = [{"start": places[t][0], "stop": places[t][1], "prob": float(p[t])} for t in found]
                 out.append({"score": scorer.score(p), "expected": float(p.sum()), "spans": spans})
             yield pa.array(out, typed)
+            part = out = None  # not while the next batch comes in
+            release()
+        del scorer
+        release()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), run(F.col(text)).alias("new"))
     return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("score", "expected", "spans")], "new.*")

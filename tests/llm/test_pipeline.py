@@ -1,7 +1,9 @@
 """The pipeline against its stages done one after the other in plain Python."""
 
 import os
+import sys
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -48,3 +50,21 @@ def test_odd_documents(spark, tmp_path):
     for _, stage in empty:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert packing.WINDOW == 2048
+
+
+def test_workers_drop_the_tables_of_other_operators(spark):
+    """Each worker that scores holds nothing of the packing before; else executors grow from stage to stage."""
+    docs = spark.createDataFrame([(k, f"the word{k} of it") for k in range(40)], "doc_id long, text string").repartition(4)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"kind": [k[0] for k in sys.__dict__.get("_newstide_kept", {})]})
+
+    def kinds():
+        return {r.kind for r in docs.mapInArrow(held, "kind string").collect()}
+
+    packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    assert "hf" in kinds()
+    for _ in range(3):  # every idle worker takes a task
+        toxicity.score(docs, toxicity.fit([], [])).collect()
+    assert "hf" not in kinds()
