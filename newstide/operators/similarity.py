@@ -9,11 +9,12 @@ listing the similar pairs:
    as an eliminator, so each bag is folded to that one row (map-side).
 2. Pruning: rows are put in MinHash buckets and each is compared with one row only, the bucket leader it shares most
    buckets with. Groups of near copies melt here, at one pair a row.
-3. Completion: two unit vectors above the threshold share a word within both of their prefixes, when words are ordered
-   from rare to frequent and a prefix ends where the norm of the rest drops to the threshold. Rows left by step 2 meet the
-   rows before them word by word. What their prefixes share is summed up; what may follow is bounded by the norms behind
-   the last shared word, of which one lies behind a prefix. Ids, weights and norms travel with the words, vectors never
-   do. Each row first tries its best candidate, and only rows that pass try the others.
+3. Completion: words are ordered from rare to frequent. All words of a row before the second one that it shares with
+   another, but the first shared one, are lost to their product. So the first two shared words of two unit vectors above the
+   threshold lie where what is lost leaves either vector a norm above it. Rows left by step 2 meet the rows before them
+   on such pairs of words, which few unlike rows share; a word whose weight is above the threshold may be the only one
+   shared. The two shared words and the norms behind them bound the product. Ids, weights and norms travel with the words,
+   vectors never do. Each row first tries its best candidate, and only rows that pass try the others.
 
 Vectors are fetched by id to check a pair, whatever their length.
 """
@@ -100,33 +101,34 @@ def unit_vectors(folded: DataFrame) -> DataFrame:
         ).alias("terms")
     )
     norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-    return raw.withColumn("norm", norm).select(
-        "scope",
-        "id",
-        F.transform(
-            "terms", lambda t: F.struct(t["token"].alias("token"), t["bags"].alias("bags"), (t["w"] / F.col("norm")).alias("w"))
-        ).alias("terms"),
-    )
+
+    def unit(by: Column) -> Column:
+        return F.transform("terms", lambda t: F.struct(t["token"].alias("token"), t["bags"].alias("bags"), (t["w"] / by).alias("w")))
+
+    return raw.select("scope", "id", let(norm, unit).alias("terms"))  # as a column of its own it would be computed for each word
 
 
 def _prefix(threshold: float) -> Column:
-    """(token, w, rest, tail) of the words up to where the rest's norm is at most the threshold, without those that no other bag has.
+    """(token, bags, w, left, rest) of the words that can be among the first two shared ones, those of one bag left out.
 
-    ``rest`` is the norm of the words after this one, ``tail`` that of the words after the prefix.
+    ``left`` is the squared norm of the words from this one on, ``rest`` the norm of those after it. A second shared word
+    needs ``left`` plus the square of the first above the squared threshold; the prefix ends where no first one gives that.
     """
     limit = threshold * threshold - MARGIN
-    start = F.struct(F.lit(1.0).alias("left"), F.array().cast("array<struct<token:string,bags:bigint,w:double,rest:double>>").alias("out"))
+    kind = "struct<left:double,top:double,out:array<struct<token:string,bags:bigint,w:double,left:double,rest:double>>>"
 
     def longer(a: Column, t: Column) -> Column:
-        left = a["left"] - t["w"] * t["w"]
-        word = F.struct(t["token"].alias("token"), t["bags"].alias("bags"), t["w"].alias("w"), F.sqrt(F.greatest(left, F.lit(0.0))).alias("rest"))
-        return F.when(a["left"] <= limit, a).otherwise(F.struct(left.alias("left"), F.concat(a["out"], F.array(word)).alias("out")))
+        square, left = t["w"] * t["w"], a["left"]
+        word = F.struct(t["token"].alias("token"), t["bags"].alias("bags"), t["w"].alias("w"), left.alias("left"), F.sqrt(F.greatest(left - square, F.lit(0.0))).alias("rest"))
+        more = F.struct((left - square).alias("left"), F.greatest(a["top"], square).alias("top"), F.concat(a["out"], F.array(word)).alias("out"))
+        return F.when(left + a["top"] > limit, more).otherwise(a)
 
-    def shared(words: Column) -> Column:
-        tail = F.element_at(words, -1)["rest"]
-        return F.transform(F.filter(words, lambda t: t["bags"] > 1), lambda t: F.struct(t["token"].alias("token"), t["w"].alias("w"), t["rest"].alias("rest"), tail.alias("tail")))
+    def cut(shared: Column) -> Column:
+        whole = F.aggregate(shared, F.lit(0.0), lambda a, t: a + t["w"] * t["w"])
+        start = F.struct(whole.alias("left"), F.lit(0.0).alias("top"), F.array().alias("out")).cast(kind)
+        return F.aggregate(shared, start, longer)["out"]
 
-    return let(F.aggregate("terms", start, longer)["out"], shared)
+    return let(F.filter("terms", lambda t: t["bags"] > 1), cut)
 
 
 def _bands(cfg: Similarity) -> Column:
@@ -177,20 +179,51 @@ def _prune(vectors: DataFrame, cfg: Similarity) -> DataFrame:
     return _beaten(shared.groupBy("id").agg(F.max(F.struct("n", "o_id"))["o_id"].alias("o_id")), vectors, cfg)
 
 
+def _meeting_words(vectors: DataFrame, cfg: Similarity) -> DataFrame:
+    """What each row can meet others on, two words or one that outweighs the rest: alive, id, date, key, at (the first word's
+    place, -1 for one alone), w, w2 (of the second), rest (the norm behind it) and tail (that behind the last second word).
+    """
+    limit = cfg.threshold * cfg.threshold - MARGIN
+    first = vectors.select("scope", "alive", "id", F.col("rank.date").alias("date"), "prefix", F.posexplode("prefix").alias("at", "t")).where(F.col("t.left") > limit)
+    square = F.col("t.w") * F.col("t.w")
+    follow = F.transform(
+        F.filter(F.slice("prefix", F.col("at") + 2, F.size("prefix")), lambda u: u["left"] + square > limit),
+        lambda u: F.struct(u["token"].alias("token"), u["w"].alias("w2"), u["rest"].alias("rest")),
+    )
+    follow = let(
+        follow,
+        lambda f: F.transform(f, lambda u: F.struct(u["token"].alias("token"), F.col("at").alias("at"), u["w2"].alias("w2"), u["rest"].alias("rest"), F.element_at(f, -1)["rest"].alias("tail"))),
+    )
+    one = F.struct(F.lit(None).cast("string").alias("token"), F.lit(-1).alias("at"), *[F.lit(0.0).alias(c) for c in ("w2", "rest", "tail")])
+    alone = F.filter(F.array(one), lambda _: square > limit)
+    seconds = F.concat(follow, alone)
+    both = first.select("scope", "alive", "id", "date", "t", F.explode(seconds).alias("u"))
+    return both.select("alive", "id", "date", F.xxhash64("scope", "t.token", "u.token").alias("key"), F.col("t.w").alias("w"), "u.at", "u.w2", "u.rest", "u.tail")
+
+
 def _candidates(alive: DataFrame, vectors: DataFrame, cfg: Similarity) -> DataFrame:
-    """id, o_id and an upper bound of their product, for pairs of a row of ``alive`` and one before it that may pass the threshold."""
-    keys = ["scope", "token"]
-    words = vectors.select("scope", "id", "rank", F.inline("prefix"))
-    mine = words.join(alive.select("id"), "id", "left_semi")
-    cuts = grid_cuts(mine.select(*keys), words.select(*keys), keys)
-    a = grid_place(mine, cuts, keys, "id", True)
-    b = grid_place(words, cuts, keys, "id", False).select(*keys, *GRID_KEYS, *[F.col(c).alias(f"o_{c}") for c in ("id", "rank", "w", "rest", "tail")])
-    met = a.join(b, [*keys, *GRID_KEYS]).where(F.col("o_rank") > F.col("rank"))
-    shared = met.groupBy("id", "o_id").agg(
-        F.sum(F.col("w") * F.col("o_w")).alias("sum"),
+    """id, o_id and an upper bound of their product, for pairs of a row of ``alive`` and one before it that may pass the threshold.
+
+    With the first word they share, two rows meet on each further one within reach of both; what may follow lies behind the
+    last of these, and for one of them behind its reach. Keys are hashes; rows that meet by a collision fail when their
+    vectors are compared.
+    """
+    living = alive.select("id", F.lit(True).alias("alive"))
+    words = _meeting_words(vectors.join(living, "id", "left").withColumn("alive", F.col("alive").isNotNull()), cfg)
+    counts = words.groupBy("key").agg(F.count_if("alive").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1 and v > 0")
+    counts = stored(counts, "meetings")  # most keys have one row only, which goes no further
+    met = stored(sliced_join(words, counts.select("key"), ["key"], counts, "id"), "met")
+    cuts = grid_cuts(met.where("alive").select("key"), met.select("key"), ["key"])
+    a = grid_place(met.where("alive").drop("alive"), cuts, ["key"], "id", True)
+    b = grid_place(met.drop("alive"), cuts, ["key"], "id", False)
+    b = b.select("key", *GRID_KEYS, *[F.col(c).alias(f"o_{c}") for c in ("id", "date", "w", "w2", "rest", "tail")])
+    rank, o_rank = (F.struct(F.col(f"{o}date").alias("date"), (-F.col(f"{o}id")).alias("place")) for o in ("", "o_"))
+    pairs = a.join(b, ["key", *GRID_KEYS]).where(o_rank > rank)
+    first = pairs.groupBy("id", "o_id", "at").agg(
+        (F.first("w") * F.first("o_w") + F.sum(F.col("w2") * F.col("o_w2"))).alias("sum"),
         F.greatest(F.min("o_rest") * F.first("tail"), F.min("rest") * F.first("o_tail")).alias("more"),
     )
-    return shared.select("id", "o_id", (F.col("sum") + F.col("more")).alias("bound")).where(F.col("bound") > cfg.threshold - MARGIN)
+    return first.groupBy("id", "o_id").agg(F.max(F.col("sum") + F.col("more")).alias("bound")).where(F.col("bound") > cfg.threshold - MARGIN)
 
 
 def _complete(vectors: DataFrame, alive: DataFrame, cfg: Similarity) -> DataFrame:

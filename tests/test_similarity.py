@@ -148,3 +148,19 @@ def test_sliced_join_equals_plain_join(spark):
     got = sliced_join(rows, lookup, ["k"], counts, "id", share=0.01)
     assert got.count() == 2000
     assert got.where("v != length(k)").count() == 0
+
+
+def test_unlike_titles_are_no_candidates(spark):
+    """Titles that share one word each with many others: candidates grow with the rows, not with the rows of a word."""
+    n, rng = 1500, random.Random(5)
+    rows = [(k, " ".join(f"w{w}" for w in rng.sample(range(300), 8)), "2024-01-01") for k in range(n)]
+    cfg = Similarity()
+    folded = S.fold_bags(S.bags(spark.createDataFrame(rows, "id long, title string, d string"), "id", "title", "d", None))
+    vectors = S.unit_vectors(folded).join(folded.select("id", "rank"), "id").withColumn("prefix", S._prefix(cfg.threshold))
+    assert S._candidates(vectors.select("id"), vectors, cfg).count() < n
+
+
+def test_a_word_above_the_threshold_is_enough(spark):
+    rows = [(1, "rare rare rare rare rare one", "2024-01-02"), (2, "rare rare rare rare rare two", "2024-01-01"), (3, "one two six", "2024-01-03"), (4, "rare", "2023-01-01")]
+    df = spark.createDataFrame(rows, "id long, title string, d string")
+    assert {r.id for r in similar_survivors(df, "id", "title", "d").collect()} == {1, 3}
