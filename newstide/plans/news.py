@@ -98,10 +98,12 @@ def funnel(df: DataFrame, cfg: NewsPrep) -> DataFrame:
     """
     unique = stored(unique_titles(df.select(*_keys(cfg)), cfg), "titles")
     kept = similar_survivors(unique, cfg.order, cfg.title, cfg.date, cfg.scope, cfg.similarity)
-    marks = df.join(unique.select(cfg.order, F.lit(True).alias("_u")), cfg.order, "left").join(
+    passes = _passes(cfg)
+    verdicts = df.select(cfg.order, *[test.alias(f"_{name}") for name, test in passes.items()])  # texts stay where they are read
+    marks = verdicts.join(unique.select(cfg.order, F.lit(True).alias("_u")), cfg.order, "left").join(
         kept.withColumn("_k", F.lit(True)), cfg.order, "left"
     )
-    tests = {"unique_title": F.col("_u"), "not_similar": F.col("_k"), **_passes(cfg)}
+    tests = {"unique_title": F.col("_u"), "not_similar": F.col("_k"), **{name: F.col(f"_{name}") for name in passes}}
     steps, so_far = [("input", F.lit(True))], F.lit(True)
     for name, test in tests.items():
         so_far = so_far & F.coalesce(test, F.lit(False))

@@ -1,6 +1,7 @@
 """Cases at the edges: no shared folder, resumed streams, mixed categories, hot keys, failing scorers, events without days."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from newstide.functions.scoring import score_texts
 from newstide.operators import aggregates as A
 from newstide.operators.impact import event_study, smoothed
 from newstide.operators.skew import grid_cuts
+from newstide.plans.news import NewsPrep, funnel
 from newstide.sources import tables
 from newstide.streaming.twins import read_stream, run_available
 
@@ -94,3 +96,17 @@ def test_windows_hold_every_calendar_day_and_lonely_events_stay(spark):
     got = {r.event_id: r for r in event_study(events, values).collect()}
     assert got[1].sample_size == 57 and got[1].significant and got[1].score_change > 0.9
     assert [(got[k].sample_size, got[k].significant, got[k].score_change) for k in (2, 3)] == [(0, False, None)] * 2
+
+
+def test_funnel_shuffles_no_texts(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(k, f"title{k}", "20240101", "x" * 300, "nth") for k in range(9)], "doc_id long, title string, date string, body string, keywords string")
+        steps = funnel(df, NewsPrep(relevant=("nth",)))
+        plan = spark._jvm.PythonSQLUtils.explainString(steps._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+        assert moved and not any("body#" in x for x in moved)
+        assert [r.n for r in steps.orderBy("step").collect()] == [9, 9, 9, 9, 9]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
